@@ -94,6 +94,37 @@ class UnitEncoder:
                 yield [known[u] for u in units]
 
 
+def _plain_words(tokenizer, keep_space: bool):
+    """unit -> bytes of its ids, or None, for letters below U+0100 with at most one
+    comma or full stop behind: such a unit is one or two pre-tokens in either
+    vocabulary and no normalizer composes anything in it, so the library's model
+    encodes it without the steps before."""
+    from .bpe_automaton import byte_letters
+
+    table = {b: c for c, b in byte_letters().items()}
+    model, known = tokenizer.model, {}
+
+    def word(text: str) -> bytes:
+        if text not in known:
+            if len(known) > CACHE_LIMIT:
+                known.clear()
+            letters = text.encode().decode("latin-1").translate(table)
+            known[text] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(letters)])
+        return known[text]
+
+    def encode(unit: str):
+        core = unit[1:] if unit[:1] == " " else unit
+        tail = core[-1:] if core[-1:] in (",", ".") else ""
+        core = core[: len(core) - len(tail)]
+        if not core.isalpha() or max(core) > "\xff":
+            return None
+        if not keep_space:
+            return word(core.lower()) + (word(tail) if tail else b"")
+        return word(" " + core if unit[:1] == " " else core) + (word(tail) if tail else b"")
+
+    return encode
+
+
 def library_units(path: str, keep_space: bool) -> UnitEncoder:
     """Values are the library's ids as little-endian unsigned 32-bit bytes."""
     key = ("units", path, keep_space)
@@ -101,10 +132,15 @@ def library_units(path: str, keep_space: bool) -> UnitEncoder:
         import numpy as np
 
         tokenizer = library_tokenizer(path)
+        plain = _plain_words(tokenizer, keep_space)
 
         def encode(units: list) -> list:
-            got = tokenizer.encode_batch_fast(units, add_special_tokens=False)
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
+            out = [plain(u) for u in units]
+            rest = [k for k, x in enumerate(out) if x is None]
+            got = tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)
+            for k, x in zip(rest, got):
+                out[k] = np.array(x.ids, dtype="<u4").tobytes()
+            return out
 
         _LOADED[key] = UnitEncoder(encode, keep_space, lambda text: [text])
     return _LOADED[key]
