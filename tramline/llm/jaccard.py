@@ -15,9 +15,10 @@ the set. The join runs over nodes:
    are thereby known from a highly similar set's: whatever is already in one
    component needs no more comparisons, which are all but a few of a group of
    near copies.
-4. Lists whose members are in several components still hold unknown pairs. Their
-   members are compared in blocks, across components only, and a link found on the
-   way joins its components and skips the rest between them.
+4. Lists whose members are in several components still hold unknown pairs. Twice
+   their member with most links so far, most likely a group's original, is held
+   against the members of other components; then all pairs of a list across
+   components that sizes and positions leave are verified.
 
 So no link between components is missed, and no list of all pairs of a group is
 ever made.
@@ -309,51 +310,79 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "za", "zb").mapInPandas(run, "a long, b long")
 
 
-def _across(members: DataFrame, components: DataFrame, texts: DataFrame, percent: int, block: int = 400) -> DataFrame:
-    """Links between members of one list that are in different components."""
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, with component and ``x``,
+    the list's least component."""
     placed = members.join(components, "node", "left").select(
         "list", "node", "size", "at", F.coalesce("component", "node").alias("component")
     )
     placed = materialize(placed, "index-lists")
-    mixed = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
-    mixed = mixed.where("x <> y").select("list", F.ceil(F.col("m") / block).cast("int").alias("parts"))
-    rows = placed.join(mixed, "list")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        "list", "node", "size", "at", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
+    several = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return placed.join(several.select("list", "x"), "list")
+
+
+def _hub_pairs(mixed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each list's member with most links, and the members in reach of it
+    that are in other components."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    known = mixed.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = known.groupBy("list").agg(F.max(F.struct("degree", "node", "size", "component")).alias("hub"))
+    near = mixed.join(hubs, "list").where(
+        (F.col("component") != F.col("hub.component"))
+        & (F.least("size", "hub.size") * 100 >= F.greatest("size", "hub.size") * percent)
     )
+    return near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs that sizes and positions leave, in one pair of blocks: a row per
-        member with its partners."""
-        g = group.sort_values(["size", "node"])
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        node, size, at, comp, mine = (g[c].to_numpy() for c in ("node", "size", "at", "component", "mine"))
-        out = []
-        for k in range(len(node)):
-            # sizes ascend: only larger members within reach
-            end = np.searchsorted(size, size[k] * 100 // percent, side="right")
-            near = np.arange(k + 1, end)
-            if i != j:
-                near = near[mine[near] != mine[k]]
-            near = near[comp[near] != comp[k]]
-            need = least_overlap(size[k], size[near], percent)
-            near = near[np.minimum(size[k] - at[k], size[near] - at[near]) >= need]
-            if len(near):
-                out.append((node[k], comp[k], node[near].tolist(), comp[near].tolist()))
-        return pd.DataFrame(out, columns=["a", "ca", "b", "cb"])
-
-    dealt = rows.groupBy("list", "i", "j").applyInPandas(pairs, "a long, ca long, b array<long>, cb array<long>")
-    dealt = materialize(dealt, "open-pairs")
-    # each member meets its partners' sets once, however many lists they share
-    open_ = dealt.select("a", "ca", F.explode(F.arrays_zip("b", "cb")).alias("p"))
-    open_ = open_.select(
-        F.when(F.col("a") < F.col("p.b"), F.struct(F.col("a").alias("a"), F.col("p.b").alias("b"))).otherwise(
-            F.struct(F.col("p.b").alias("a"), F.col("a").alias("b"))
-        ).alias("p")
-    ).select("p.a", "p.b").distinct()
-    return _verified(open_, texts, percent)
+
+def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of one list across components that sizes and positions
+    leave. Lists with the same least component stand together, so that a pair that
+    many lists share is mostly found in one task, which returns it once."""
+
+    def pairs(batches):
+        rest, found, count = None, [], 0
+
+        def close():
+            every = np.unique(np.concatenate(found), axis=0)
+            return pd.DataFrame(every, columns=["a", "b"])
+
+        def lists(frame):
+            name, node, size, at, comp = (frame[c].to_numpy() for c in ("list", "node", "size", "at", "component"))
+            cuts = np.flatnonzero(np.diff(name, prepend=name[0] ^ 1))
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(name)]):
+                reach = np.searchsorted(size[s:e], size[s:e] * 100 // percent, side="right").tolist()
+                for k in range(e - s - 1):
+                    if reach[k] <= k + 1:
+                        continue
+                    # the block of sizes in reach
+                    i, near = s + k, slice(s + k + 1, s + reach[k])
+                    need = least_overlap(size[i], size[near], percent)
+                    keep = (comp[near] != comp[i]) & (np.minimum(size[i] - at[i], size[near] - at[near]) >= need)
+                    if keep.any():
+                        other = node[near][keep]
+                        yield np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], axis=1)
+
+        for batch in batches:
+            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = frame["list"].to_numpy() == frame["list"].iloc[-1]
+            rest, whole = frame[last], frame[~last]
+            for p in lists(whole) if len(whole) else ():
+                found.append(p)
+                count += len(p)
+                if count >= 2_000_000:
+                    made = close()
+                    found, count = [made.to_numpy()], len(made)
+                    if count >= 1_000_000:
+                        yield made
+                        found, count = [], 0
+        if rest is not None and len(rest):
+            found += lists(rest)
+        if found:
+            yield close()
+
+    ordered = mixed.repartition(tasks_for(mixed.sparkSession), "x").sortWithinPartitions("x", "list", "size", "node")
+    return ordered.select("list", "node", "size", "at", "component").mapInPandas(pairs, "a long, b long").distinct()
 
 
 def join_documents(
@@ -374,10 +403,17 @@ def join_documents(
     reps = nodes.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")).join(wanted, "node")
     reps = materialize(reps, "index-nodes")
     texts = materialize(_texts_of(rows, reps), "node-texts")
-    links = materialize(_verified(_first_pairs(members, percent), texts, percent), "links")
-    components = materialize(connected_components(links, "a", "b"), "components")
-    more = materialize(_across(members, components, texts, percent), "links")
-    components = connected_components(links.union(more), "a", "b")
+    pairs = materialize(_first_pairs(members, percent), "pairs")
+    links = materialize(_verified(pairs, texts, percent), "links")
+    for last in (False, False, True):
+        components = materialize(connected_components(links, "a", "b"), "components")
+        members = _mixed(members, components)
+        new = _open_pairs(members, percent) if last else _hub_pairs(members, links, percent)
+        new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = _verified(new, texts, percent)
+        pairs, links = pairs.union(new), materialize(links.union(more), "links")
+        members = members.select("list", "node", "size", "at")
+    components = connected_components(links, "a", "b")
     placed = nodes.join(components, "node", "left").select(
         "doc", "n", "node", F.coalesce("component", "node").alias("component")
     )
