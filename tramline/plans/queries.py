@@ -276,7 +276,7 @@ def q8_alert_categories(t: Timetable, spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), S.alert_category(S.name_of(F.col("doc_id") % 13, EFFECTS), head, F.col("text")).alias("category"))
 
 
-_EVENTS = "SELECT event_id, cast(event_id AS varchar(20)) AS trip, user_id % 120 + 1 AS stop, cast(floor(epoch(ts)) AS bigint) AS "at" FROM events"
+_EVENTS = 'SELECT event_id, cast(event_id AS varchar(20)) AS trip, user_id % 120 + 1 AS stop, cast(floor(epoch(ts)) AS bigint) AS "at" FROM events'
 
 
 @query(f"""SELECT asked, route, headsign, "at" FROM (SELECT e.stop AS asked, coalesce(t.route_id, 3) AS route, coalesce(t.trip_headsign, '') AS headsign, e."at",
