@@ -155,8 +155,8 @@ def remove_repeated_passages(
     ``removed_words`` and ``removed`` (array of start, end in code points of the
     text as it was). What is left of a text is not changed otherwise; a text that
     is wholly repeated becomes empty. Null text stays null; an id that several
-    rows have counts as one document; rows with a null id are compared with the
-    others and not with each other; all columns are kept, whatever their names
+    rows have counts as one document; rows with a null id count as one document that comes first;
+    all columns are kept, whatever their names
     (columns named like the two new ones are replaced)."""
     added = ("removed_words", "removed")
     others = [c for c in docs.columns if c not in added]
