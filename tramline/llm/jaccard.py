@@ -16,9 +16,10 @@ the set. The join runs over nodes:
    component needs no more comparisons, which are all but a few of a group of
    near copies.
 4. Lists whose members are in several components still hold unknown pairs. Twice
-   their member with most links so far, most likely a group's original, is held
-   against the members of other components; then all pairs of a list across
-   components that sizes and positions leave are verified.
+   each member is held against the next one of another component, in an order of
+   hashes; then all pairs of a list across components are verified that sizes,
+   positions and bitmaps leave. A set's bitmap has the bits its shingles' hashes
+   name, so a bit that another's lacks is a shingle the other lacks.
 
 So no link between components is missed, and no list of all pairs of a group is
 ever made.
@@ -39,6 +40,7 @@ from .units import as_texts
 
 WORDS = 5
 SKETCH_BITS = 22
+MOST_BITS = 1 << 13
 #: Bytes of text whose shingles are held at a time.
 _WINDOW = 12 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +104,7 @@ def _sets_of(texts: list) -> list:
     out = []
     for a, b in zip(first.tolist(), last.tolist()):
         if b - a >= WORDS:
-            out.append(np.unique(shingles[a : b - WORDS + 1]))
+            out.append(_distinct(shingles[a : b - WORDS + 1]))
         elif b > a:
             h = np.full(1, b - a, dtype=np.uint64)
             for i in range(b - a):
@@ -113,6 +115,14 @@ def _sets_of(texts: list) -> list:
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
 def _node(s: np.ndarray) -> int:
     """The set's name."""
     return xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) - (1 << 63)
@@ -138,6 +148,32 @@ def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Four bits a shingle, a power of two, at most MOST_BITS: then more shingles
+    share a bit and fewer pairs are told apart."""
+    width = min(MOST_BITS, 1 << max(6, (4 * len(s) - 1).bit_length()))
+    bits = np.zeros(width, dtype=bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bitmaps: list, width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes or a power of two times as many, as rows of words
+    of ``width`` bytes."""
+    out = np.empty((len(bitmaps), width), dtype=np.uint8)
+    for k, b in enumerate(bitmaps):
+        x = np.frombuffer(b, dtype=np.uint8)
+        out[k] = x if len(x) == width else np.bitwise_or.reduce(x.reshape(-1, width), axis=0)
+    return out.view(np.uint64)
+
+
+def _most_overlap(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shingles that a set and others share at most, by their bitmaps."""
+    own = np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64)
+    other = np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64)
+    return np.minimum(size - own, sizes - other)
+
+
 def least_overlap(a, b, percent: int):
     """Shingles two sets of these sizes share at least when they link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -148,7 +184,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sketch_and_nodes(rows: DataFrame) -> tuple:
-    """(doc, n, node) of every document, and the recurrence level of every slot."""
+    """(doc, n, node, bitmap) of every document, and the recurrence level of every slot."""
     slices = 16
 
     def run(batches):
@@ -158,7 +194,7 @@ def _sketch_and_nodes(rows: DataFrame) -> tuple:
             out = []
             for d, s in zip(ids, sets):
                 node = _node(s)
-                out.append((0, d, len(s), node if len(s) else 0, None))
+                out.append((0, d, len(s), node if len(s) else 0, _bitmap(s) if len(s) else None))
                 if len(s) and node not in nodes:
                     nodes[node] = True
                     parts.append(s)
@@ -189,7 +225,7 @@ def _sketch_and_nodes(rows: DataFrame) -> tuple:
     # 16 rows, four million bytes in all
     for x in made.where("kind = 1").groupBy("doc").applyInPandas(add, "doc long, blob binary").collect():
         levels[x["doc"] * width : (x["doc"] + 1) * width] = np.frombuffer(x["blob"], dtype=np.uint8)
-    return made.where("kind = 0").select("doc", "n", "node"), levels
+    return made.where("kind = 0").select("doc", "n", "node", F.col("blob").alias("bitmap")), levels
 
 
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
@@ -286,21 +322,31 @@ def _intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _set_of(z: bytes) -> np.ndarray:
-    return shingle_sets([expand(z)])[0]
+def _sets(column):
+    """The shingle sets of a column of compressed texts, in order, decoded in groups
+    of bounded bytes."""
+    texts, size = [], 0
+    for z in column:
+        texts.append(expand(z))
+        size += len(texts[-1])
+        if size >= 2 << 20:
+            yield from shingle_sets(texts)
+            texts, size = [], 0
+    yield from shingle_sets(texts)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by exact intersection."""
 
     def run(batches):
-        last, own = None, None
+        own = None
         for batch in batches:
-            keep = []
-            for a, za, zb in zip(batch["a"].tolist(), batch["za"], batch["zb"]):
-                if a != last:
-                    last, own = a, _set_of(za)
-                other = _set_of(zb)
+            keep, a = [], batch["a"].to_numpy()
+            fresh = np.flatnonzero(np.diff(a, prepend=a[:1] ^ 1)).tolist() if len(a) else []
+            leads, heads = _sets(batch["za"].iloc[fresh]), set(fresh)
+            for k, other in enumerate(_sets(batch["zb"])):
+                if k in heads:
+                    own = next(leads)
                 common = _intersection(own, other)
                 keep.append(100 * common >= percent * (len(own) + len(other) - common))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
@@ -321,23 +367,30 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(several.select("list", "x"), "list")
 
 
-def _hub_pairs(mixed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each list's member with most links, and the members in reach of it
-    that are in other components."""
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    known = mixed.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hubs = known.groupBy("list").agg(F.max(F.struct("degree", "node", "size", "component")).alias("hub"))
-    near = mixed.join(hubs, "list").where(
-        (F.col("component") != F.col("hub.component"))
-        & (F.least("size", "hub.size") * 100 >= F.greatest("size", "hub.size") * percent)
-    )
-    return near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-
+def _neighbour_pairs(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): in the order of a hash of node and turn, each member of a list and the
+    next one, if they are in different components and in reach. The order is the
+    same in all lists, so lists with much the same members give much the same pairs."""
 
-def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of one list across components that sizes and positions
-    leave. Lists with the same least component stand together, so that a pair that
+    def pairs(batches):
+        last = None
+        for batch in batches:
+            frame = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            last = frame.iloc[-1:]
+            name, node, size, comp = (frame[c].to_numpy() for c in ("list", "node", "size", "component"))
+            near = (name[1:] == name[:-1]) & (comp[1:] != comp[:-1])
+            near &= np.minimum(size[1:], size[:-1]) * 100 >= np.maximum(size[1:], size[:-1]) * percent
+            x, y = node[1:][near], node[:-1][near]
+            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    dealt = mixed.select("list", "node", "size", "component", F.xxhash64("node", F.lit(turn)).alias("h"))
+    dealt = dealt.repartition(tasks_for(mixed.sparkSession), "list").sortWithinPartitions("list", "h", "node")
+    return dealt.select("list", "node", "size", "component").mapInPandas(pairs, "a long, b long").distinct()
+
+
+def _open_pairs(mixed: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of one list across components that sizes, positions and
+    bitmaps leave. Lists with the same least component stand together, so that a pair that
     many lists share is mostly found in one task, which returns it once."""
 
     def pairs(batches):
@@ -349,8 +402,10 @@ def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
 
         def lists(frame):
             name, node, size, at, comp = (frame[c].to_numpy() for c in ("list", "node", "size", "at", "component"))
+            bitmaps = frame["bitmap"].tolist()
             cuts = np.flatnonzero(np.diff(name, prepend=name[0] ^ 1))
             for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(name)]):
+                width = 0
                 reach = np.searchsorted(size[s:e], size[s:e] * 100 // percent, side="right").tolist()
                 for k in range(e - s - 1):
                     if reach[k] <= k + 1:
@@ -359,8 +414,16 @@ def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
                     i, near = s + k, slice(s + k + 1, s + reach[k])
                     need = least_overlap(size[i], size[near], percent)
                     keep = (comp[near] != comp[i]) & (np.minimum(size[i] - at[i], size[near] - at[near]) >= need)
-                    if keep.any():
-                        other = node[near][keep]
+                    if not keep.any():
+                        continue
+                    if len(bitmaps[i]) != width:  # widths grow with sizes
+                        start, width = i, len(bitmaps[i])
+                        words = _folded(bitmaps[i:e], width)
+                    at_others = np.flatnonzero(keep) + i + 1
+                    most = _most_overlap(words[i - start], size[i], words[at_others - start], size[at_others])
+                    at_others = at_others[most >= need[keep]]
+                    if len(at_others):
+                        other = node[at_others]
                         yield np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], axis=1)
 
         for batch in batches:
@@ -381,8 +444,9 @@ def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
         if found:
             yield close()
 
-    ordered = mixed.repartition(tasks_for(mixed.sparkSession), "x").sortWithinPartitions("x", "list", "size", "node")
-    return ordered.select("list", "node", "size", "at", "component").mapInPandas(pairs, "a long, b long").distinct()
+    # a row more for an id that repeats would only repeat pairs
+    ordered = mixed.join(bitmaps, "node").repartition(tasks_for(mixed.sparkSession), "x").sortWithinPartitions("x", "list", "size", "node")
+    return ordered.select("list", "node", "size", "at", "component", "bitmap").mapInPandas(pairs, "a long, b long").distinct()
 
 
 def join_documents(
@@ -403,12 +467,13 @@ def join_documents(
     reps = nodes.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")).join(wanted, "node")
     reps = materialize(reps, "index-nodes")
     texts = materialize(_texts_of(rows, reps), "node-texts")
+    bitmaps = nodes.join(reps, ["doc", "node"]).select("node", "bitmap")
     pairs = materialize(_first_pairs(members, percent), "pairs")
     links = materialize(_verified(pairs, texts, percent), "links")
-    for last in (False, False, True):
+    for turn in (1, 2, None):
         components = materialize(connected_components(links, "a", "b"), "components")
         members = _mixed(members, components)
-        new = _open_pairs(members, percent) if last else _hub_pairs(members, links, percent)
+        new = _neighbour_pairs(members, percent, turn) if turn else _open_pairs(members, bitmaps, percent)
         new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = _verified(new, texts, percent)
         pairs, links = pairs.union(new), materialize(links.union(more), "links")
