@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .lines import expand, squeeze
 from .shared import connected_components, id_in, id_out, materialize, tasks_for
-from .units import as_texts
+from .units import as_texts, only_cache
 
 WORDS = 5
 SKETCH_BITS = 22
@@ -73,7 +73,7 @@ def shingle_sets(texts: list) -> list:
     at = 0
     while at < len(texts):
         size, to = 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) < 4 << 20):
+        while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 20):
             size += len(texts[to]) + 1
             to += 1
         out += _sets_of(texts[at:to])
@@ -130,6 +130,7 @@ def _node(s: np.ndarray) -> int:
 
 def _windows(batches, columns=("doc", "text")):
     """Documents in windows of bounded bytes: (ids, sets)."""
+    only_cache(None)
     ids, texts, size = [], [], 0
     for batch in batches:
         for d, t in zip(batch[columns[0]].tolist(), as_texts(batch[columns[1]])):

@@ -39,6 +39,20 @@ def library_tokenizer(path: str):
     return _LOADED[path]
 
 
+#: The encoder whose cache this process holds.
+_HOLDER: list = [None]
+
+
+def only_cache(encoder) -> None:
+    """Empty the cache another encoder left: workers live on from stage to stage."""
+    held = _HOLDER[0]
+    if held is not encoder:
+        _HOLDER[0] = encoder
+        if held is not None:
+            held.cache.clear()
+            held.cleared()
+
+
 class UnitEncoder:
     """Encodes lists of texts into lists of per-unit values.
 
@@ -68,6 +82,7 @@ class UnitEncoder:
 
     def texts(self, texts: list):
         """One list of values per text, in order; together they encode it."""
+        only_cache(self)
         if len(self.cache) > self.limit:
             self.cache.clear()
             self.cleared()
