@@ -360,14 +360,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of the lists that hold several components, with component and ``x``,
     the list's least component."""
-    placed = members.join(components, "node", "left").select(
-        "list", "node", "size", "at", F.coalesce("component", "node").alias("component")
-    )
-    placed = materialize(placed, "index-lists")
+    placed = materialize(members.join(components, "node"), "index-lists")
     several = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return placed.join(several.select("list", "x"), "list")
 
 
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these put together are
+    worked on, each by its name, its least node."""
+    one = components.select(F.col("node").alias("a"), F.col("component").alias("u"))
+    other = components.select(F.col("node").alias("b"), F.col("component").alias("v"))
+    between = links.join(one, "a").join(other, "b").where("u <> v").select("u", "v").distinct()
+    between = materialize(between, "links", few_files=True)
+    if between.isEmpty():
+        return components
+    moved = connected_components(between, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return materialize(
+        components.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components"
+    )
+
+
 def _neighbour_pairs(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
     """(a, b): in the order of a hash of node and turn, each member of a list and the
     next one, if they are in different components and in reach. The order is the
@@ -466,20 +478,18 @@ def join_documents(
     members = materialize(_index(rows, levels, percent), "index-lists")
     wanted = members.select("node").distinct()
     reps = nodes.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")).join(wanted, "node")
-    reps = materialize(reps, "index-nodes")
+    reps = materialize(reps, "index-nodes", few_files=True)
     texts = materialize(_texts_of(rows, reps), "node-texts")
     bitmaps = nodes.join(reps, ["doc", "node"]).select("node", "bitmap")
-    pairs = materialize(_first_pairs(members, percent), "pairs")
-    links = materialize(_verified(pairs, texts, percent), "links")
+    pairs = materialize(_first_pairs(members, percent), "pairs", few_files=True)
+    components = materialize(reps.select("node", F.col("node").alias("component")), "components", few_files=True)
+    components = _merged(components, _verified(pairs, texts, percent))
     for turn in (1, 2, None):
-        components = materialize(connected_components(links, "a", "b"), "components")
         members = _mixed(members, components)
         new = _neighbour_pairs(members, percent, turn) if turn else _open_pairs(members, bitmaps, percent)
         new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = _verified(new, texts, percent)
-        pairs, links = pairs.union(new), materialize(links.union(more), "links")
+        pairs, components = pairs.union(new), _merged(components, _verified(new, texts, percent))
         members = members.select("list", "node", "size", "at")
-    components = connected_components(links, "a", "b")
     placed = nodes.join(components, "node", "left").select(
         "doc", "n", "node", F.coalesce("component", "node").alias("component")
     )

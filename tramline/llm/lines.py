@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_in, materialize, tasks_for
-from .units import as_texts
+from .units import as_texts, only_cache
 
 RATE = 3
 LONG_LINE = 50
@@ -108,6 +108,7 @@ def _seeds(rows: DataFrame) -> DataFrame:
     parts = tasks_for(rows.sparkSession)
 
     def hashes(batches):
+        only_cache(None)
         held: list = []
 
         def pack():

@@ -32,9 +32,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tramline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows into the shared folder and read them back."""
+def materialize(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+    """Write the rows into the shared folder and read them back. ``few_files``: rows
+    of a few numbers, dealt evenly by the shuffle before, are written by no more
+    tasks than two a core, or an eighth of the shuffle's."""
     path = fresh_path(df.sparkSession, name)
+    if few_files:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, tasks_for(df.sparkSession) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,7 +92,7 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
         )
-        edges = materialize(small.where("u <> v").distinct(), "edges")
+        edges = materialize(small.where("u <> v").distinct(), "edges", few_files=True)
         # star forest: every u has one parent, and no parent has one of its own
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
             edges.select("v", F.lit(0), F.lit(1))

@@ -51,6 +51,7 @@ def only_cache(encoder) -> None:
         if held is not None:
             held.cache.clear()
             held.cleared()
+            pa.default_memory_pool().release_unused()
 
 
 class UnitEncoder:
@@ -109,15 +110,15 @@ class UnitEncoder:
                 yield [known[u] for u in units]
 
 
-def _plain_words(tokenizer, keep_space: bool):
+def _plain_words(tokenizer, keep_space: bool, known: dict):
     """unit -> bytes of its ids, or None, for letters below U+0100 with at most one
     comma or full stop behind: such a unit is one or two pre-tokens in either
     vocabulary and no normalizer composes anything in it, so the library's model
-    encodes it without the steps before."""
+    encodes it without the steps before. ``known`` keeps words' ids."""
     from .bpe_automaton import byte_letters
 
     table = {b: c for c, b in byte_letters().items()}
-    model, known = tokenizer.model, {}
+    model = tokenizer.model
 
     def word(text: str) -> bytes:
         if text not in known:
@@ -147,7 +148,8 @@ def library_units(path: str, keep_space: bool) -> UnitEncoder:
         import numpy as np
 
         tokenizer = library_tokenizer(path)
-        plain = _plain_words(tokenizer, keep_space)
+        known: dict = {}
+        plain = _plain_words(tokenizer, keep_space, known)
 
         def encode(units: list) -> list:
             out = [plain(u) for u in units]
@@ -158,6 +160,7 @@ def library_units(path: str, keep_space: bool) -> UnitEncoder:
             return out
 
         _LOADED[key] = UnitEncoder(encode, keep_space, lambda text: [text])
+        _LOADED[key].cleared = known.clear
     return _LOADED[key]
 
 
