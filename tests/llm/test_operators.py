@@ -203,6 +203,41 @@ def test_lines(spark, empty):
     assert lines.remove_repeated_passages(empty).count() == 0
 
 
+def _brute_lines(texts, least):
+    """Text of every document without the lines of all runs that an earlier place has."""
+    cut = [lines.cut_lines(t) for t in texts]
+    places = collections.defaultdict(list)
+    for d, x in enumerate(cut):
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if sum(len(y.split()) for y in x[a:b]) >= least:
+                    places[tuple(y.strip() for y in x[a:b])].append((d, a, b))
+    gone = {(d, k) for found in places.values() if found[0][0] != found[-1][0] for d, a, b in found[1:] for k in range(a, b)}
+    return ["".join(y for k, y in enumerate(x) if (d, k) not in gone) for d, x in enumerate(cut)]
+
+
+def _without_repeats(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [x["text"] for x in lines.remove_repeated_passages(df).orderBy("doc_id").collect()]
+
+
+def test_lines_inside_longer_lines_and_over_short_lines(spark):
+    r = random.Random(6)
+
+    def sentences(n, words, end):
+        return "".join(" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(r.randint(*words))) + end for _ in range(n))
+
+    texts, passages = [], []
+    for _ in range(12):
+        inside, over = sentences(5, (11, 14), ". "), sentences(8, (7, 9), "\n")
+        passages.append((inside, over))
+        for _ in range(3):
+            texts.append(sentences(4, (6, 14), ". ") + inside + sentences(4, (6, 14), ". ") + "\n" + sentences(3, (6, 9), "\n") + over + sentences(3, (6, 9), "\n"))
+    got = _without_repeats(spark, texts)
+    assert got == _brute_lines(texts, 50)
+    assert all((p in x) == (k % 3 == 0) for k, x in enumerate(got) for p in passages[k // 3])
+
+
 def test_forest(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((40, 16))

@@ -1,16 +1,18 @@
-"""Removal of passages that repeat across documents, by content-defined chunks.
+"""Removal of passages that repeat across documents.
 
 A text is cut into lines: physical lines, and within them sentences, so that a
-passage on one long line still has several. A rolling hash over the hashes of the
-last two lines ends a chunk where it hits, one time in ``1 / RATE``; the edges of a
-physical line of ``LONG_LINE`` words or more end one as well. So the chunks inside
-a passage depend on the passage alone, wherever it stands.
-
-Chunks are grouped by hash over all documents; one that is in two documents or
-more is a seed, and its first place (least document, least position) is the one
-kept. The other places get the text around the kept one sent, compare it line by
-line, byte by byte, and go on in both directions as long as lines are equal. Runs
-of such lines of ``min_words`` words or more are removed.
+passage on one long line still has several. For every line, the shortest run of
+``min_words`` words or more that starts there and the shortest one that ends there
+are windows. A run of lines of ``min_words`` words or more holds, for each of its
+lines, a window within the run with that line in it: the one that starts with the
+run, or the one that ends with the line. So a line stands in a run that an earlier
+place repeats if and only if it stands in a window that an earlier place repeats,
+and nothing depends on the text around a passage.
+
+Windows are grouped by hash over all documents; the first place (least document,
+least position) of one that is in two documents or more is the one kept. The other
+places get the kept lines sent, and compare them line by line, byte by byte. Runs of
+equal lines are removed.
 """
 
 from __future__ import annotations
@@ -28,16 +30,16 @@ from pyspark.sql import functions as F
 from .shared import id_in, materialize, tasks_for
 from .units import as_texts, only_cache
 
-RATE = 3
-LONG_LINE = 50
+_LINE = 50
 #: Words (spaces plus one) a chunk has before a hash may end it; chunks left shorter by
 #: an edge are not looked up, but found from their neighbours.
 SEED_WORDS = 8
 #: Lines after which a chunk ends if no hash hits, as in a text of one repeated line.
 LONGEST = 64
 _LINE = re.compile(r"[^\n.!?]*[.!?]*[^\S\n]*\n?|\n")
-_PHYSICAL = re.compile(r"[^\n]*\n|[^\n]+")
-_MASK = (1 << 64) - 1
+#: Odd, so that its powers have inverses modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_LOW = (1 << 32) - 1
 
 
 def cut_lines(text: str) -> list:
@@ -45,37 +47,50 @@ def cut_lines(text: str) -> list:
     return [x for x in _LINE.findall(text) if x]
 
 
-def chunks(text: str) -> tuple:
-    """(lines, ends of the chunks)."""
-    lines, ends, before, start, held = [], [], 0, 0, 0
-    for physical in text.replace("\n", "\n\0").split("\0") if "\0" not in text else _PHYSICAL.findall(text):
-        parts = cut_lines(physical)
-        long = len(parts) > 1 and physical.count(" ") + 1 >= LONG_LINE
-        if long and len(lines) > start:
-            ends.append(start := len(lines))
-        if long:
-            before = held = 0
-        for part in parts:
-            bare = part.strip()
-            h = xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass"))
-            lines.append(part)
-            held += bare.count(" ") + 1
-            mixed = (before * 0x9E3779B97F4A7C15 + h * 0xC2B2AE3D27D4EB4F) & _MASK
-            before = h
-            if held >= SEED_WORDS and (mixed >> 40) % RATE == 0 or len(lines) - start >= LONGEST:
-                ends.append(start := len(lines))
-                held = 0
-        if long:
-            before = held = 0
-            if len(lines) > start:
-                ends.append(start := len(lines))
-    if len(lines) > start:
-        ends.append(len(lines))
-    return lines, ends
-
-
-def _chunk_hash(lines: list) -> int:
-    return xxhash.xxh3_64_intdigest("\n".join([x.strip() for x in lines]).encode("utf-8", "surrogatepass")) - (1 << 63)
+_POWERS: list = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list:
+    """Powers of ``_BASE``, and of its inverse, for n lines at least."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(max(n, 1 << 16), x, dtype=np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.multiply.accumulate(factors)
+    return _POWERS
+
+
+def windows(texts: list, min_words: int) -> tuple:
+    """(hash, text, first line, lines) of the windows of all texts, as arrays; lines
+    are numbered within their text."""
+    every = [cut_lines(t) for t in texts]
+    sizes = np.array([len(x) for x in every], dtype=np.int64)
+    n = int(sizes.sum())
+    words = np.fromiter((len(x.split()) for lines in every for x in lines), dtype=np.int64, count=n)
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter((digest(x.strip().encode("utf-8", "surrogatepass")) for lines in every for x in lines), dtype=np.uint64, count=n)
+    of = np.repeat(np.arange(len(every)), sizes)
+    last = np.cumsum(sizes)
+    start = last - sizes
+    need = max(1, min_words)
+    total = np.concatenate([[0], np.cumsum(words)])
+    # the window that starts with a line ends before line ``up``; the one that ends with it starts at ``down``
+    up = np.searchsorted(total, total[:-1] + need, side="left")
+    down = np.searchsorted(total, total[1:] - need, side="right") - 1
+    at = np.arange(n)
+    ahead = up <= last[of]
+    back = down >= start[of]
+    back[back] = up[down[back]] != at[back] + 1
+    first, end = np.concatenate([at[ahead], down[back]]), np.concatenate([up[ahead], at[back] + 1])
+    power, inverse = _powers(n + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
+    value = (sums[end] - sums[first]) * inverse[first]
+    value ^= (end - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(32)
+    text = of[first]
+    return value.view(np.int64), text, first - start[text], end - first
 
 
 def _words(lines: list) -> int:
@@ -102,51 +117,81 @@ def _squeezed(column):
     return z(column)
 
 
-def _seeds(rows: DataFrame) -> DataFrame:
-    """(doc, at, rep_doc, rep_at): the first line of every chunk that has an earlier
-    place, and that place. Chunk hashes travel as packed arrays, a few rows a task."""
+def _packed(a: np.ndarray, part: np.ndarray) -> pd.DataFrame:
+    """The rows of ``a`` as one blob a part."""
+    order = np.argsort(part, kind="stable")
+    a, part = a[order], part[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    blobs = [x.tobytes() for x in np.split(a, cuts[1:])] if len(a) else []
+    return pd.DataFrame({"part": part[cuts].astype(np.int32), "blob": blobs})
+
+
+def _unpacked(group: pd.DataFrame, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(group["blob"]), dtype="<i8").reshape(-1, width)
+
+
+def _repeats(rows: DataFrame, min_words: int) -> DataFrame:
+    """(doc, rep_doc, places, low, high): stretches of lines that have an earlier place,
+    as packed triples (at, rep_at, lines), and the lines low to high of the kept
+    document that they name. Windows travel as packed arrays, a few rows a task."""
     parts = tasks_for(rows.sparkSession)
 
     def hashes(batches):
         only_cache(None)
-        held: list = []
+        held, count = [], 0
 
         def pack():
-            a = np.array(held, dtype="<i8").reshape(-1, 3)
-            part = a[:, 0] % parts
-            order = np.argsort(part, kind="stable")
-            a, part = a[order], part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blobs = [x.tobytes() for x in np.split(a, cuts[1:])]
-            return pd.DataFrame({"part": part[cuts], "blob": blobs})
+            a = np.concatenate(held)
+            return _packed(a, a[:, 0] % parts)
 
         for batch in batches:
-            for doc, text in zip(batch["doc"].tolist(), as_texts(batch["text"])):
-                lines, ends = chunks(text)
-                first = 0
-                for last in ends:
-                    if _words(lines[first:last]) >= SEED_WORDS:
-                        held.append((_chunk_hash(lines[first:last]), doc, first))
-                    first = last
-            if len(held) >= 500_000:
+            value, text, first, size = windows(as_texts(batch["text"]), min_words)
+            doc = batch["doc"].to_numpy(dtype=np.int64)[text]
+            held.append(np.stack([value, doc, (first << 32) | size], axis=1))
+            count += len(value)
+            if count >= 500_000:
                 yield pack()
-                held = []
-        if held:
+                held, count = [], 0
+        if count:
             yield pack()
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
-        a = np.frombuffer(b"".join(group["blob"]), dtype="<i8").reshape(-1, 3)
+        a = _unpacked(group, 3)
         a = a[np.lexsort((a[:, 2], a[:, 1], a[:, 0]))]
         starts = np.flatnonzero(np.diff(a[:, 0], prepend=a[0, 0] - 1 if a[0, 0] > -(1 << 62) else 1))
         sizes = np.diff(np.append(starts, len(a)))
         first = np.repeat(starts, sizes)
         several = a[np.append(starts[1:], len(a)) - 1, 1] != a[starts, 1]
-        keep = np.repeat(several, sizes) & (np.arange(len(a)) != first)
-        out = np.concatenate([a[keep, 1:], a[first[keep], 1:]], axis=1)
-        return pd.DataFrame(out, columns=["doc", "at", "rep_doc", "rep_at"])
+        earlier = (a[:, 1] != a[first, 1]) | (a[:, 2] >> 32 > a[first, 2] >> 32)
+        keep = np.repeat(several, sizes) & earlier
+        out = np.stack([a[keep, 1], a[first[keep], 1], a[keep, 2], a[first[keep], 2] >> 32], axis=1)
+        return _packed(out, out[:, 0] % parts)
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        """Windows on one diagonal that meet become one stretch."""
+        a = _unpacked(group, 4)
+        doc, rep, at, size, rep_at = a[:, 0], a[:, 1], a[:, 2] >> 32, a[:, 2] & _LOW, a[:, 3]
+        order = np.lexsort((at, at - rep_at, rep, doc))
+        doc, rep, at, end, rep_at = doc[order], rep[order], at[order], (at + size)[order], rep_at[order]
+        lag = at - rep_at
+        pair = np.ones(len(a), dtype=bool)
+        pair[1:] = (doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1])
+        new = pair.copy()
+        new[1:] |= lag[1:] != lag[:-1]
+        line = np.cumsum(new) << 32
+        reach = np.maximum.accumulate(line + end)
+        new[1:] |= (line + at)[1:] > reach[:-1]
+        cuts = np.flatnonzero(new)
+        doc, rep, at, rep_at, pair = doc[cuts], rep[cuts], at[cuts], rep_at[cuts], pair[cuts]
+        size = (reach[np.append(cuts[1:], len(a)) - 1] & _LOW) - at
+        pairs = np.flatnonzero(pair)
+        places = [x.tobytes() for x in np.split(np.stack([at, rep_at, size], axis=1), pairs[1:])]
+        low, high = np.minimum.reduceat(rep_at, pairs), np.maximum.reduceat(rep_at + size, pairs)
+        return pd.DataFrame({"doc": doc[pairs], "rep_doc": rep[pairs], "places": places, "low": low, "high": high})
 
     packed = rows.mapInPandas(hashes, "part int, blob binary")
-    return packed.groupBy("part").applyInPandas(repeated, "doc long, at long, rep_doc long, rep_at long")
+    found = packed.groupBy("part").applyInPandas(repeated, "part int, blob binary")
+    return found.groupBy("part").applyInPandas(joined, "doc long, rep_doc long, places binary, low long, high long")
 
 
 def remove_repeated_passages(
@@ -164,57 +209,46 @@ def remove_repeated_passages(
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
     own_id, own_text = f"c{others.index(id_column)}", f"c{others.index(text_column)}"
     rows = renamed.select(id_in(own_id).alias("doc"), F.col(own_text).cast("string").alias("text"))
-    seeds = _seeds(rows)
-    # per document and kept document: the places, and the stretch of the kept text to look at
-    wanted = seeds.groupBy("doc", "rep_doc").agg(
-        F.collect_list(F.struct("at", "rep_at")).alias("places"), F.min("rep_at").alias("low"), F.max("rep_at").alias("high")
-    )
-    wanted = materialize(wanted, "repeats")
+    wanted = materialize(_repeats(rows, min_words), "repeats")
     stretches = wanted.select("rep_doc", "low", "high").distinct()
     packed = rows.where("text is not null").select("doc", _squeezed(F.col("text")).alias("z"))
 
     @F.pandas_udf("binary")
     def stretch(z: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        """The lines from the chunk before ``low`` to the chunk after ``high``, with
-        the number of the first."""
-        out, last, cut = [], None, None
+        """Lines ``low`` to ``high``, with the number of the first."""
+        out, last, lines = [], None, None
         for x, a, b in zip(z, low.tolist(), high.tolist()):
             if x is not last:
-                last, cut = x, chunks(expand(x).decode("utf-8", "surrogatepass"))
-            lines, ends = cut
-            borders = [0, *ends]
-            i = int(np.searchsorted(borders, a, side="left"))
-            j = int(np.searchsorted(borders, b, side="right"))
-            first, end = borders[max(0, i - 1)], borders[min(len(borders) - 1, j + 1)]
-            body = json.dumps([first, *lines[first:end]])
-            out.append(squeeze(body.encode()))
+                last, lines = x, cut_lines(expand(x).decode("utf-8", "surrogatepass"))
+            out.append(squeeze(json.dumps([a, *lines[a:b]]).encode()))
         return pd.Series(out)
 
-    kept = packed.withColumnRenamed("doc", "rep_doc").join(stretches, "rep_doc")
+    # merge joins at every size: a small input goes the way a large one does
+    kept = packed.withColumnRenamed("doc", "rep_doc").join(stretches.hint("merge"), "rep_doc")
     kept = kept.select("rep_doc", "low", "high", stretch("z", "low", "high").alias("lines"))
     sent = (
-        wanted.join(kept, ["rep_doc", "low", "high"])
+        wanted.hint("merge").join(kept, ["rep_doc", "low", "high"])
         .select("doc", F.struct("rep_doc", "places", "lines").alias("repeat"))
         .groupBy("doc")
         .agg(F.collect_list("repeat").alias("repeats"))
     )
 
     @F.pandas_udf("struct<text: string, removed_words: long, spans: array<struct<start: long, end: long>>>")
-    def cut(z: pd.Series, doc: pd.Series, repeats: pd.Series) -> pd.DataFrame:
+    def cut(z: pd.Series, repeats: pd.Series) -> pd.DataFrame:
         out = []
-        for x, d, found in zip(z, doc.tolist(), repeats):
+        for x, found in zip(z, repeats):
             text = None if x is None else expand(x).decode("utf-8", "surrogatepass")
             if text is None or found is None or not len(found):
                 out.append((text, 0, []))
                 continue
-            out.append(_apply(text, d, found, min_words))
+            out.append(_apply(text, found, min_words))
         return pd.DataFrame(out, columns=["text", "removed_words", "spans"])
 
     names = [f"c{k}" for k in range(len(others)) if f"c{k}" != own_text]
     whole = renamed.select(
         *names, id_in(own_id).alias("doc"), F.when(F.col(own_text).isNotNull(), _squeezed(F.col(own_text).cast("string"))).alias("z")
     )
-    done = whole.join(sent, "doc", "left").withColumn("cut", cut("z", "doc", "repeats"))
+    done = whole.join(sent.hint("merge"), "doc", "left").withColumn("cut", cut("z", "repeats"))
     return done.select(
         *[(F.col("cut.text") if f"c{k}" == own_text else F.col(f"c{k}")).alias(c) for k, c in enumerate(others)],
         F.col("cut.removed_words").alias("removed_words"),
@@ -222,28 +256,19 @@ def remove_repeated_passages(
     )
 
 
-def _apply(text: str, doc: int, repeats, min_words: int) -> tuple:
-    """Compare the chunks with what is kept elsewhere, grow, and cut."""
-    lines, _ = chunks(text)
+def _apply(text: str, repeats, min_words: int) -> tuple:
+    """Compare the lines with those kept elsewhere, and cut."""
+    lines = cut_lines(text)
     bare = [x.strip() for x in lines]
     gone = np.zeros(len(lines), dtype=bool)
-    for repeat in sorted(repeats, key=lambda r: r["rep_doc"]):
-        first, *other = json.loads(expand(repeat["lines"]))
+    for repeat in repeats:
+        low, *other = json.loads(expand(repeat["lines"]))
         other = [x.strip() for x in other]
-        for place in sorted(repeat["places"], key=lambda p: p["at"]):
-            i, j = place["at"], place["rep_at"] - first
-            if repeat["rep_doc"] == doc and j + first >= i:
-                continue
-            if not (0 <= j < len(other) and i < len(bare) and bare[i] == other[j]):
-                continue
-            up = 0
-            while i + up < len(bare) and j + up < len(other) and bare[i + up] == other[j + up]:
-                gone[i + up] = True
-                up += 1
-            down = 1
-            while i >= down and j >= down and not gone[i - down] and bare[i - down] == other[j - down]:
-                gone[i - down] = True
-                down += 1
+        for at, rep_at, size in np.frombuffer(repeat["places"], dtype="<i8").reshape(-1, 3).tolist():
+            j = rep_at - low
+            size = min(size, len(bare) - at, len(other) - j)
+            if size > 0:
+                gone[at : at + size] |= np.array([x == y for x, y in zip(bare[at : at + size], other[j : j + size])], dtype=bool)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     place = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
     out, spans, removed, at = [], [], 0, 0
