@@ -238,6 +238,17 @@ def test_lines_inside_longer_lines_and_over_short_lines(spark):
     assert all((p in x) == (k % 3 == 0) for k, x in enumerate(got) for p in passages[k // 3])
 
 
+def test_lines_of_one_long_sentence(spark):
+    r = random.Random(7)
+
+    def words(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(n))
+
+    licence = words(60)
+    texts = ["\n".join([*(words(7) for _ in range(5)), licence, *(words(7) for _ in range(5))]) for _ in range(9)]
+    assert _without_repeats(spark, texts) == [texts[0], *(t.replace(licence + "\n", "") for t in texts[1:])]
+
+
 def test_forest(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((40, 16))
