@@ -145,6 +145,24 @@ def test_ladder(network, spark):
     assert got[201] == 690 and 203 not in got
 
 
+def test_queries_of_every_stop(spark):
+    import duckdb
+
+    from tramline.plans.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    base = duckdb.connect()
+    for name in ("nation", "supplier", "orders", "lineitem"):
+        base.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    stops = {x[0] for x in base.sql("SELECT s_suppkey FROM supplier").fetchall()}
+    for name in ("j4_boardings", "j5_rides", "j7_footpaths", "a8_earliest_arrivals"):
+        rows = sorted(tuple(x) for x in QUERIES[f"{name}_every_stop"](spark, folder).collect())
+        assert rows == sorted(base.sql(ORACLES[f"{name}_every_stop"]).fetchall())
+        if name in ("j4_boardings", "j5_rides"):
+            assert {x[0] for x in rows} == stops
+    assert {x["solve"] for x in QUERIES["q11_ladder"](spark, folder).collect()} == stops
+
+
 def test_plan(network):
     def plan(a, b, when, **options):
         return routing.plan_trip(network, a, b, dt.datetime.fromisoformat(when), **options)

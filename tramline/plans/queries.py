@@ -225,8 +225,8 @@ _BOARD = """SELECT * FROM (SELECT st.stop_id, t.route_id, t.direction_id, t.trip
     FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id WHERE t.service_id = 1 AND st.stop_id % 3 = 0 AND st.dep >= 20000 + st.stop_id * 100) AS b WHERE n = 1"""
 
 
-def _boarded(t, spark):
-    marked = t.stops.where("stop_id % 3 = 0").select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
+def _boarded(t, spark, stops: str = "stop_id % 3 = 0"):
+    marked = t.stops.where(stops).select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
     return routing.boardings(t, marked, spark.createDataFrame([("d", 1)], "date string, service_id long"))
 
 
@@ -251,10 +251,35 @@ def a8_earliest_arrivals(t: Timetable, spark, sf_dir):
     return routing.rides(t, _boarded(t, spark)).groupBy(F.col("to_stop").alias("stop_id")).agg(F.min("arr").alias("at"))
 
 
+#: The four queries above take one stop in three, as their SQL does; the four below take every stop.
+_BOARD_ALL = _BOARD.replace(" AND st.stop_id % 3 = 0", "")
+
+
+@query(f"SELECT stop_id, route_id, direction_id, headsign, dep, trip_id, board_seq FROM ({_BOARD_ALL}) AS x")
+def j4_boardings_every_stop(t: Timetable, spark, sf_dir):
+    return _boarded(t, spark, "true").select("stop_id", "route_id", "direction_id", "headsign", "dep", "trip_id", "board_seq")
+
+
+@query(f"SELECT b.stop_id, b.trip_id, d.stop_id AS to_stop, d.stop_sequence AS seq, d.arr FROM ({_BOARD_ALL}) AS b JOIN v_stop_times d ON d.trip_id = b.trip_id AND d.stop_sequence > b.board_seq")
+def j5_rides_every_stop(t: Timetable, spark, sf_dir):
+    return routing.rides(t, _boarded(t, spark, "true")).select("stop_id", "trip_id", "to_stop", "seq", "arr")
+
+
+@query(f"""SELECT w.to_stop_id AS stop_id, min(b.dep + w.min_walk_seconds) AS at FROM ({_BOARD_ALL}) AS b JOIN v_transfers w ON w.from_stop_id = b.stop_id WHERE w.type <> 'pathway' GROUP BY w.to_stop_id""")
+def j7_footpaths_every_stop(t: Timetable, spark, sf_dir):
+    labels = _boarded(t, spark, "true").select("stop_id", F.col("dep").alias("at"))
+    return routing.walks(t, labels).groupBy(F.col("to_stop_id").alias("stop_id")).agg(F.min(F.col("at") + F.col("min_walk_seconds")).cast("int").alias("at"))
+
+
+@query(f"""SELECT to_stop AS stop_id, min(arr) AS at FROM (SELECT b.stop_id, d.stop_id AS to_stop, d.arr FROM ({_BOARD_ALL}) AS b JOIN v_stop_times d ON d.trip_id = b.trip_id AND d.stop_sequence > b.board_seq) AS x GROUP BY to_stop""")
+def a8_earliest_arrivals_every_stop(t: Timetable, spark, sf_dir):
+    return routing.rides(t, _boarded(t, spark, "true")).groupBy(F.col("to_stop").alias("stop_id")).agg(F.min("arr").alias("at"))
+
+
 @query()
 def q11_ladder(t: Timetable, spark, sf_dir):
-    """Earliest arrivals from four stops at 08:00, two transfers."""
-    seeds = spark.createDataFrame([(i, s, WHEN) for i, s in enumerate((1, 2, 3, 7))], "solve long, stop_id long, at long")
+    """Earliest arrivals from every stop at 08:00, two transfers; the stop is the solve."""
+    seeds = t.stops.select(F.col("stop_id").alias("solve"), "stop_id", F.lit(WHEN).cast("long").alias("at"))
     labels = routing.ladder(t, seeds, max_transfers=2)
     return labels.groupBy("solve", "stop_id").agg(F.min("at").alias("at"))
 
