@@ -249,6 +249,23 @@ def test_lines_of_one_long_sentence(spark):
     assert _without_repeats(spark, texts) == [texts[0], *(t.replace(licence + "\n", "") for t in texts[1:])]
 
 
+def test_lines_with_an_earlier_excerpt(spark):
+    r = random.Random(8)
+
+    def sentence(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(n)) + ".\n"
+
+    texts, want = [[], [], []], [[], [], []]
+    for _ in range(8):
+        passage = [sentence(12) for _ in range(5)]
+        # three lines of 36 words, then the whole passage twice
+        for k, part in enumerate(("".join(passage[1:4]), "".join(passage), "".join(passage))):
+            around = sentence(9), sentence(9)
+            texts[k].append(around[0] + part + around[1])
+            want[k].append(around[0] + ("" if k == 2 else part) + around[1])
+    assert _without_repeats(spark, sum(texts, [])) == sum(want, [])
+
+
 def test_forest(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((40, 16))
