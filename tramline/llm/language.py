@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import id_in, id_out
-from .units import UnitEncoder, as_texts
+from .shared import bounded_batches
+from .units import UnitEncoder, as_texts, slices
 
 #: First code points of script ranges, in order.
 SCRIPT_RANGES = [
@@ -70,28 +70,33 @@ def _grams(points: np.ndarray, owner: np.ndarray):
 @dataclass
 class LanguageModel:
     """``score[language, bucket]``: log probabilities; ``scripts[language, script]``:
-    whether the language is written in it; ``prior``: languages by share."""
+    whether the language is written in it."""
 
     languages: list
     score: np.ndarray
     scripts: np.ndarray
-    prior: np.ndarray
     switch_penalty: float = 12.0
 
     def words(self, words: list):
-        """Scores per word and language, and letter counts."""
+        """Scores per word and language, letter counts, and whether some language is
+        written in the word's script. The script narrows the languages that score at
+        all; the others stand far below the worst of them."""
         points, owner, letters, script = _flat(words)
-        out = np.zeros((len(words), len(self.languages)))
+        allowed = np.where(script[:, None] >= 0, self.scripts.T[np.maximum(script, 0)], False)
+        known = allowed.any(axis=1)
+        out = np.full((len(words), len(self.languages)), np.inf)
+        out[allowed] = 0.0
         for word, bucket in _grams(points, owner):
             for k in range(len(self.languages)):
-                out[:, k] += np.bincount(word, weights=self.score[k, bucket], minlength=len(words))
+                mine = allowed[word, k]
+                if mine.any():
+                    at, found = (word, bucket) if mine.all() else (word[mine], bucket[mine])
+                    out[:, k] += np.bincount(at, weights=self.score[k, found], minlength=len(words))
         out /= len(GRAMS)
-        allowed = np.where(script[:, None] >= 0, self.scripts.T[np.maximum(script, 0)], False)
-        known = allowed.any(axis=1)
-        worst = out.min(axis=1, keepdims=True) - 20.0
-        out = np.where(allowed, out, worst)
+        worst = np.where(known, out.min(axis=1), 0.0) - 20.0
+        out = np.where(allowed, out, worst[:, None])
         out[~known | (letters == 0)] = 0.0
-        return out, letters
+        return out, letters, known
 
 
 def train(
@@ -104,7 +109,7 @@ def train(
     """Fit on whole texts of at most about ``max_documents`` labelled rows, those
     with the least hash of the id; all of them where there are fewer. Rows with
     null text or label are passed over; None where no row is left."""
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.xxhash64(F.col(id_column).cast("long")).alias("h"),
         F.col(text_column).cast("string").alias("text"),
         F.col(lang_column).cast("string").alias("lang"),
@@ -149,8 +154,7 @@ def train(
     grams, scripts = full[:, :BUCKETS] + 0.5, full[:, BUCKETS:]
     score = np.log(grams / grams.sum(axis=1, keepdims=True))
     used = scripts > 0.01 * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    prior = np.array([shares[x] for x in languages], dtype=np.float64)
-    return LanguageModel(languages, score.astype(np.float32), used, prior / prior.sum())
+    return LanguageModel(languages, score.astype(np.float32), used)
 
 
 def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -203,22 +207,23 @@ class _Labeller:
     def _clear(self):
         self.size = 0
         self.scores = np.zeros((1024, len(self.model.languages)), dtype=np.float32)
-        self.letters = np.zeros(1024, dtype=np.int64)
+        self.letters = np.zeros((1024, 2), dtype=np.int64)  # in all, and in scripts that a language uses
 
     def _encode(self, words: list) -> list:
-        scores, letters = self.model.words([w.lower() for w in words])
+        scores, letters, known = self.model.words([w.lower() for w in words])
         end = self.size + len(words)
         if end > len(self.letters):
             room = max(end, 2 * len(self.letters))
             grow = room - len(self.letters)
             self.scores = np.concatenate([self.scores, np.zeros((grow, self.scores.shape[1]), dtype=np.float32)])
-            self.letters = np.concatenate([self.letters, np.zeros(grow, dtype=np.int64)])
-        self.scores[self.size : end], self.letters[self.size : end] = scores, letters
+            self.letters = np.concatenate([self.letters, np.zeros((grow, 2), dtype=np.int64)])
+        self.scores[self.size : end] = scores
+        self.letters[self.size : end] = np.stack([letters, letters * known], axis=1)
         self.size, first = end, self.size
         return list(range(first, end))
 
     def label(self, texts: list):
-        """(words' rows, labels) per text."""
+        """(words' rows, labels) per text, for texts of one slice."""
         lists = [np.array(x, dtype=np.int64) for x in self.units.texts(texts)]
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         words = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
@@ -226,48 +231,64 @@ class _Labeller:
         labels = viterbi(words, starts, lengths, self.scores, self.model.switch_penalty)
         return words, labels, starts, lengths
 
+    def predict(self, texts: list, with_spans: bool) -> list:
+        """(language, score, spans) of every text."""
+        languages, out = self.model.languages, []
+        kinds = len(languages)
+        for lo, hi in slices(texts):
+            words, labels, starts, lengths = self.label(texts[lo:hi])
+            letters = self.letters[words]
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            votes = np.bincount(owner * kinds + labels, weights=letters[:, 1], minlength=len(lengths) * kinds)
+            votes = votes.reshape(len(lengths), kinds)
+            total = np.bincount(owner, weights=letters[:, 0], minlength=len(lengths))
+            best = votes.argmax(axis=1)
+            spans: list = [[] for _ in lengths]
+            if with_spans:
+                breaks = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+                for first, last in zip(breaks, [*breaks[1:], len(words)]):
+                    d = owner[first]
+                    spans[d].append({"first": int(first - starts[d]), "last": int(last - starts[d]), "lang": languages[labels[first]]})
+            for d in range(len(lengths)):
+                if total[d]:
+                    out.append((languages[best[d]], float(votes[d, best[d]] / total[d]), spans[d]))
+                else:
+                    out.append(("und", 0.0, []))
+        return out
+
+
+def predicted_column(spark: SparkSession, model: LanguageModel | None, text, with_spans: bool = True):
+    """struct(lang_pred, score, spans) of a column of texts, see ``predict``; without
+    ``with_spans`` the spans are empty."""
+    shared = spark.sparkContext.broadcast(model)
+    labellers: dict = {}
+
+    @F.pandas_udf("lang_pred string, score double, spans array<struct<first: int, last: int, lang: string>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        fitted = shared.value
+        if fitted is None:
+            return pd.DataFrame({"lang_pred": "und", "score": 0.0, "spans": [[]] * len(texts)}, index=range(len(texts)))
+        if not labellers:
+            labellers[0] = _Labeller(fitted)
+        return pd.DataFrame(labellers[0].predict(as_texts(texts), with_spans), columns=["lang_pred", "score", "spans"])
+
+    return run(text.cast("string"))
+
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def predict(
+    docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_id", text_column: str = "text", with_spans: bool = True
+) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of whole texts.
 
-    ``score``: share of the text's letters in spans of the predicted language.
+    ``score``: share of the text's letters in spans of the predicted language; letters
+    of words in a script that no learned language uses are in no one's share.
     ``spans``: runs of words (number of the first, one past the last; white space
     separates words) with their language. Null text, and text without a letter, is
     ``und`` with score 0 and no spans, as is every text without a model. Ties go to
-    the language that comes first in the alphabet. A null id stays null.
+    the language that comes first in the alphabet. A null id stays null; repeated rows
+    are predicted each; other columns are not read; an empty table gives none.
     """
-    rows = docs.select(id_in(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        fitted = shared.value
-        labeller = _Labeller(fitted) if fitted else None
-        for batch in batches:
-            texts, out = as_texts(batch["text"]), []
-            if labeller is None:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": "und", "score": 0.0, "spans": [[]] * len(texts)})
-                continue
-            for at in range(0, len(texts), 2500):
-                words, labels, starts, lengths = labeller.label(texts[at : at + 2500])
-                letters = labeller.letters[words]
-                kinds = len(fitted.languages)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                votes = np.bincount(owner * kinds + labels, weights=letters, minlength=len(lengths) * kinds)
-                votes = votes.reshape(len(lengths), kinds)
-                total = votes.sum(axis=1)
-                best = votes.argmax(axis=1)
-                breaks = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-                spans: list = [[] for _ in lengths]
-                for first, last in zip(breaks, [*breaks[1:], len(words)]):
-                    d = owner[first]
-                    spans[d].append({"first": int(first - starts[d]), "last": int(last - starts[d]), "lang": fitted.languages[labels[first]]})
-                for d in range(len(lengths)):
-                    if total[d]:
-                        out.append((fitted.languages[best[d]], float(votes[d, best[d]] / total[d]), spans[d]))
-                    else:
-                        out.append(("und", 0.0, []))
-            made = pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
-            yield made.assign(doc_id=batch["doc_id"])[["doc_id", "lang_pred", "score", "spans"]]
-
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<first: int, last: int, lang: string>>"
-    return rows.mapInPandas(run, schema).withColumn("doc_id", id_out("doc_id"))
+    bounded_batches(docs)
+    found = predicted_column(docs.sparkSession, model, F.col(f"`{text_column}`"), with_spans)
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), found.alias("p"))
+    return rows.select("doc_id", "p.lang_pred", "p.score", "p.spans")

@@ -5,31 +5,32 @@ the target, fitted on a bounded sample of labelled good documents, and one of th
 raw text, counted over every document; the target is smoothed towards the raw
 model. A document's log weight is the mean log ratio of its n-grams times
 ``REFERENCE_LENGTH``, as if all documents had that many, so that length alone
-neither saves nor condemns one; few n-grams pull the mean to zero. Adding independent Gumbel noise and taking the largest
-k keys samples k documents without replacement in proportion to the weights.
+neither saves nor condemns one; few n-grams pull the mean to zero. Adding
+independent Gumbel noise and taking the k largest keys samples k documents without
+replacement in proportion to the weights.
 
-k is given, or found from the labels: the boundary between good and bad labelled
-documents sets the least key to be kept, and k is the number of documents above
-it. Selecting by that key and taking the top k are then the same.
+k is the number of documents whose log weight is at or above a boundary, the one
+that parts the good of the labelled documents from the bad best; the noise then
+decides which k are drawn.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import id_in, id_out
+from .shared import NULL_ID, bounded_batches, materialize
 from .units import UnitEncoder, as_texts
 
 BUCKETS = 1 << 16
-REFERENCE_LENGTH = 1000
+REFERENCE_LENGTH = 100
 #: Neutral n-grams added to every document's mean.
 PRIOR_LENGTH = 50
 _TOKENS = regex.compile(r"\w+|[^\w\s]+")
@@ -65,8 +66,15 @@ def _counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
+            held, size = [], 0
             for values in _units().texts(as_texts(batch["text"])):
-                total += np.bincount(_features(values), minlength=BUCKETS)
+                held.append(_features(values))
+                size += len(held[-1])
+                if size > 1 << 18:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
@@ -92,28 +100,44 @@ def _log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 5.0) -> n
     return np.log((target + added * q) / (target.sum() + added)) - np.log(q)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id", text_column: str = "text", seed: int = 7) -> DataFrame:
-    """(doc_id, n_features, log_weight, gumbel_key). The noise depends on the seed,
-    the id and the text, so equal rows get equal keys and a retried task repeats
-    them. Null text is empty: log weight 0 on no features; a null id stays null."""
-    rows = docs.select(id_in(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def scored_column(spark: SparkSession, ratio: np.ndarray, doc_id, text, seed: int = 7):
+    """struct(n_features, log_weight, gumbel_key) of columns ``doc_id`` and ``text``.
 
-    def run(batches):
-        weights = shared.value
-        for batch in batches:
-            texts, out = as_texts(batch["text"]), []
-            for doc_id, text, values in zip(batch["doc_id"].tolist(), texts, _units().texts(texts)):
-                buckets = _features(values)
-                weight = REFERENCE_LENGTH * float(weights[buckets].sum()) / (len(buckets) + PRIOR_LENGTH)
-                h = xxhash.xxh3_64_intdigest(f"{seed} {doc_id} {zlib.crc32(text.encode())}")
-                noise = -np.log(-np.log((h + 0.5) / 2.0**64)) if h + 0.5 < 2.0**64 else 44.0
-                out.append((len(buckets), weight, weight + float(noise)))
-            made = pd.DataFrame(out, columns=["n_features", "log_weight", "gumbel_key"])
-            yield made.assign(doc_id=batch["doc_id"])[["doc_id", "n_features", "log_weight", "gumbel_key"]]
+    The noise is a Gumbel variable drawn by a hash of the seed, the id and the text, so
+    a retried task repeats it, and rows equal in both get equal keys. Null text is
+    empty: log weight 0 on no features."""
+    shared = spark.sparkContext.broadcast(ratio)
+
+    @F.pandas_udf("n_features long, log_weight double, gumbel_key double")
+    def run(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        weights, texts, out = shared.value, as_texts(texts), []
+        for doc_id, text, values in zip(ids.tolist(), texts, _units().texts(texts)):
+            buckets = _features(values)
+            weight = log_weight(float(weights[buckets].sum()), len(buckets))
+            out.append((len(buckets), weight, weight + gumbel(seed, doc_id, text)))
+        return pd.DataFrame(out, columns=["n_features", "log_weight", "gumbel_key"])
+
+    return run(F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)), text.cast("string"))
+
+
+def log_weight(total: float, n: int) -> float:
+    """The weight of ``n`` n-grams whose log ratios sum to ``total``."""
+    return REFERENCE_LENGTH * total / (n + PRIOR_LENGTH)
 
-    schema = "doc_id long, n_features long, log_weight double, gumbel_key double"
-    return rows.mapInPandas(run, schema).withColumn("doc_id", id_out("doc_id"))
+
+def gumbel(seed: int, doc_id: int, text: str) -> float:
+    """Standard Gumbel noise, by hash."""
+    h = xxhash.xxh3_64_intdigest(f"{seed} {doc_id} {xxhash.xxh3_64_hexdigest(text.encode('utf-8', 'surrogatepass'))}")
+    return -math.log(-math.log((h + 0.5) / 2.0**64)) if h < (1 << 64) - 2048 else 44.0
+
+
+def score(docs: DataFrame, ratio: np.ndarray, id_column: str = "doc_id", text_column: str = "text", seed: int = 7) -> DataFrame:
+    """(doc_id, n_features, log_weight, gumbel_key) of every row, see
+    ``scored_column``; a null id stays null, other columns are not read."""
+    bounded_batches(docs)
+    doc_id, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
+    rows = docs.select(doc_id.cast("long").alias("doc_id"), scored_column(docs.sparkSession, ratio, doc_id, text, seed).alias("s"))
+    return rows.select("doc_id", "s.n_features", "s.log_weight", "s.gumbel_key")
 
 
 def fit(
@@ -130,7 +154,7 @@ def fit(
     boundary. Without good or without bad documents the boundary is minus infinity:
     everything is kept. Null labels count as not given; conflicting labels of one
     id as bad."""
-    plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    plain = bounded_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
         .where("doc_id is not null and good is not null and not (good and toxic)")
@@ -182,38 +206,65 @@ def _boundary(weight: np.ndarray, good: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
-def gumbel_top_k(scored: DataFrame, k: int, key: str = "gumbel_key", id_column: str = "doc_id") -> DataFrame:
-    """The k rows with the largest keys; of equal keys the least ids. NaN and null
-    keys come last. Narrows the interval that holds the k-th key by histograms, so
-    that the driver never sees more than a bounded number of keys."""
-    rows = scored.withColumn("_key", F.coalesce(F.nanvl(F.col(key), F.lit(-1e300)), F.lit(-1e300)))
+def kth_largest(rows: DataFrame, k: int, column: str, bins: int = 1024, few: int = 20_000) -> float:
+    """The k-th largest value of a column of numbers: minus infinity where there are
+    fewer, infinity where k is not positive. The interval that holds it is narrowed by
+    histograms until it has at most ``few`` rows or one value, so the driver sees a
+    bounded number of values however many rows there are."""
     if k <= 0:
-        return scored.limit(0)
-    low, high, n = rows.agg(F.min("_key"), F.max("_key"), F.count("*")).first()
-    if n <= k:
-        return scored
-    above, bins = 0, 1024
-    for _ in range(40):
+        return math.inf
+    value = F.col(column)
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    if n < k:
+        return -math.inf
+    left = k  # the value is the left-th largest of those up to high
+    while low < high:
+        inside = rows.where((value >= low) & (value <= high))
+        if n <= few:
+            values = np.sort(inside.select(value).toPandas().iloc[:, 0].to_numpy(dtype=np.float64))
+            return float(values[-left])
         step = (high - low) / bins
-        inside = rows.where((F.col("_key") >= low) & (F.col("_key") <= high))
-        if step <= 0 or inside.limit(20_001).count() <= 20_000:
-            break
-        at = F.least(F.floor((F.col("_key") - low) / step), F.lit(bins - 1)).alias("b")
-        counts = {x["b"]: x["n"] for x in inside.groupBy(at).agg(F.count("*").alias("n")).collect()}
-        for b in range(bins - 1, -1, -1):
-            if above + counts.get(b, 0) >= k:
-                low, high = low + b * step, low + (b + 1) * step if b < bins - 1 else high
+        at = F.least(F.floor((value - low) / step), F.lit(bins - 1)).alias("b")
+        # at most ``bins`` rows
+        found = inside.groupBy(at).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+        for x in sorted(found, key=lambda x: -x["b"]):
+            if left <= x["n"]:
+                low, high, n = x["low"], x["high"], x["n"]
                 break
-            above += counts.get(b, 0)
-    # ties and the last interval, by key and id; the rest is decided by comparison alone
-    above = rows.where(F.col("_key") > high).count()
-    edge = rows.where((F.col("_key") >= low) & (F.col("_key") <= high)).orderBy(F.desc("_key"), id_column)
-    taken = edge.limit(k - above)
-    return rows.where(F.col("_key") > high).unionByName(taken).drop("_key")
+            left -= x["n"]
+    return low
+
+
+def gumbel_top_k(scored: DataFrame, k: int, key: str = "gumbel_key") -> DataFrame:
+    """The k rows with the largest keys, and those whose key equals the k-th one: rows
+    equal in id and text stay together. ``scored`` is read several times, so store it
+    first."""
+    return scored.where(F.col(key) >= F.lit(kth_largest(scored, k, key)))
 
 
 def resample(docs: DataFrame, model: ResamplingModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``score`` plus ``selected``: whether the document's key is among the top k,
-    k being the number of keys at or above the model's boundary."""
-    scored = score(docs, model.ratio, id_column, text_column)
-    return scored.withColumn("selected", F.col("gumbel_key") >= F.lit(model.boundary))
+    """``score`` plus ``selected``: whether the row is among the Gumbel top k, k being
+    the number of documents whose log weight is at or above the model's boundary.
+    Repeated rows are documents of their own, with equal keys; an empty table gives an
+    empty result."""
+    scored = materialize(score(docs, model.ratio, id_column, text_column), "scored")
+    cut = kth_largest(scored, expected(scored, model), "gumbel_key")
+    return scored.withColumn("selected", F.col("gumbel_key") >= F.lit(cut))
+
+
+def expected(scored: DataFrame, model: ResamplingModel) -> int:
+    """How many documents are to be drawn."""
+    return scored.where(F.col("log_weight") >= F.lit(model.boundary)).count()
+
+
+def draw(docs: DataFrame, model: ResamplingModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``resample`` selects, all columns kept. Each row's key
+    stands beside it in a stored table, so nothing is joined by id."""
+    bounded_batches(docs)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in (id_column, text_column))
+    keyed = rows.withColumn("s", scored_column(docs.sparkSession, model.ratio, doc_id, text))
+    keyed = materialize(keyed.select(*names, "s.log_weight", "s.gumbel_key"), "scored")
+    chosen = gumbel_top_k(keyed, expected(keyed, model))
+    return chosen.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

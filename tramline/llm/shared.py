@@ -13,7 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,12 +42,33 @@ def materialize(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that later stored tables have taken the place
+    of. What was selected from one without another store in between goes with it."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = file.rsplit("/", 1)[0]
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
 
+#: Bytes of rows that a Python worker is handed at a time.
+BATCH_BYTES = 4 << 20
 
-def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInPandas(function, schema)
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_BYTES``: batches are cut
+    by number of rows only, unless this setting says otherwise, and long texts make
+    them as large as they are long. A setting of the session's own stays."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Stands for a null id where ids go through pandas, which would make them floats.
@@ -78,6 +98,7 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
     links and nulls are ignored, and links may repeat.
     """
     both = links.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
+    stored = None
     edges = both.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
@@ -93,6 +114,9 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
             least.select("u", F.col("m").alias("v"))
         )
         edges = materialize(small.where("u <> v").distinct(), "edges", few_files=True)
+        if stored is not None:
+            discard(stored)
+        stored = edges
         # star forest: every u has one parent, and no parent has one of its own
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
             edges.select("v", F.lit(0), F.lit(1))
@@ -108,6 +132,3 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
         roots.select(F.col("v").alias("node"), F.col("v").alias("component"))
     )
 
-
-def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))

@@ -9,6 +9,7 @@ which the pre-tokenizer's own pattern (or the library over the whole text) cuts.
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import pyarrow as pa
@@ -21,11 +22,18 @@ ODD_SPACE = (
     r"[ \n][ \n]|[\t\r\v\f\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}"
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Values held before a cache starts again.
-CACHE_LIMIT = 1_000_000
+#: Characters of text worked on at a time, but for a longer text by itself.
+SLICE = 1 << 20
+#: Estimated bytes of a cache, above which it starts again.
+CACHE_BYTES = 64 << 20
 
 _LOADED: dict = {}
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+
 
 def library_tokenizer(path: str):
     """The tokenizer file, once per process."""
@@ -49,9 +57,28 @@ def only_cache(encoder) -> None:
     if held is not encoder:
         _HOLDER[0] = encoder
         if held is not None:
-            held.cache.clear()
-            held.cleared()
-            pa.default_memory_pool().release_unused()
+            held.clear()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(texts: list):
+    """(first, one past the last) of runs of texts of at most ``SLICE`` characters
+    together, or one longer text."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > SLICE:
+            yield first, k
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 class UnitEncoder:
@@ -66,7 +93,12 @@ class UnitEncoder:
     def __init__(self, encode, keep_space: bool, whole):
         self.encode, self.keep_space, self.whole = encode, keep_space, whole
         self.cache: dict = {}
-        self.limit, self.cleared = CACHE_LIMIT, lambda: None
+        self.held, self.cleared = 0, lambda: None
+
+    def clear(self) -> None:
+        self.cache.clear()
+        self.held = 0
+        self.cleared()
 
     def values(self, units: list) -> list:
         """The values of distinct units."""
@@ -77,16 +109,22 @@ class UnitEncoder:
             new = [units[k] for k in missing]
             got = self.encode(new)
             cache.update(zip(new, got))
+            self.held += 250 * len(new) + 2 * sum(map(len, new))
             for k, x in zip(missing, got):
                 out[k] = x
         return out
 
     def texts(self, texts: list):
-        """One list of values per text, in order; together they encode it."""
+        """One list of values per text, in order; together they encode it. The cache
+        starts again between two slices only, so that values which are places in a
+        table hold for a slice."""
         only_cache(self)
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-            self.cleared()
+        for first, last in slices(texts):
+            if self.held > CACHE_BYTES:
+                self.clear()
+            yield from self._slice(texts[first:last])
+
+    def _slice(self, texts: list):
         odd = pc.match_substring_regex(pa.array(texts, type=pa.large_string()), ODD_SPACE)
         even = [not x for x in odd.to_pylist()]
         if self.keep_space:
@@ -122,7 +160,7 @@ def _plain_words(tokenizer, keep_space: bool, known: dict):
 
     def word(text: str) -> bytes:
         if text not in known:
-            if len(known) > CACHE_LIMIT:
+            if len(known) > CACHE_BYTES // 500:
                 known.clear()
             letters = text.encode().decode("latin-1").translate(table)
             known[text] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(letters)])
