@@ -7,22 +7,21 @@ the set. The join runs over nodes:
    Any order gives right results; this one keeps common passages out of prefixes.
 2. Prefix index. Two sets of the wanted similarity share a shingle within the
    first ``n - ceil(s * n) + 1`` of each. Postings (shingle, node, size, position)
-   go to index parts as packed arrays. A list is kept sorted by size, so that a
-   member looks only at the block of sizes that can reach it, and a pair whose
-   positions leave too few shingles behind them is skipped.
-3. In every block the members are joined to its first one alone; these pairs are
-   verified exactly, and links are put together to components. A member's answers
-   are thereby known from a highly similar set's: whatever is already in one
-   component needs no more comparisons, which are all but a few of a group of
-   near copies.
-4. Lists whose members are in several components still hold unknown pairs. Twice
-   each member is held against the next one of another component, in an order of
-   hashes; then all pairs of a list across components are verified that sizes,
-   positions and bitmaps leave. A set's bitmap has the bits its shingles' hashes
-   name, so a bit that another's lacks is a shingle the other lacks.
-
-So no link between components is missed, and no list of all pairs of a group is
-ever made.
+   go to index parts as packed arrays.
+3. In every list a member is held against three others only: the first one of its
+   block of sizes, and the next one in two orders of hashes, where sizes and
+   positions allow a link. Pairs whose bitmaps leave too few common shingles are
+   skipped, the others verified exactly, and links put together to components. A
+   member's answers are thereby known from a highly similar set's: whatever is
+   already in one component needs no more comparisons, which are all but a few of
+   a group of near copies.
+4. Lists whose members are in several components still hold unknown pairs: all
+   pairs across components that sizes, positions and bitmaps leave are verified.
+   A long list is dealt out as pairs of blocks.
+
+A set's bitmap has the bits its shingles' hashes name, so a bit that another's
+lacks is a shingle the other lacks. No link between components is missed, and no
+list of all pairs of a group is ever made.
 """
 
 from __future__ import annotations
@@ -35,34 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lines import expand, squeeze
-from .shared import connected_components, id_in, id_out, materialize, tasks_for
-from .units import as_texts, only_cache
+from .shared import NULL_ID, bounded_batches, connected_components, discard, id_in, id_out, materialize, tasks_for
+from .units import as_texts, only_cache, release_memory
+from .words import BASE, hash_words, mix, words_of
 
 WORDS = 5
 SKETCH_BITS = 22
 MOST_BITS = 1 << 13
 #: Bytes of text whose shingles are held at a time.
 _WINDOW = 12 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict = {}
-
-
-def _powers(n: int) -> tuple:
-    """base ** i and base ** -i modulo 2 ** 64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        for name, b in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, b, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
 
 
 def shingle_sets(texts: list) -> list:
@@ -82,33 +62,20 @@ def shingle_sets(texts: list) -> list:
 
 
 def _sets_of(texts: list) -> list:
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    edge = np.cumsum([len(t) + 1 for t in texts])
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    flips = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = flips[::2], flips[1::2]
-    if not len(starts):
-        return [np.zeros(0, dtype=np.uint64) for _ in texts]
-    low = data.astype(np.uint64)
-    low[(data >= 65) & (data <= 90)] += np.uint64(32)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((low + np.uint64(1)) * up[: len(data)], out=total[1:], dtype=np.uint64)
-    words = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, edge - np.array([len(t) + 1 for t in texts]), side="left")
-    last = np.append(first[1:], len(words))
+    data, starts, ends, first = words_of([t.lower() for t in texts])  # of bytes: A to Z alone
+    words = hash_words(data, starts, ends)
     n = max(0, len(words) - WORDS + 1)
     shingles = np.full(n, WORDS, dtype=np.uint64)
     for i in range(WORDS):
-        shingles = _mix((shingles ^ words[i : i + n]) * _BASE + np.uint64(i + 1))
+        shingles = mix((shingles ^ words[i : i + n]) * BASE + np.uint64(i + 1))
     out = []
-    for a, b in zip(first.tolist(), last.tolist()):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= WORDS:
             out.append(_distinct(shingles[a : b - WORDS + 1]))
         elif b > a:
             h = np.full(1, b - a, dtype=np.uint64)
             for i in range(b - a):
-                h = _mix((h ^ words[a + i : a + i + 1]) * _BASE + np.uint64(i + 1))
+                h = mix((h ^ words[a + i : a + i + 1]) * BASE + np.uint64(i + 1))
             out.append(h)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -128,14 +95,14 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) - (1 << 63)
 
 
-def _windows(batches, columns=("doc", "text")):
-    """Documents in windows of bounded bytes: (ids, sets)."""
+def _windows(batches):
+    """Documents in windows of bounded bytes: ((id, hash), sets)."""
     only_cache(None)
     ids, texts, size = [], [], 0
     for batch in batches:
-        for d, t in zip(batch[columns[0]].tolist(), as_texts(batch[columns[1]])):
+        for d, h, t in zip(batch["doc"].tolist(), batch["h"].tolist(), as_texts(batch["text"])):
             raw = t.encode("utf-8", "surrogatepass")
-            ids.append(d)
+            ids.append((d, h))
             texts.append(raw)
             size += len(raw) + 64
             if size >= _WINDOW:
@@ -168,11 +135,19 @@ def _folded(bitmaps: list, width: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _most_overlap(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Shingles that a set and others share at most, by their bitmaps."""
-    own = np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64)
-    other = np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64)
-    return np.minimum(size - own, sizes - other)
+def bitmaps_allow(one: list, other: list, sizes, other_sizes, need) -> np.ndarray:
+    """Whether pairs of sets can share as many shingles as they need, by their bitmaps."""
+    width = np.minimum([len(x) for x in one], [len(x) for x in other])
+    ok = np.zeros(len(one), dtype=bool)
+    for w in np.unique(width).tolist():
+        every = np.flatnonzero(width == w)
+        step = max(1, (4 << 20) // w)
+        for rows in np.split(every, range(step, len(every), step)):
+            a, b = _folded([one[k] for k in rows], w), _folded([other[k] for k in rows], w)
+            own = sizes[rows] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+            others = other_sizes[rows] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+            ok[rows] = np.minimum(own, others) >= need[rows]
+    return ok
 
 
 def least_overlap(a, b, percent: int):
@@ -185,7 +160,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sketch_and_nodes(rows: DataFrame) -> tuple:
-    """(doc, n, node, bitmap) of every document, and the recurrence level of every slot."""
+    """(doc, h, n, node, bitmap) of every document, and the recurrence level of every slot."""
     slices = 16
 
     def run(batches):
@@ -193,9 +168,9 @@ def _sketch_and_nodes(rows: DataFrame) -> tuple:
         for ids, sets in _windows(batches):
             nodes, parts = {}, []
             out = []
-            for d, s in zip(ids, sets):
+            for (d, h), s in zip(ids, sets):
                 node = _node(s)
-                out.append((0, d, len(s), node if len(s) else 0, _bitmap(s) if len(s) else None))
+                out.append((0, d, h, len(s), node if len(s) else 0, _bitmap(s) if len(s) else None))
                 if len(s) and node not in nodes:
                     nodes[node] = True
                     parts.append(s)
@@ -209,10 +184,12 @@ def _sketch_and_nodes(rows: DataFrame) -> tuple:
                 np.add.at(seen, _slots(every[starts[several]]), times[several].astype(np.int32))
         if seen.any():
             for k, part in enumerate(np.split(seen, slices)):
-                yield pd.DataFrame([(1, k, 0, 0, zlib.compress(part.astype("<i4").tobytes(), 1))], columns=names)
+                yield pd.DataFrame([(1, k, 0, 0, 0, zlib.compress(part.astype("<i4").tobytes(), 1))], columns=names)
+
+        release_memory()
 
-    names = ["kind", "doc", "n", "node", "blob"]
-    made = materialize(rows.mapInPandas(run, "kind int, doc long, n long, node long, blob binary"), "shingle-sets")
+    names = ["kind", "doc", "h", "n", "node", "blob"]
+    made = materialize(rows.mapInPandas(run, "kind int, doc long, h long, n long, node long, blob binary"), "shingle-sets")
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SKETCH_BITS) // slices, dtype=np.int64)
@@ -226,15 +203,16 @@ def _sketch_and_nodes(rows: DataFrame) -> tuple:
     # 16 rows, four million bytes in all
     for x in made.where("kind = 1").groupBy("doc").applyInPandas(add, "doc long, blob binary").collect():
         levels[x["doc"] * width : (x["doc"] + 1) * width] = np.frombuffer(x["blob"], dtype=np.uint8)
-    return made.where("kind = 0").select("doc", "n", "node", F.col("blob").alias("bitmap")), levels
+    return made.where("kind = 0").select("doc", "h", "n", "node", F.col("blob").alias("bitmap")), levels
 
 
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
 def _index(rows: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """Lists of two nodes or more: (list, node, size, at), lists of the same members
-    once an index part. ``list`` is a hash of the members."""
+    """Lists of two nodes or more as rows (pair = false; x: list, y: node, size, at),
+    lists of the same members once an index part, ``list`` being a hash of the members;
+    and the pairs of step 3 (pair = true; x < y: nodes, their sizes)."""
     parts = 2 * tasks_for(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
@@ -277,42 +255,62 @@ def _index(rows: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
         sizes = np.diff(np.append(starts, len(p)))
         starts, sizes = starts[sizes > 1], sizes[sizes > 1]
         if not len(starts):
-            return pd.DataFrame({"list": [], "node": [], "size": [], "at": []}).astype("int64")
+            return pd.DataFrame({"pair": np.zeros(0, dtype=bool), "x": [], "y": [], "size": [], "at": []}).astype({k: "int64" for k in ("x", "y", "size", "at")})
         rows = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         p = p[rows]
         heads = np.cumsum(sizes) - sizes
-        name = _mix(p["node"].copy().view(np.uint64))
+        name = mix(p["node"].copy().view(np.uint64))
         name = np.add.reduceat(name, heads).view(np.int64)
         # of lists with the same members one is enough, with each member's least position
         same = np.repeat(name, sizes)
-        frame = pd.DataFrame({"list": same, "node": p["node"], "size": p["size"].astype(np.int64), "at": p["at"].astype(np.int64)})
-        return frame.groupby(["list", "node", "size"], as_index=False)["at"].min()
+        frame = pd.DataFrame({"x": same, "y": p["node"], "size": p["size"].astype(np.int64), "at": p["at"].astype(np.int64)})
+        frame = frame.groupby(["x", "y", "size"], as_index=False)["at"].min()
+        frame.insert(0, "pair", False)
+        return pd.concat([frame, _few_pairs(frame, percent)], ignore_index=True)
 
     packed = rows.mapInPandas(post, "part int, blob binary")
-    return packed.groupBy("part").applyInPandas(lists, "list long, node long, size long, at long")
-
-
-def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): within every list, blocks of sizes in reach of their first member;
-    each member with its block's first one."""
+    return packed.groupBy("part").applyInPandas(lists, "pair boolean, x long, y long, size long, at long")
+
+
+def _few_pairs(members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each member of each list the first one of its block of sizes, and the next
+    one in two orders of hashes, where sizes and positions allow a link. The orders are
+    the same in all lists, so lists of much the same members give much the same pairs."""
+    lists, nodes, sizes, places = (members[c].to_numpy() for c in ("x", "y", "size", "at"))
+    block = np.floor(np.log(sizes) / np.log(100 / percent)) if percent < 100 else sizes
+    first, second = [], []
+    for turn in range(3):
+        if turn:
+            h = mix(nodes.view(np.uint64) + np.uint64(turn))
+            order = np.lexsort((nodes, h, lists))
+            a, b = order[:-1], order[1:]
+        else:
+            order = np.lexsort((nodes, sizes, lists))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (lists[order][1:] != lists[order][:-1]) | (block[order][1:] != block[order][:-1])
+            a, b = order[np.flatnonzero(new)[np.cumsum(new) - 1]], order
+        near = (lists[a] == lists[b]) & (nodes[a] != nodes[b])
+        near &= np.minimum(sizes[a] - places[a], sizes[b] - places[b]) >= least_overlap(sizes[a], sizes[b], percent)
+        first.append(a[near])
+        second.append(b[near])
+    a, b = np.concatenate(first), np.concatenate(second)
+    a, b = np.where(nodes[a] < nodes[b], a, b), np.where(nodes[a] < nodes[b], b, a)
+    out = pd.DataFrame({"pair": True, "x": nodes[a], "y": nodes[b], "size": sizes[a], "at": sizes[b]})
+    return out.drop_duplicates(["x", "y"])
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, na, nb) the (a, b) whose bitmaps allow a link."""
 
-    def pairs(batches):
+    def run(batches):
         for batch in batches:
-            lists, nodes, sizes = (batch[c].to_numpy() for c in ("list", "node", "size"))
-            order = np.lexsort((nodes, sizes, lists))
-            a, b = [], []
-            lead, last, reach = None, None, 0
-            for name, node, size in zip(lists[order].tolist(), nodes[order].tolist(), sizes[order].tolist()):
-                if name != last or size * percent > reach:
-                    # a block's first member, and one more within reach of the block before
-                    last, lead, reach = name, node, size * 100
-                    continue
-                a.append(min(lead, node))
-                b.append(max(lead, node))
-            yield pd.DataFrame({"a": a, "b": b}).astype("int64").drop_duplicates()
+            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            ok = bitmaps_allow(batch["ba"].tolist(), batch["bb"].tolist(), na, nb, least_overlap(na, nb, percent))
+            yield batch.loc[ok, ["a", "b"]]
 
-    ordered = members.repartition(tasks_for(members.sparkSession), "list").sortWithinPartitions("list", "size", "node")
-    return ordered.select("list", "node", "size").mapInPandas(pairs, "a long, b long").distinct()
+    sides = pairs.join(bitmaps.select(F.col("node").alias("b"), F.col("bitmap").alias("bb")), "b")
+    sides = sides.join(bitmaps.select(F.col("node").alias("a"), F.col("bitmap").alias("ba")), "a")
+    return sides.select("a", "b", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long")
 
 
 def _intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -357,14 +355,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "za", "zb").mapInPandas(run, "a long, b long")
 
 
-def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components, with component and ``x``,
-    the list's least component."""
-    placed = materialize(members.join(components, "node"), "index-lists")
-    several = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return placed.join(several.select("list", "x"), "list")
-
-
 def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: only the components that these put together are
     worked on, each by its name, its least node."""
@@ -380,86 +370,148 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _neighbour_pairs(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): in the order of a hash of node and turn, each member of a list and the
-    next one, if they are in different components and in reach. The order is the
-    same in all lists, so lists with much the same members give much the same pairs."""
-
-    def pairs(batches):
-        last = None
-        for batch in batches:
-            frame = batch if last is None else pd.concat([last, batch], ignore_index=True)
-            last = frame.iloc[-1:]
-            name, node, size, comp = (frame[c].to_numpy() for c in ("list", "node", "size", "component"))
-            near = (name[1:] == name[:-1]) & (comp[1:] != comp[:-1])
-            near &= np.minimum(size[1:], size[:-1]) * 100 >= np.maximum(size[1:], size[:-1]) * percent
-            x, y = node[1:][near], node[:-1][near]
-            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-    dealt = mixed.select("list", "node", "size", "component", F.xxhash64("node", F.lit(turn)).alias("h"))
-    dealt = dealt.repartition(tasks_for(mixed.sparkSession), "list").sortWithinPartitions("list", "h", "node")
-    return dealt.select("list", "node", "size", "component").mapInPandas(pairs, "a long, b long").distinct()
-
-
-def _open_pairs(mixed: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(members: DataFrame, components: DataFrame, bitmaps: DataFrame, percent: int, block: int = 2000, together: int = 10_000) -> DataFrame:
     """(a, b): all pairs of one list across components that sizes, positions and
-    bitmaps leave. Lists with the same least component stand together, so that a pair that
-    many lists share is mostly found in one task, which returns it once."""
+    bitmaps leave. A list of more than ``block`` members is dealt out as pairs of blocks
+    of members. Lists with the same least component stand together, up to ``together``
+    rows, so that a pair that many lists share is mostly found in one task, which
+    returns it once."""
+    spark = members.sparkSession
+    placed = materialize(members.join(components, "node"), "index-lists")
+    several = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
+    several = several.select("list", "x", F.ceil(F.col("m") / block).cast("int").alias("k"), "m")
+    several = materialize(several, "open-lists", few_files=True)
+    shares = several.groupBy("x").agg(F.ceil(F.sum(F.col("m") * F.col("k")) / together).alias("share"))
+    several = several.join(shares, "x").select("list", "x", "k", F.pmod("list", "share").alias("share"))
+    mixed = placed.join(several, "list").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    mixed = mixed.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).join(bitmaps, "node")
+
+    def across(frame, one_block):
+        """Surviving pairs of whole groups (list, i, j), sorted by size within each."""
+        group, node, size, at, comp, mine = (frame[c] for c in ("group", "node", "size", "at", "component", "mine"))
+        bitmaps = frame["bitmap"]
+        # the members after each that its size reaches
+        last = np.searchsorted(group, group, side="right")
+        reach = np.minimum(last, _reach(group, size, percent))
+        row = np.arange(len(group))
+        count = np.maximum(reach - row - 1, 0)
+        ends = np.cumsum(count)
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 500_000, side="right")))
+            left = np.repeat(row[lo:hi], count[lo:hi])
+            first = np.repeat(ends[lo:hi] - count[lo:hi], count[lo:hi])
+            right = left + 1 + np.arange(len(left)) + (ends[lo] - count[lo]) - first
+            need = least_overlap(size[left], size[right], percent)
+            keep = (comp[left] != comp[right]) & (np.minimum(size[left] - at[left], size[right] - at[right]) >= need)
+            keep &= one_block[left] | (mine[left] != mine[right])
+            left, right, need = left[keep], right[keep], need[keep]
+            if len(left):
+                # a pair that several lists share is looked at once
+                a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+                order = np.lexsort((b, a))
+                fresh = np.ones(len(order), dtype=bool)
+                fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+                pick = order[fresh]
+                ok = bitmaps_allow([bitmaps[k] for k in left[pick]], [bitmaps[k] for k in right[pick]], size[left[pick]], size[right[pick]], need[pick])
+                yield np.stack([a[pick][ok], b[pick][ok]], axis=1)
+            lo = hi
+
+    columns = ["list", "i", "j", "mine", "node", "size", "at", "component", "bitmap"]
 
     def pairs(batches):
+        only_cache(None)
         rest, found, count = None, [], 0
-
-        def close():
-            every = np.unique(np.concatenate(found), axis=0)
-            return pd.DataFrame(every, columns=["a", "b"])
-
-        def lists(frame):
-            name, node, size, at, comp = (frame[c].to_numpy() for c in ("list", "node", "size", "at", "component"))
-            bitmaps = frame["bitmap"].tolist()
-            cuts = np.flatnonzero(np.diff(name, prepend=name[0] ^ 1))
-            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(name)]):
-                width = 0
-                reach = np.searchsorted(size[s:e], size[s:e] * 100 // percent, side="right").tolist()
-                for k in range(e - s - 1):
-                    if reach[k] <= k + 1:
-                        continue
-                    # the block of sizes in reach
-                    i, near = s + k, slice(s + k + 1, s + reach[k])
-                    need = least_overlap(size[i], size[near], percent)
-                    keep = (comp[near] != comp[i]) & (np.minimum(size[i] - at[i], size[near] - at[near]) >= need)
-                    if not keep.any():
-                        continue
-                    if len(bitmaps[i]) != width:  # widths grow with sizes
-                        start, width = i, len(bitmaps[i])
-                        words = _folded(bitmaps[i:e], width)
-                    at_others = np.flatnonzero(keep) + i + 1
-                    most = _most_overlap(words[i - start], size[i], words[at_others - start], size[at_others])
-                    at_others = at_others[most >= need[keep]]
-                    if len(at_others):
-                        other = node[at_others]
-                        yield np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], axis=1)
-
-        for batch in batches:
-            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = frame["list"].to_numpy() == frame["list"].iloc[-1]
-            rest, whole = frame[last], frame[~last]
-            for p in lists(whole) if len(whole) else ():
+        for batch in _whole_groups(batches, columns[:3]):
+            keys = batch[columns[:3]].to_numpy()
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            frame = {c: batch[c].to_numpy() for c in columns[3:]} | {"group": np.cumsum(new)}
+            frame["bitmap"] = batch["bitmap"].tolist()
+            for p in across(frame, keys[:, 1] == keys[:, 2]):
                 found.append(p)
                 count += len(p)
-                if count >= 2_000_000:
-                    made = close()
-                    found, count = [made.to_numpy()], len(made)
-                    if count >= 1_000_000:
-                        yield made
-                        found, count = [], 0
-        if rest is not None and len(rest):
-            found += lists(rest)
+                if count >= 500_000:
+                    yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+                    found, count = [], 0
         if found:
-            yield close()
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        release_memory()
 
     # a row more for an id that repeats would only repeat pairs
-    ordered = mixed.join(bitmaps, "node").repartition(tasks_for(mixed.sparkSession), "x").sortWithinPartitions("x", "list", "size", "node")
-    return ordered.select("list", "node", "size", "at", "component", "bitmap").mapInPandas(pairs, "a long, b long").distinct()
+    ordered = mixed.repartition(tasks_for(spark), "x", "share", "i", "j").sortWithinPartitions("x", "list", "i", "j", "size", "node")
+    out = materialize(ordered.select(*columns).mapInPandas(pairs, "a long, b long").distinct(), "open-pairs", few_files=True)
+    discard(placed, several)
+    return out
+
+
+def _reach(group: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """One past the last row that a row's size reaches, for rows sorted by group and size."""
+    most = size * 100 // percent
+    width = int(most.max()) + 1 if len(size) else 1
+    return np.searchsorted(group * width + size, group * width + most, side="right")
+
+
+def _whole_groups(batches, keys: list):
+    """Batches of sorted rows, cut where the values of ``keys`` change. A group is as
+    large as two blocks at most."""
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        value = batch[keys].to_numpy()
+        change = np.flatnonzero((value != value[-1]).any(axis=1))
+        cut = int(change[-1]) + 1 if len(change) else 0  # the last group may go on
+        if not cut and held and (held[-1][keys].to_numpy()[-1] == value[-1]).all():
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+        held = [batch.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def components_of(rows: DataFrame, percent: int) -> DataFrame:
+    """(doc, h, n, component) of every row (doc, h, text): the component is the least
+    node of the row's set's, or 0 for a set without shingles. A stored table."""
+    nodes, levels = _sketch_and_nodes(rows)
+    index = materialize(_index(rows, levels, percent), "index")
+    members = index.where("not pair").select(F.col("x").alias("list"), F.col("y").alias("node"), "size", "at")
+    pairs = index.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.first("size").alias("na"), F.first("at").alias("nb"))
+    pairs = materialize(pairs, "pairs", few_files=True)
+    listed = members.select("node").distinct()
+    # one row a node, whichever of its documents; least() of a struct of numbers
+    reps = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "h")).alias("r"), F.first("bitmap").alias("bitmap"))
+    reps = materialize(reps.join(listed, "node").select("node", "r.doc", "r.h", "bitmap"), "index-nodes")
+    bitmaps = reps.select("node", "bitmap")
+    components = materialize(reps.select("node", F.col("node").alias("component")), "components", few_files=True)
+
+    def join(found: DataFrame, components: DataFrame) -> DataFrame:
+        """Components after the pairs that link, of stored pairs (a, b)."""
+        wanted = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        texts = materialize(_texts_of(rows, reps.join(wanted, "node").select("node", "doc", "h")), "node-texts")
+        links = materialize(_verified(found, texts, percent), "verified", few_files=True)
+        merged = _merged(components, links)
+        discard(texts, links, found)
+        return merged
+
+    components = join(materialize(_possible(pairs, bitmaps, percent), "candidates", few_files=True), components)
+    left = _open_pairs(members, components, bitmaps, percent)
+    new = materialize(left.join(pairs, ["a", "b"], "left_anti"), "candidates", few_files=True)
+    components = join(new, components)
+    discard(left)
+    placed = nodes.join(components, "node", "left").select("doc", "h", "n", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
+    discard(index, pairs, reps, components, nodes)
+    return placed
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc, h, text): rows are told apart by id and a hash of the text."""
+    text = F.col(f"`{text_column}`").cast("string")
+    return bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def join_documents(
@@ -473,27 +525,7 @@ def join_documents(
     component's id is the least id in it that is not null. Other columns are not
     read; an empty table gives an empty result.
     """
-    rows = docs.select(id_in(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
-    nodes, levels = _sketch_and_nodes(rows)
-    members = materialize(_index(rows, levels, percent), "index-lists")
-    wanted = members.select("node").distinct()
-    reps = nodes.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")).join(wanted, "node")
-    reps = materialize(reps, "index-nodes", few_files=True)
-    texts = materialize(_texts_of(rows, reps), "node-texts")
-    bitmaps = nodes.join(reps, ["doc", "node"]).select("node", "bitmap")
-    pairs = materialize(_first_pairs(members, percent), "pairs", few_files=True)
-    components = materialize(reps.select("node", F.col("node").alias("component")), "components", few_files=True)
-    components = _merged(components, _verified(pairs, texts, percent))
-    for turn in (1, 2, None):
-        members = _mixed(members, components)
-        new = _neighbour_pairs(members, percent, turn) if turn else _open_pairs(members, bitmaps, percent)
-        new = materialize(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs, components = pairs.union(new), _merged(components, _verified(new, texts, percent))
-        members = members.select("list", "node", "size", "at")
-    placed = nodes.join(components, "node", "left").select(
-        "doc", "n", "node", F.coalesce("component", "node").alias("component")
-    )
-    placed = materialize(placed, "components")
+    placed = components_of(_rows(docs, id_column, text_column), percent)
     # documents without shingles stand alone
     least = placed.where("n > 0").groupBy("component").agg(F.min(id_out("doc")).alias("component_id"))
     linked = placed.where("n > 0").join(least, "component").select("doc", "n", "component_id")
@@ -501,15 +533,41 @@ def join_documents(
     return linked.union(alone).select(id_out("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80
+) -> DataFrame:
+    """The rows of ``docs`` without all but one of every component: the row of the least
+    id (a null id comes last), of rows that share it the one of the least text hash, of
+    rows equal in both any one. Documents without shingles all stay; all columns are
+    kept; an empty table stays empty."""
+    placed = components_of(_rows(docs, id_column, text_column), percent).where("n > 0")
+    order = F.struct(F.when(F.col("doc") == F.lit(NULL_ID), 1).otherwise(0).alias("late"), "doc", "h")
+    best = placed.groupBy("component").agg(F.min(order).alias("best"))
+    gone = placed.join(best, "component").where("doc <> best.doc or h <> best.h").select("doc", "h").distinct()
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_column, text_column))
+    rows = rows.withColumns({"_doc": id_in(own_id), "_h": F.xxhash64(F.col(own_text).cast("string"))})
+    left = rows.join(gone.select(F.col("doc").alias("_doc"), F.col("h").alias("_h")), ["_doc", "_h"], "left_anti")
+    again = placed.groupBy("doc", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("_doc"), F.col("h").alias("_h"))
+    if not again.isEmpty():
+        # rows equal in id and text: one of each
+        left = left.join(again, ["_doc", "_h"], "left_anti").unionByName(left.join(again, ["_doc", "_h"], "left_semi").dropDuplicates(["_doc", "_h"]))
+    return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+
+
 def _texts_of(rows: DataFrame, reps: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """(node, z): one compressed text per wanted node. A filter of a fixed number of
-    bits keeps most other documents' texts out of the shuffle; it only passes more
-    of them when it fills up."""
+    """(node, z): one compressed text for each row (node, doc, h) of ``reps``. A filter of
+    a fixed number of bits keeps most other documents' texts out of the shuffle; it only
+    passes more of them when it fills up."""
+
+    def slots(doc, h):
+        return (mix(doc.astype(np.int64).view(np.uint64) ^ h.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
     def mark(batches):
         table = np.zeros(bits, dtype=bool)
         for batch in batches:
-            table[(_mix(batch["doc"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)] = True
+            table[slots(batch["doc"].to_numpy(), batch["h"].to_numpy())] = True
         yield pd.DataFrame({"one": [1], "blob": [zlib.compress(np.packbits(table).tobytes(), 1)]})
 
     def either(group: pd.DataFrame) -> pd.DataFrame:
@@ -518,17 +576,18 @@ def _texts_of(rows: DataFrame, reps: DataFrame, bits: int = 1 << 23) -> DataFram
             table |= np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
         return pd.DataFrame({"blob": [zlib.compress(table.tobytes(), 1)]})
 
-    marks = reps.select("doc").mapInPandas(mark, "one int, blob binary")
+    reps = materialize(reps, "wanted", few_files=True)
+    marks = reps.select("doc", "h").mapInPandas(mark, "one int, blob binary")
     found = marks.groupBy("one").applyInPandas(either, "blob binary").collect()  # one megabyte
     shared = rows.sparkSession.sparkContext.broadcast(found[0]["blob"] if found else zlib.compress(bytes(bits // 8)))
 
     def pick(batches):
+        only_cache(None)
         table = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)).astype(bool)
         for batch in batches:
-            doc = batch["doc"].to_numpy().astype(np.int64)
-            keep = table[(_mix(doc.view(np.uint64)) % np.uint64(bits)).astype(np.int64)]
+            keep = table[slots(batch["doc"].to_numpy(), batch["h"].to_numpy())]
             texts = as_texts(batch["text"][keep])
-            yield pd.DataFrame({"doc": doc[keep], "z": [squeeze(t.encode("utf-8", "surrogatepass")) for t in texts]})
+            yield pd.DataFrame({"doc": batch["doc"][keep], "h": batch["h"][keep], "z": [squeeze(t.encode("utf-8", "surrogatepass")) for t in texts]})
 
-    some = rows.mapInPandas(pick, "doc long, z binary")
-    return some.join(reps, "doc").select("node", "z")
+    some = rows.mapInPandas(pick, "doc long, h long, z binary")
+    return some.join(reps, ["doc", "h"]).select("node", "z").dropDuplicates(["node"])
