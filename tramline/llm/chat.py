@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_in, id_out, tasks_for
+from .shared import NULL_ID, bounded_batches, id_in, id_out, tasks_for
 
 START, END = "<|im_start|>", "<|im_end|>"
 _FORGED, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -74,7 +74,7 @@ MAPPINGS = (
     Mapping("messages", ("messages[].role", "messages[].content"), items="messages", context=(("system", "system"),), roles=_NAMES),
     Mapping("from-value", ("conversations[].from", "conversations[].value"), items="conversations", role="from", text="value", context=(("system", "system"),), roles=_NAMES),
     Mapping("turns", ("turns[].role", "turns[].text"), items="turns", text="text", order="turn", roles=_NAMES),
-    Mapping("turn-row", ("turn", "role", "text"), items="", text="text", order="turn", roles={}),
+    Mapping("turn-rows", ("rows[].role", "rows[].text"), items="rows", text="text", order="turn"),
     Mapping("instruction", ("instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("prompt-completion", ("prompt", "completion"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt-response", ("prompt", "response"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -194,9 +194,10 @@ def format_records(records: DataFrame, id_column: str = "id", record_column: str
     """(id, formatted, loss, layout, fingerprint) of JSON records in any layout.
 
     A record that is null, no JSON object, or of no known layout gives null
-    formatted text and null layout, and its fingerprint where it has one. Repeated
-    rows are kept, other columns are not read."""
-    rows = records.select(id_in(id_column).alias("id"), F.col(record_column).cast("string").alias("record"))
+    formatted text and null layout, and its fingerprint where it has one. A null id
+    stays null; repeated rows are kept, other columns are not read; an empty table
+    gives an empty result."""
+    rows = bounded_batches(records).select(id_in(f"`{id_column}`").alias("id"), F.col(f"`{record_column}`").cast("string").alias("record"))
 
     def run(batches):
         selector = Selector(mappings)
@@ -215,9 +216,7 @@ def format_records(records: DataFrame, id_column: str = "id", record_column: str
             made.insert(0, "id", batch["id"])
             yield made
 
-    return records.sparkSession.createDataFrame([], "id long, " + FORMATTED) if not records.columns else (
-        rows.mapInPandas(run, "id long, " + FORMATTED).withColumn("id", id_out("id"))
-    )
+    return rows.mapInPandas(run, "id long, " + FORMATTED).withColumn("id", id_out("id"))
 
 
 def format_turn_rows(
@@ -230,42 +229,48 @@ def format_turn_rows(
 ) -> DataFrame:
     """(id, formatted, loss, layout, fingerprint) of conversations stored a turn a row.
 
-    The row schema's fingerprint selects the mapping. Rows are dealt by
-    conversation and sorted, and a task streams them, so it holds one conversation's
-    turns at a time, which make up one output value. Null roles and texts are
-    empty; a null turn comes first; of equal turns the order is by role and text;
-    repeated rows are turns of their own; rows with a null id form one conversation
-    with a null id."""
-    key, mapping = Selector(mappings).select({"turn", "role", "text"})
-    rows = turns.select(
-        id_in(id_column).alias("id"),
-        id_in(turn_column).alias("turn"),
-        F.coalesce(F.col(role_column).cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
+    A conversation's rows are put together to one nested record, {rows: [{turn, role,
+    text}, ...]}, whose own field paths are hashed and select its mapping, as for any
+    other record; a null turn has no field. Rows are dealt by conversation and sorted,
+    and a task streams them, so it holds one conversation's turns at a time, which make
+    up one output value. Null roles and texts are empty; a null turn comes first; of
+    equal turns the order is by role and text; repeated rows are turns of their own;
+    rows with a null id form one conversation with a null id. A record that no mapping
+    fits has null formatted text. Other columns are not read; an empty table gives an
+    empty result."""
+    rows = bounded_batches(turns).select(
+        id_in(f"`{id_column}`").alias("id"),
+        id_in(f"`{turn_column}`").alias("turn"),
+        F.coalesce(F.col(f"`{role_column}`").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"),
     )
     ordered = rows.repartition(tasks_for(turns.sparkSession), "id").sortWithinPartitions("id", "turn", "role", "text")
+    columns = ["id", "formatted", "loss", "layout", "fingerprint"]
 
     def run(batches):
-        held, last, out = [], None, []
+        selector, held, last, out, size = Selector(mappings), [], None, [], 0
 
         def close():
-            names = mapping.roles
-            out.append((last, *_row([(names.get(r, r), t) for r, t in held], mapping.name, key)))
+            record = {"rows": held}
+            key, mapping = selector.select(field_paths(record))
+            made = _row(canonical_turns(record, mapping), mapping.name, key) if mapping else (None, None, None, key)
+            out.append((last, *made))
+            return len(made[0] or "")
 
         for batch in batches:
-            for i, role, text in zip(batch["id"].tolist(), batch["role"], batch["text"]):
+            for i, turn, role, text in zip(batch["id"].tolist(), batch["turn"].tolist(), batch["role"], batch["text"]):
                 if i != last:
                     if held:
-                        close()
+                        size += close()
                     held, last = [], i
-                held.append((role, text))
-            if len(out) > 500:
-                yield pd.DataFrame(out, columns=["id", "formatted", "loss", "layout", "fingerprint"])
-                out = []
+                    if size > 1 << 22 or len(out) >= 2000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, size = [], 0
+                held.append({"role": role, "text": text} if turn == NULL_ID else {"turn": turn, "role": role, "text": text})
         if held:
             close()
         if out:
-            yield pd.DataFrame(out, columns=["id", "formatted", "loss", "layout", "fingerprint"])
+            yield pd.DataFrame(out, columns=columns)
 
     return ordered.mapInPandas(run, "id long, " + FORMATTED).withColumn("id", id_out("id"))
 

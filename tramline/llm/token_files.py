@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, tasks_for
+from .shared import NULL_ID, bounded_batches, fresh_path, id_in, id_out, tasks_for
 from .units import as_texts, library_tokenizer, library_units
 
 MAGIC = b"TLEF0001"
@@ -70,16 +70,6 @@ class EliasFano:
         low = chunk >> (first & 7) & ((1 << self.low_bits) - 1)
         return (place - k) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value, in one pass over the bit vector."""
-        bits = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8), bitorder="little")
-        high = np.flatnonzero(bits)[: self.count] - np.arange(self.count)
-        if not self.low_bits:
-            return high.astype(np.int64)
-        low = np.unpackbits(np.frombuffer(self.low, dtype=np.uint8), bitorder="little")
-        low = low[: self.count * self.low_bits].reshape(self.count, self.low_bits).astype(np.int64)
-        return (high << self.low_bits) + (low << np.arange(self.low_bits)).sum(axis=1)
-
 
 def write_shard(doc_ids: np.ndarray, ends: np.ndarray, ids: bytes, width: int) -> list:
     """The bytes of one file, in parts."""
@@ -99,9 +89,14 @@ class Shard:
     index: EliasFano
     ids: np.ndarray
 
+    def bounds(self, k: int) -> tuple:
+        """Where the k-th document's ids begin and end, by two selects."""
+        return self.index.select(k - 1) if k else 0, self.index.select(k)
+
     def document(self, k: int) -> np.ndarray:
-        """Ids of the k-th document, by two selects."""
-        return self.ids[self.index.select(k - 1) if k else 0 : self.index.select(k)]
+        """Ids of the k-th document."""
+        first, last = self.bounds(k)
+        return self.ids[first:last]
 
 
 def read_shard(data: bytes) -> Shard:
@@ -135,19 +130,19 @@ def write_token_files(
     """Encode whole texts, append ``end_id`` and write files in ascending id order.
 
     Returns the manifest (shard, path, start, n_docs, n_tokens) and the folder. The
-    rows are range-partitioned by id, so a hot source or group of copies does not
-    matter, and each task streams its own files of bounded size. A retried task
-    writes under a new name and only the finished task's names reach the manifest.
-    Null text is empty; rows with a null id have no place in the order and are
-    left out; rows that repeat an id stand next to each other, in text order. An
-    empty table gives an empty manifest. Other columns are not read.
+    rows are range-partitioned by id and a hash of the text, so a hot source, group of
+    copies or id does not matter, and each task streams its own files of bounded size.
+    A retried task writes under a new name and only the finished task's names reach the
+    manifest. Null text is empty; rows with a null id come before the others, in files
+    of their own; rows that repeat an id stand next to each other, in order of the
+    hash. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     width = 2 if library_tokenizer(tokenizer_path).get_vocab_size(True) <= 1 << 16 and end_id < 1 << 16 else 4
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.where("doc_id is not null")
-    ordered = rows.repartitionByRange(tasks_for(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col(f"`{text_column}`").cast("string")
+    rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    ordered = rows.repartitionByRange(tasks_for(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     limit = 64 << 20
 
     def write(batches):
@@ -173,6 +168,8 @@ def write_token_files(
         made = []
         for batch in batches:
             for doc_id, values in zip(batch["doc_id"].tolist(), encoder.texts(as_texts(batch["text"]))):
+                if names and (names[0] == NULL_ID) != (doc_id == NULL_ID):
+                    made.append(flush())
                 ids = np.frombuffer(b"".join(values) + end, dtype="<u4").astype(f"<u{width}").tobytes()
                 names.append(doc_id)
                 ends.append((ends[-1] if ends else 0) + len(ids) // width)
@@ -200,22 +197,22 @@ def write_token_files(
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, found by
+    select on the files' boundaries."""
 
     def read(batches):
         filesystem, _ = _open(folder)
         for batch in batches:
-            for path, start in zip(batch["path"], batch["start"]):
+            for path, start in zip(batch["path"], batch["start"].tolist()):
                 with filesystem.open_input_stream(path, compression=None) as f:
                     shard = read_shard(f.read())
-                ends = shard.index.all()
-                begins = np.concatenate([[0], ends[:-1]])
-                for at in range(0, len(ends), 20_000):
-                    b, e = begins[at : at + 20_000], ends[at : at + 20_000]
-                    sums = [zlib.crc32(shard.ids[x:y].astype("<u4").tobytes()) for x, y in zip(b, e)]
-                    yield pd.DataFrame(
-                        {"doc_id": shard.doc_ids[at : at + 20_000], "start": start + b, "n_tokens": e - b, "ids_crc32": sums}
-                    ).astype("int64")
+                out = []
+                for k, doc_id in enumerate(shard.doc_ids.tolist()):
+                    first, last = shard.bounds(k)
+                    out.append((doc_id, start + first, last - first, zlib.crc32(shard.ids[first:last].astype("<u4").tobytes())))
+                    if len(out) == 20_000 or k + 1 == len(shard.doc_ids):
+                        yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype("int64")
+                        out = []
 
     spread = manifest.repartition(max(1, tasks_for(manifest.sparkSession)), "shard")
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", id_out("doc_id"))
