@@ -12,30 +12,31 @@ from pyspark.sql import functions as F
 
 from tramline.llm import jaccard, language, lines, packing, quality
 from tramline.llm.queries import tokenizer_path
-from tramline.llm.shared import materialize, table
+from tramline.llm.shared import bounded_batches, materialize, table
 
-
-def _with_verdict(docs: DataFrame, verdict: DataFrame, keep) -> DataFrame:
-    """Rows of ``docs`` whose id's verdict is ``keep``; a null id matches a null id."""
-    names = {c: f"_v{k}" for k, c in enumerate(verdict.columns)}
-    renamed = verdict.select(*[F.col(c).alias(n) for c, n in names.items()])
-    kept = renamed.where(keep(names)).select(names["doc_id"]).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[names["doc_id"]]), "left_semi")
+#: Least share of a text's letters in its language; below it the language is not told.
+LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language the labels know: those without a
-    letter go. The language found is not written over the column lang."""
+    """Documents whose text is in a language that the rows' column lang knows: those
+    without a letter go, and those of which less than ``LEAST_SCORE`` of the letters
+    are in it, as letters of a script that no such language uses. The language found
+    is not written over the column lang. The verdict is a column of the row itself, so
+    repeated rows and rows with a null id have one each. Null and empty texts go; an
+    empty table stays empty."""
     model = language.train(docs)
-    found = language.predict(docs, model).select("doc_id", "lang_pred")
-    return _with_verdict(docs, found, lambda c: F.col(c["lang_pred"]) != "und")
+    found = language.predicted_column(spark, model, F.col("text"), with_spans=False)
+    marked = bounded_batches(docs).select(*docs.columns, found.alias("_found" * 3))
+    verdict = F.col("_found" * 3)
+    return marked.where((verdict["lang_pred"] != "und") & (verdict["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose key is among the top k of the importance resampling."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    found = quality.resample(docs, model).select("doc_id", "selected")
-    return _with_verdict(docs, found, lambda c: F.col(c["selected"]))
+    """Documents drawn by the importance resampling, see ``quality.draw``: each row by
+    a key of its own, rows equal in id and text together. Null and empty texts have
+    weight 0. Without labels of both kinds all rows stay; an empty table stays empty."""
+    return quality.draw(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +51,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: the one with the least id."""
-    found = jaccard.join_documents(docs)
-    return _with_verdict(docs, found, lambda c: F.col(c["doc_id"]).eqNullSafe(F.col(c["component_id"])))
+    """One document of every group of near copies: the one with the least id, and one
+    of rows equal in id and text; see ``jaccard.keep_one_of_each``."""
+    return jaccard.keep_one_of_each(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces with their sequence and place."""
+    """The documents' token pieces with their sequence and place. Null and empty texts
+    have one token; repeated rows are packed each; an empty table gives none."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
