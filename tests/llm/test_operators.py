@@ -360,6 +360,9 @@ def test_forest(spark):
     x = np.concatenate([centres[r.integers(0, 40, 300)] + 0.25 * r.standard_normal((300, 16)), r.standard_normal((100, 16))]).astype(np.float32)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 16, 0), (1003, [float("nan")] + [1.0] * 15, 0), (1004, x[0].tolist(), 2), (1005, [1.0, 2.0], 0), (1006, [None] + [1.0] * 15, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n long")
+    # other dimensions among them, each with links of its own
+    rows += [(2000 + k, [1.0, 0.1 * (k // 4)], 0) for k in range(8)] + [(2100, [0.0, 1.0, 0.0], 0), (2101, [0.0, 2.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n long")
     got = {y["vec_id"]: y for y in forest.near_duplicates(df, leaf_size=60, block=50).collect()}
     ids = [*range(len(x)), 1004]
     u = np.concatenate([x, x[:1]]).astype(float)
@@ -368,9 +371,28 @@ def test_forest(spark):
     links = near.sum(axis=1) - 1
     found = np.array([got[i]["n_links"] for i in ids])
     assert (found <= links).all() and found.sum() >= 0.97 * links.sum()
+    # components by brute force: as fine where all of a vector's links were found
+    parent = list(range(len(ids)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in np.argwhere(np.triu(near, 1)):
+        u, v = find(a), find(b)
+        parent[max(u, v)] = min(u, v)
+    want = np.array([ids[find(k)] for k in range(len(ids))])
+    have = np.array([got[i]["component_id"] for i in ids])
+    assert (have == want).mean() >= 0.97 and all(find(ids.index(c)) == find(k) for k, c in enumerate(have))
     assert got[1004]["component_id"] == got[0]["component_id"] <= 0 and not got[1004]["kept"]
-    for i in (1000, 1001, 1002, 1003, 1005, 1006):
+    for i in (1000, 1001, 1002, 1003, 1006):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert got[1005]["n_links"] == 0 and all((got[2000 + k]["n_links"], got[2000 + k]["component_id"]) == (7, 2000) for k in range(8))
+    assert got[2100]["n_links"] == got[2101]["n_links"] == 1 and got[2101]["component_id"] == 2100
+    # every link is counted once, whatever leaves a pair shares
+    whole = {y["vec_id"]: y for y in forest.near_duplicates(df, leaf_size=10**6).collect()}
+    assert [whole[i]["n_links"] for i in ids] == links.tolist() and [whole[i]["component_id"] for i in ids] == want.tolist()
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 

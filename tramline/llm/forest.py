@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize, tasks_for
+from .shared import bounded_batches, connected_components, discard, materialize, tasks_for
 
 
 def _matrix(column) -> np.ndarray:
@@ -33,21 +33,21 @@ def _matrix(column) -> np.ndarray:
 
 
 class Forest:
-    """Split directions and bands of all nodes; node n has children 2n, 2n + 1."""
+    """Bands of all nodes of the trees over vectors of one number of dimensions; node n
+    has children 2n, 2n + 1. Directions are drawn again from the seed where they are
+    needed, so what is broadcast is two numbers a node."""
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, seed: int):
-        rng = np.random.default_rng(seed)
-        dims = sample.shape[1]
-        self.depth, self.trees = depth, trees
-        self.direction = rng.standard_normal((trees, 1 << depth, dims)).astype(np.float32)
+        self.depth, self.trees, self.seed, self.dims = depth, trees, seed, sample.shape[1]
         self.low = np.full((trees, 1 << depth), np.inf)
         self.high = np.full((trees, 1 << depth), -np.inf)
         for t in range(trees):
+            directions = self._directions(t)
             level = {1: np.arange(len(sample))}
             for _ in range(depth):
                 below = {}
                 for node, rows in level.items():
-                    p = sample[rows] @ self.direction[t, node].astype(np.float64)
+                    p = sample[rows] @ directions[node].astype(np.float64)
                     if len(p):
                         self.low[t, node], self.high[t, node] = np.quantile(p, [0.5 - spill / 2, 0.5 + spill / 2])
                     else:
@@ -56,20 +56,55 @@ class Forest:
                     below[2 * node + 1] = rows[p >= self.low[t, node]]
                 level = below
 
-    def leaves(self, x: np.ndarray) -> list:
-        """Per tree (row, leaf) of every leaf a row falls into."""
-        out = []
+    def _directions(self, t: int) -> np.ndarray:
+        rng = np.random.default_rng([self.seed, t, self.dims])
+        return rng.standard_normal((1 << self.depth, self.dims)).astype(np.float32)
+
+    def leaves(self, x: np.ndarray):
+        """For each tree (tree, row, leaf) of every leaf a row falls into."""
         for t in range(self.trees):
+            directions = self._directions(t)
             rows, nodes = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
             for _ in range(self.depth):
                 p = np.empty(len(rows))
-                for node in np.unique(nodes):
-                    at = nodes == node
-                    p[at] = x[rows[at]] @ self.direction[t, node].astype(np.float64)
+                order = np.argsort(nodes, kind="stable")
+                cuts = np.flatnonzero(np.diff(nodes[order], prepend=-1))
+                for at in np.split(order, cuts[1:]):
+                    p[at] = x[rows[at]] @ directions[nodes[at[0]]].astype(np.float64)
                 left, right = p <= self.high[t, nodes], p >= self.low[t, nodes]
                 rows = np.concatenate([rows[left], rows[right]])
                 nodes = np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
-            out.append((rows, nodes))
+            yield t, rows, nodes
+
+
+class _Earlier:
+    """Which pairs of a group's vectors share a leaf that comes before the group's: bits
+    over the leaves of one tree after another, as near vectors mostly share a leaf of
+    the first."""
+
+    def __init__(self, leaves: list, leaf: int):
+        owner = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+        every = np.concatenate(leaves)
+        before = every < leaf
+        owner, every = owner[before], every[before]
+        self.bits = []
+        for tree in np.unique(every >> 32).tolist():
+            mine = every >> 32 == tree
+            names, code = np.unique(every[mine], return_inverse=True)
+            # vectors of a group by leaves of a tree, each within a bound
+            marks = np.zeros((len(leaves), -(-len(names) // 64) * 64), dtype=bool)
+            marks[owner[mine], code] = True
+            self.bits.append(np.packbits(marks, axis=1).view(np.uint64))
+
+    def share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=bool)
+        left = np.arange(len(a))
+        for bits in self.bits:
+            step = max(1, (1 << 20) // bits.shape[1])
+            for at in range(0, len(left), step):
+                rows = left[at : at + step]
+                out[rows] = (bits[a[rows]] & bits[b[rows]]).any(axis=1)
+            left = left[~out[left]]
         return out
 
 
@@ -107,16 +142,18 @@ def near_duplicates(
     """(vec_id, n_links, component_id, kept), one row per vector.
 
     Equal vectors are one class, compared once and counted by its size. Vectors
-    that are null, empty, zero, hold null or non-finite components, or have another
-    number of dimensions than most, link with nothing and are their own component.
+    that are null, empty, zero, or hold null or non-finite components link with nothing
+    and are their own component; vectors of different numbers of dimensions do not link,
+    and every number of dimensions has a forest of its own.
     Rows that repeat an id are vectors of their own with that id: ``n_links`` and
     the component hold for the id. A null id takes part with a null component.
     Splits are fitted on at most ``sample_size`` classes (least hash of the
     vector); the depth follows the number of classes, at most 20 sample vectors a
-    leaf. Other columns are not read.
+    leaf. Other columns are not read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+    bounded_batches(vectors)
+    rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"))
     fine = F.coalesce(
         F.col("v").isNotNull()
         & (F.size("v") > 0)
@@ -141,21 +178,26 @@ def near_duplicates(
     classes = good.groupBy("h", "raw").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n"))
     classes = materialize(classes, "vector-classes")
     members = good.join(classes.select("h", "raw", "rep"), ["h", "raw"]).select("vec_id", "rep").distinct()
-    sizes = classes.groupBy(F.length("raw").alias("b")).agg(F.count("*").alias("n")).collect()
+    # a row for each number of dimensions
+    sizes = {x["b"]: x["n"] for x in classes.groupBy(F.length("raw").alias("b")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         linked = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
     else:
-        width, count = max(((x["b"], x["n"]) for x in sizes), key=lambda x: (x[1], x[0]))
-        usable = classes.where(F.length("raw") == width).select("rep", "n", "raw", "h")
-        sample_rows = usable
-        if count > sample_size:
-            sample_rows = usable.where(F.shiftrightunsigned(F.xxhash64("h"), 1) < int(sample_size / count * (1 << 63)))
-        sample = _matrix(sample_rows.select("raw").limit(2 * sample_size).toPandas()["raw"])
-        wanted = max(0, math.ceil(math.log2(max(1, count) / leaf_size)))
-        depth = min(wanted, max(0, int(math.log2(max(1, len(sample)) / 20))))
-        forest = Forest(sample, trees, depth, spill, seed)
-        linked = _compare(usable, forest, threshold, block, members)
-    ids = vectors.select(F.col(id_column).cast("long").alias("vec_id"))
+        total = sum(sizes.values())
+        chosen = classes.select("raw", "h")
+        if total > sample_size:
+            chosen = chosen.where(F.shiftrightunsigned(F.xxhash64("h"), 1) < int(sample_size / total * (1 << 63)))
+        sample = chosen.select("raw").limit(2 * sample_size).toPandas()["raw"]
+        lengths = sample.map(len)
+        forests = {}
+        for width, count in sizes.items():
+            own = sample[lengths == width]
+            wanted = max(0, math.ceil(math.log2(max(1, count) / leaf_size)))
+            depth = min(wanted, max(0, int(math.log2(max(1, len(own)) / 20))))
+            fitted = _matrix(own) if len(own) else np.zeros((0, width // 8))
+            forests[width] = Forest(fitted, trees, depth, spill, seed)
+        linked = _compare(classes.select("rep", "n", "raw"), forests, threshold, block, members)
+    ids = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"))
     out = ids.join(linked, "vec_id", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -164,29 +206,34 @@ def near_duplicates(
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _compare(usable: DataFrame, forest: Forest, threshold: float, block: int, members: DataFrame) -> DataFrame:
+def _compare(usable: DataFrame, forests: dict, threshold: float, block: int, members: DataFrame) -> DataFrame:
     spark = usable.sparkSession
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast(forests)
 
     def assign(batches):
-        """A vector's leaves, all trees: (tree, leaf) as tree << 32 | leaf."""
-        f = shared.value
+        """A vector's leaves in all trees, as numbers that tell tree, dimensions and node;
+        those of an earlier tree are less."""
+        known = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
-                found: list = [[] for _ in range(len(part))]
-                for t, (rows, nodes) in enumerate(f.leaves(_matrix(part["raw"]))):
-                    for r, n in zip(rows.tolist(), nodes.tolist()):
-                        found[r].append(t << 32 | n)
-                yield pd.DataFrame(
-                    {"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "raw": part["raw"].to_numpy(), "leaves": [sorted(x) for x in found]}
-                )
+            for width, part in batch.groupby(batch["raw"].map(len)):
+                for at in range(0, len(part), 2048):
+                    some = part.iloc[at : at + 2048]
+                    rows, names = [], []
+                    for t, r, n in known[width].leaves(_matrix(some["raw"])):
+                        rows.append(r)
+                        names.append(t << 32 | n)
+                    rows, names = np.concatenate(rows), np.concatenate(names)
+                    order = np.lexsort((names, rows))
+                    cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+                    yield pd.DataFrame(
+                        {"rep": some["rep"].to_numpy(), "n": some["n"].to_numpy(), "raw": some["raw"].to_numpy(), "leaves": np.split(names[order], cuts[1:])}
+                    )
 
     placed = usable.select("rep", "n", "raw").mapInPandas(assign, "rep long, n long, raw binary, leaves array<long>")
     placed = materialize(placed, "vector-leaves")
     # a row per leaf: bounded by the sample, not by the vectors
-    per_leaf = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("m"))
-    blocks = {x["leaf"]: -(-x["m"] // block) for x in per_leaf.where(F.col("m") > 1).collect()}
+    per_leaf = placed.select(F.length("raw").alias("width"), F.explode("leaves").alias("leaf")).groupBy("width", "leaf").agg(F.count("*").alias("m"))
+    blocks = {(x["width"], x["leaf"]): -(-x["m"] // block) for x in per_leaf.where(F.col("m") > 1).collect()}
     cuts = spark.sparkContext.broadcast(blocks)
 
     def deal(batches):
@@ -197,17 +244,17 @@ def _compare(usable: DataFrame, forest: Forest, threshold: float, block: int, me
             for rep, n, raw, leaves in zip(batch["rep"].tolist(), batch["n"].tolist(), batch["raw"], batch["leaves"]):
                 packed = np.asarray(leaves, dtype="<i8").tobytes()
                 for leaf in leaves.tolist():
-                    k = parts.get(leaf, 0)
+                    k = parts.get((len(raw), leaf), 0)
                     mine = xxhash.xxh3_64_intdigest(rep.to_bytes(8, "little", signed=True)) % k if k > 1 else 0
                     for other in range(k):
-                        out.append((leaf, min(mine, other), max(mine, other), mine, rep, n, raw, packed))
-                    if len(out) >= 20_000:
+                        out.append((len(raw), leaf, min(mine, other), max(mine, other), mine, rep, n, raw, packed))
+                    if len(out) >= 4000:
                         yield pd.DataFrame(out, columns=names)
                         out = []
             yield pd.DataFrame(out, columns=names)
 
-    names = ["leaf", "i", "j", "mine", "rep", "n", "raw", "leaves"]
-    schema = "leaf long, i int, j int, mine int, rep long, n long, raw binary, leaves binary"
+    names = ["width", "leaf", "i", "j", "mine", "rep", "n", "raw", "leaves"]
+    schema = "width int, leaf long, i int, j int, mine int, rep long, n long, raw binary, leaves binary"
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep")
@@ -215,13 +262,7 @@ def _compare(usable: DataFrame, forest: Forest, threshold: float, block: int, me
         mine = group["mine"].to_numpy()
         rep, size, x = group["rep"].to_numpy(), group["n"].to_numpy(), _matrix(group["raw"])
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        # leaves before this one, as a matrix of bits
-        sets = [np.frombuffer(b, dtype="<i8") for b in group["leaves"]]
-        before, where = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        seen = before[where] < leaf
-        bits = np.zeros((len(sets), max(1, int((before < leaf).sum()))), dtype=np.float32)
-        bits[owner[seen], where[seen]] = 1
+        earlier = _Earlier([np.frombuffer(x, dtype="<i8") for x in group["leaves"]], leaf)
         links = np.zeros(len(rep), dtype=np.int64)
         edges = []
         for at in range(0, len(left), 512):
@@ -231,18 +272,18 @@ def _compare(usable: DataFrame, forest: Forest, threshold: float, block: int, me
                 near &= a[:, None] < right[None, :]
             p, q = np.nonzero(near)
             edges += _spanning(a[p], right[q], len(rep))
-            if len(p):
-                near &= bits[a] @ bits[right].T < 0.5
-                links[a] += near.astype(np.int64) @ size[right]
-                links[right] += size[a] @ near
+            new = ~earlier.share(a[p], right[q])
+            np.add.at(links, a[p[new]], size[right[q[new]]])
+            np.add.at(links, right[q[new]], size[a[p[new]]])
         counted = pd.DataFrame({"a": rep, "b": rep, "links": links})[links > 0]
         kept = _spanning(*np.array(edges, dtype=np.int64).reshape(-1, 2).T, len(rep))
         joined = pd.DataFrame([(rep[u], rep[v], 0) for u, v in kept], columns=["a", "b", "links"])
         return pd.concat([counted, joined]).astype("int64")
 
-    dealt = placed.mapInPandas(deal, schema).repartition(tasks_for(spark) * 4, "leaf", "i", "j")
-    found = dealt.groupBy("leaf", "i", "j").applyInPandas(compare, "a long, b long, links long")
+    dealt = placed.mapInPandas(deal, schema).repartition(tasks_for(spark) * 4, "width", "leaf", "i", "j")
+    found = dealt.groupBy("width", "leaf", "i", "j").applyInPandas(compare, "a long, b long, links long")
     found = materialize(found, "vector-links")
+    discard(placed)
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("a <> b"), "a", "b")
     per_class = (
