@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import catalog, realtime, routing, schedule
+from .schemas import FARES_NOTE, FARES_PAGE, TRANSFER_RULE, TRANSFER_WINDOW_MINUTES
 
 
 class QueryError(Exception):
@@ -100,30 +101,49 @@ class Engine:
         stop = self.stop(stop_id)
         if stop["mode"] != "subway":
             try:
-                ids = [int(stop["stop_id"]), *stop.get("platforms", [])]
+                ids = stop["platforms"] if stop["is_station"] else [int(stop["stop_id"])]
+                ids = ids or [int(stop["stop_id"])]
                 asked = self.spark.createDataFrame([(ids[0], i) for i in ids], "asked long, stop_id long")
                 route = None if route_id is None else str(_id(route_id, "route_id"))
-                found = realtime.predicted_arrivals(self.t, self._snapshot("trips"), asked, self.clock(), route, _limit(limit, 20)).orderBy("at").collect()
+                found = realtime.predicted_arrivals(self.t, self._snapshot("trips"), asked, self.clock(), route, _limit(limit, 20)).orderBy("at", "n").collect()
                 if found:
-                    return {"arrivals": [x.asDict() for x in found], "truncated": found[0]["truncated"]}
+                    names = ("route", "route_short_name", "headsign", "direction_id", "time", "realtime", "source")
+                    rows = [{("route_id" if k == "route" else k): x[k] for k in names} for x in found]
+                    return {"stop": stop, "arrivals": [{"headsign": x["headsign"]} | present(x) for x in rows], "realtime_available": True, "truncated": found[0]["truncated"]}
             except QueryError as e:
                 if e.code != "upstream_unavailable":
                     raise
         plan = self.next_departures(stop_id, None, route_id, limit)
-        return {"arrivals": [x | {"time": x["scheduled_time"], "realtime": False, "source": "scheduled"} for x in plan["departures"]], "truncated": plan["truncated"]}
+        names = ("route_id", "route_short_name", "headsign", "direction_id")
+        rows = [{k: x[k] for k in names if k in x} | {"time": x["scheduled_time"], "realtime": False, "source": "scheduled"} for x in plan["departures"]]
+        return {"stop": stop, "arrivals": rows, "realtime_available": False, "truncated": plan["truncated"]} | ({"hint": plan["hint"]} if "hint" in plan else {})
 
     def vehicles(self, route_id, limit: int = 50) -> dict:
         route = self.route(_id(route_id, "route_id"))
         if route["mode"] == "subway":
-            return {"vehicles": [], "note": "Subway trains have no positions in the feed."}
-        return {"vehicles": [present(x.asDict()) for x in realtime.vehicles_for_route(self._snapshot("vehicles"), str(route_id), self.clock(), _limit(limit, 50)).collect()]}
+            return {"route_id": str(route_id), "vehicles": [], "realtime_available": False, "truncated": False, "note": "Subway trains have no positions in the feed."}
+        found = realtime.vehicles_for_route(self._snapshot("vehicles"), str(route_id), self.clock(), _limit(limit, 50))
+        return {"route_id": str(route_id), "realtime_available": True} | self._in_order(found, "vehicles")
 
     def alerts(self, mode=None, route_id=None, stop_id=None, category=None, limit: int = 50) -> dict:
         found = realtime.alerts(self.t, self._snapshot("alerts"))
-        return {"alerts": [x.asDict(recursive=True) for x in realtime.matching_alerts(found, mode, route_id, stop_id, category, _limit(limit, 50)).collect()]}
+        return self._in_order(realtime.matching_alerts(found, mode, route_id, stop_id, category, _limit(limit, 50)), "alerts")
+
+    @staticmethod
+    def _in_order(found, name: str) -> dict:
+        rows = [x.asDict(recursive=True) for x in found.orderBy("position").collect()]
+        return {name: [present({k: v for k, v in x.items() if k not in ("position", "truncated")}) for x in rows], "truncated": any(x["truncated"] for x in rows)}
 
     def fares(self, category=None, fare_type=None) -> dict:
-        return {"fares": [x.asDict() for x in realtime.fares(self.spark, category, fare_type).collect()]}
+        rows = [x.asDict() for x in realtime.fares(self.spark, category, fare_type).collect()]
+        return {"fares": rows, "transfer": {"window_minutes": TRANSFER_WINDOW_MINUTES, "rules": TRANSFER_RULE}, "notes": FARES_NOTE, "source_url": FARES_PAGE}
+
+    def resource(self, name: str) -> str:
+        """The whole catalog of stops or routes, or the fares, as JSON."""
+        known = {"stops": self.all_stops, "routes": self.routes, "fares": self.fares}
+        if name not in known:
+            raise QueryError("not_found", f"no resource {name}")
+        return to_json(known[name]())
 
     def plan_trip(self, origin, destination, when: dt.datetime, **options) -> dict:
         got = routing.plan_trip(self.t, origin, destination, when, **options)

@@ -56,11 +56,6 @@ def type_of_mode(name: Column) -> Column:
     return F.try_element_at(_literal_map({v: k for k, v in MODE_OF_TYPE.items()}), name)
 
 
-def best_mode(modes: Column) -> Column:
-    """Best of an array of modes; null if there is none."""
-    return F.get(F.array_intersect(F.array(*[F.lit(m) for m in MODES]), modes), F.lit(0))
-
-
 def mode_rank(route_type: Column) -> Column:
     return F.when(route_type == 1, 0).when(route_type == 0, 1).when(route_type == 3, 2)
 

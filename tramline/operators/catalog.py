@@ -25,16 +25,23 @@ def stop_route_types(t) -> DataFrame:
 
 
 def served_routes(t) -> DataFrame:
-    """(stop_id, route_id, route_type): a stop's own routes and its platforms'."""
+    """(stop_id, route_id, route_type): a stop's own routes and its platforms'; read where
+    it is stored."""
+    if t.served is not None:
+        return t.served
     own = stop_route_types(t)
     child = t.stops.where("parent_station is not null").select("stop_id", "parent_station")
     through = own.join(child, "stop_id").select(F.col("parent_station").alias("stop_id"), "route_id", "route_type")
     return own.select("stop_id", "route_id", "route_type").unionByName(through).distinct()
 
 
-def stop_modes(t) -> DataFrame:
-    """(stop_id, mode) of every served stop: the best mode that serves it."""
-    rank = served_routes(t).groupBy("stop_id").agg(F.min(S.mode_rank(F.col("route_type"))).alias("rank"))
+def stop_modes(t, stops: DataFrame | None = None) -> DataFrame:
+    """(stop_id, mode) of every served stop, or those of ``stops``: the best mode that
+    serves it."""
+    served = served_routes(t)
+    if stops is not None:
+        served = served.join(stops.select("stop_id"), "stop_id", "left_semi")
+    rank = served.groupBy("stop_id").agg(F.min(S.mode_rank(F.col("route_type"))).alias("rank"))
     return rank.where("rank is not null").select("stop_id", S.mode_of_rank(F.col("rank")).alias("mode"))
 
 
@@ -42,9 +49,10 @@ def route_modes(t) -> DataFrame:
     return t.routes.select("route_id", S.safe_mode(F.col("route_type")).alias("mode"))
 
 
-def stop_summaries(t) -> DataFrame:
-    """Every served stop."""
-    return t.stops.join(stop_modes(t), "stop_id").select(
+def stop_summaries(t, stops: DataFrame | None = None) -> DataFrame:
+    """Every served stop, or those of ``stops``."""
+    rows = t.stops if stops is None else stops
+    return rows.join(stop_modes(t, stops), "stop_id").select(
         "stop_id", "stop_code", F.col("stop_name").alias("name"), "mode", is_station().alias("is_station"), "parent_station",
         F.coalesce("stop_lat", F.lit(0.0)).alias("lat"), F.coalesce("stop_lon", F.lit(0.0)).alias("lon"),
     )
@@ -53,7 +61,7 @@ def stop_summaries(t) -> DataFrame:
 def search_by_name(t, query: str, mode: str | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Served stops whose name holds the query's letters, by name; ``truncated``
     where there were more than ``limit``."""
-    found = stop_summaries(t).where(F.contains(F.lower("name"), F.lit(query.lower())))
+    found = stop_summaries(t, t.stops.where(F.contains(F.lower("stop_name"), F.lit(query.lower()))))
     if mode:
         found = found.where(F.col("mode") == mode)
     return _capped(found.orderBy("name", "stop_id").limit(SEARCH_CAP), limit, "name", "stop_id")
@@ -75,9 +83,10 @@ def search_near(t, lat: float, lon: float, radius: float = 500, mode: str | None
     wide = high / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + high))))
     box = t.stops.where(F.col("stop_lat").between(lat - high, lat + high) & F.col("stop_lon").between(lon - wide, lon + wide))
     metres = S.metres_between(F.lit(lat), F.lit(lon), F.col("stop_lat"), F.col("stop_lon"))
-    near = box.withColumn("metres", metres).where(F.col("metres") <= radius).select("stop_id", "metres")
-    near = near.orderBy("metres", "stop_id").limit(SEARCH_CAP)
-    found = stop_summaries(t).join(F.broadcast(near), "stop_id")
+    near = box.withColumn("metres", metres).where(F.col("metres") <= radius)
+    served = served_routes(t).join(near.select("stop_id"), "stop_id", "left_semi").select("stop_id").distinct()
+    near = near.join(served, "stop_id", "left_semi").orderBy("metres", "stop_id").limit(SEARCH_CAP)
+    found = stop_summaries(t, near.drop("metres")).join(near.select("stop_id", "metres"), "stop_id")
     if mode:
         found = found.where(F.col("mode") == mode)
     return _capped(found, limit, "metres", "stop_id")
@@ -91,11 +100,11 @@ def list_routes(t, mode: str | None = None) -> DataFrame:
 def stop_detail(t, stop_id: int) -> DataFrame:
     """One row, or none where nothing serves the stop or its platforms."""
     routes = (
-        served_routes(t).where(F.col("stop_id") == stop_id).join(list_routes(t), "route_id")
+        served_routes(t).where(F.col("stop_id") == stop_id).select("stop_id", "route_id").distinct().join(list_routes(t), "route_id")
         .groupBy("stop_id").agg(F.sort_array(F.collect_list(F.struct("route_id", "route_short_name", "route_long_name", "mode", "color"))).alias("routes"))
     )
     platforms = t.stops.where(F.col("parent_station") == stop_id).agg(F.sort_array(F.collect_list("stop_id")).alias("platforms"))
-    return stop_summaries(t).where(F.col("stop_id") == stop_id).join(routes, "stop_id").crossJoin(platforms)
+    return stop_summaries(t, t.stops.where(F.col("stop_id") == stop_id)).join(routes, "stop_id").crossJoin(platforms)
 
 
 def route_directions(t) -> DataFrame:
@@ -111,7 +120,10 @@ def route_directions(t) -> DataFrame:
 
 
 def canonical_trips(t) -> DataFrame:
-    """(route_id, direction_id, trip_id, stop_count): the longest trip of each direction."""
+    """(route_id, direction_id, trip_id, stop_count): the longest trip of each direction;
+    read where it is stored."""
+    if t.canonical is not None:
+        return t.canonical
     counted = t.stop_times.groupBy("trip_id").agg(F.count("stop_id").alias("stop_count"))
     trips = t.trips.select("trip_id", "route_id", "direction_id").join(counted, "trip_id")
     order = Window.partitionBy("route_id", S.direction(F.col("direction_id"))).orderBy(
@@ -147,5 +159,14 @@ def terminus(t, short_name: str, last: bool = False) -> DataFrame:
     return rows.orderBy(*order).limit(1).select(F.col("station").alias("id"), F.col("station_name").alias("name"))
 
 
+def trips_existing(t, trip_ids: DataFrame) -> DataFrame:
+    """Those of ``trip_ids`` (trip_id) that are static trips, once each."""
+    return trip_ids.select("trip_id").distinct().join(t.trips.select("trip_id"), "trip_id", "left_semi")
+
+
+def count_trips(t) -> DataFrame:
+    return t.trips.agg(F.count("*").alias("n"))
+
+
 def trip_with_route(t, trip_ids: DataFrame) -> DataFrame:
     return t.trips.join(trip_ids, "trip_id", "left_semi").join(t.routes.drop("route_color"), "route_id")

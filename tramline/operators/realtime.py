@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import ARRIVALS_LIMIT, CAUSES, EFFECTS, FEED_LIMIT, OCCUPANCIES, SEVERITIES
-from .catalog import route_modes, stop_modes
+from .catalog import count_trips, route_modes, stop_modes
 
 UPDATES = "trip_id string, route_id string, stops array<struct<stop_id: string, arrival: long, departure: long>>"
 VEHICLES = "vehicle_id string, route_id string, trip_id string, lat double, lon double, bearing double, occupancy int, timestamp long"
@@ -18,6 +18,12 @@ ALERTS = (
 )
 
 
+def placed(feed: DataFrame) -> DataFrame:
+    """A feed's rows with their place in it, ``position``: snapshots bring it; of other
+    tables it is the order in which their rows are read."""
+    return feed if "position" in feed.columns else feed.withColumn("position", F.monotonically_increasing_id())
+
+
 def predicted_arrivals(t, updates: DataFrame, stop_ids: DataFrame, now: int, route_id: str | None = None, limit: int = ARRIVALS_LIMIT) -> DataFrame:
     """Predictions at the stops (asked, stop_id), soonest first, with the static
     trip's identity where its id is known and the feed's own where it is not.
@@ -41,24 +47,31 @@ def predicted_arrivals(t, updates: DataFrame, stop_ids: DataFrame, now: int, rou
     return rows.where(F.col("n") <= limit).select(
         "asked", "route", "route_short_name", F.coalesce("trip_headsign", F.lit("")).alias("headsign"),
         F.coalesce("direction_id", F.lit(0)).alias("direction_id"), "at", S.iso_local(F.col("at")).alias("time"),
-        F.lit(True).alias("realtime"), F.lit("predicted").alias("source"), "truncated",
+        F.lit(True).alias("realtime"), F.lit("predicted").alias("source"), "n", "truncated",
     )
 
 
 def vehicles_for_route(vehicles: DataFrame, route_id: str, now: int, limit: int = FEED_LIMIT) -> DataFrame:
-    """Vehicles of a route in the feed's order (``position``)."""
-    rows = vehicles.where((F.col("route_id") != "") & (F.col("route_id") == route_id))
+    """Vehicles of a route in the feed's order; ``truncated`` where there are more."""
+    rows = placed(vehicles).where((F.col("route_id") != "") & (F.col("route_id") == route_id))
     rows = rows.where("vehicle_id is not null and lat is not null and lon is not null")
-    rows = rows.orderBy("position").limit(limit) if "position" in rows.columns else rows.limit(limit)
-    return rows.select(
+    return first_of_feed(rows, limit).select(
         "vehicle_id", "lat", "lon", "bearing", "route_id", S.presence(F.col("trip_id")).alias("trip_id"),
         S.name_of(F.col("occupancy"), OCCUPANCIES).alias("occupancy_status"), S.iso_local(F.coalesce("timestamp", F.lit(now))).alias("timestamp"),
+        "position", "truncated",
     )
 
 
+def first_of_feed(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows by ``position``, and whether there were more."""
+    few = rows.orderBy("position").limit(limit + 1)  # so the window is over few rows
+    few = few.withColumn("_n", F.row_number().over(Window.orderBy("position")))
+    return few.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1))) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
 def alerts(t, feed: DataFrame) -> DataFrame:
     """Alerts with names, category, and the routes, stops and modes they concern."""
-    named = feed.select(
+    named = placed(feed).select(
         "*", S.translated(F.col("header")).alias("h"), S.translated(F.col("description")).alias("d"), S.translated(F.col("url")).alias("u"),
         S.name_of(F.col("effect"), EFFECTS).alias("e"),
     )
@@ -76,28 +89,52 @@ def alerts(t, feed: DataFrame) -> DataFrame:
     return named.join(parts, "id").select(
         "id", F.coalesce("h", F.lit("")).alias("header"), F.col("d").alias("description"), S.name_of(F.col("severity"), SEVERITIES).alias("severity"),
         S.name_of(F.col("cause"), CAUSES).alias("cause"), F.col("e").alias("effect"), S.alert_category(F.col("e"), F.col("h"), F.col("d")).alias("category"),
-        "routes", "stops", "modes", F.col("active").alias("active_period"), F.col("u").alias("url"),
+        "routes", "stops", "modes", F.col("active").alias("active_period"), F.col("u").alias("url"), "position",
     )
 
 
 def matching_alerts(found: DataFrame, mode=None, route=None, stop=None, category=None, limit: int = FEED_LIMIT) -> DataFrame:
+    """Alerts that meet every filter given, in the feed's order; ``truncated`` where there
+    are more than ``limit``."""
     for column, value in (("modes", mode), ("routes", route), ("stops", stop)):
         if value is not None:
             found = found.where(F.coalesce(F.array_contains(column, str(value)), F.lit(False)))
-    return (found.where(F.col("category") == category) if category else found).limit(limit)
-
-
-def join_report(t, updates: DataFrame) -> DataFrame:
-    """How many of the feed's trips, routes and stops the static side knows."""
-    trips = updates.select(S.to_int(F.col("trip_id")).alias("trip_id"), S.to_int(F.col("route_id")).alias("route_id"))
-    known = t.trips.select("trip_id").withColumn("known", F.lit(1))
-    routes = t.routes.select("route_id").withColumn("route_known", F.lit(1))
-    rows = trips.join(known, "trip_id", "left").join(routes, "route_id", "left")
-    return rows.agg(
-        F.count("*").alias("n_updates"), F.count_distinct("trip_id").alias("n_trips"), F.count("known").alias("n_matched"),
-        F.count_if(F.col("known").isNull() & F.col("route_known").isNotNull()).alias("n_recovered"),
-        F.coalesce(F.round(F.count("known") * 1000 / F.nullif(F.count("*"), F.lit(0))) / 10, F.lit(0.0)).alias("matched_percent"),
+    return first_of_feed(found.where(F.col("category") == category) if category else found, limit)
+
+
+def join_report(t, updates: DataFrame, sample: int = 10) -> DataFrame:
+    """One row: how many of the feed's trip ids the static side knows, how many updates
+    without a known trip still name a route, and the first ids in the feed's order that
+    are unknown (numbers before others) or no numbers.
+
+    An update with a null or empty trip id counts as an update, not as an id."""
+    rows = placed(updates).select("position", F.col("trip_id").alias("raw"), S.to_int(F.col("trip_id")).alias("trip_id"), S.presence_trimmed(F.col("route_id")).alias("route"))
+    rows = rows.join(t.trips.select("trip_id", F.lit(True).alias("known")), "trip_id", "left")
+    named, number, known = F.col("raw").isNotNull() & (F.col("raw") != ""), F.col("trip_id").isNotNull(), F.col("known").isNotNull()
+    per_id = rows.where(named).groupBy("raw").agg(
+        F.min("position").alias("position"), F.max(number).alias("number"), F.max(known).alias("known"), F.count("*").alias("n")
+    )
+    # the first ids alone go to one list
+    unknown = per_id.where("not known").orderBy(F.desc("number"), "position").limit(sample)
+    odd = rows.where(named & ~number).orderBy("position").limit(sample)
+    lists = [
+        df.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "raw"))), lambda x: x["raw"]).alias(name))
+        for df, order, name in ((unknown, [(~F.col("number")).alias("late"), "position"], "sample_unmatched_trip_ids"), (odd, ["position"], "sample_non_numeric_trip_ids"))
+    ]
+    by_id = per_id.agg(
+        F.count("*").alias("distinct_rt_trip_ids"), F.count_if("number").alias("numeric_trip_ids"), F.count_if("known").alias("matched_trip_ids"),
+        F.count_if(~F.col("known")).alias("unmatched_trip_ids"), F.coalesce(F.sum(F.when(~F.col("number"), F.col("n"))), F.lit(0)).alias("non_numeric_trip_ids"),
     )
+    by_update = rows.agg(
+        F.count("*").alias("rt_trip_updates"), F.count_if(~known).alias("unmatched_updates"), F.count_if(~known & F.col("route").isNotNull()).alias("unmatched_updates_recovered")
+    )
+    one = count_trips(t).withColumnRenamed("n", "static_trip_count")
+    for part in (by_update, by_id, *lists):
+        one = one.crossJoin(part)  # of one row each
+    share = F.col("matched_trip_ids") * 1000 / F.nullif(F.col("distinct_rt_trip_ids"), F.lit(0))
+    return one.withColumns(
+        {"overlap_pct": F.coalesce(F.floor(share + 0.5) / 10, F.lit(0.0)), "unmatched_updates_unrecoverable": F.col("unmatched_updates") - F.col("unmatched_updates_recovered")}
+    )
 
 
 def fares(spark, category: str | None = None, fare_type: str | None = None) -> DataFrame:

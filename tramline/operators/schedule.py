@@ -26,7 +26,7 @@ def active_services(t, dates: DataFrame) -> DataFrame:
 
 def departures(t, stop_ids: DataFrame | None = None, route_id: int | None = None) -> DataFrame:
     """Departures joined with trip and route, before any day is chosen."""
-    rows = t.stop_times.where("dep is not null").select("trip_id", "stop_id", "dep")
+    rows = t.stop_times.where("dep is not null").select("trip_id", "stop_id", "stop_sequence", "dep")
     if stop_ids is not None:
         rows = rows.join(stop_ids, "stop_id", "left_semi")
     trips = t.trips.select("trip_id", "route_id", "service_id", "trip_headsign", "direction_id")
@@ -45,23 +45,31 @@ def boarding_stops(t, requests: DataFrame) -> DataFrame:
     return platforms.unionByName(own)
 
 
+def first_departures(rows: DataFrame, by: list, n: int) -> DataFrame:
+    """The first ``n`` departures of each group, numbered by ``k``."""
+    order = Window.partitionBy(*by).orderBy("dep", "trip_id", "stop_id", "stop_sequence")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
+
+
 def next_departures(t, requests: DataFrame, limit: int = SCHEDULE_LIMIT, route_id: int | None = None) -> DataFrame:
     """The next ``limit`` departures of every request (request_id, stop_id, when
     in epoch seconds), over service days -1 to +14; one request is a table of one
-    row. ``truncated``: there were more; ``base``: there was one by the day after."""
+    row. ``truncated``: there were more; ``base``: there was one by the day after.
+
+    From the day after on a service's whole day counts, so its first departures at a
+    request's stops are the same on every such day and are ranked once; days are put to
+    those few. Only the two days around ``when`` compare each departure with it."""
     offsets = F.explode(F.sequence(F.lit(-1), F.lit(LOOKAHEAD_DAYS)))
     days = requests.select("request_id", "when", S.service_date(F.col("when")).alias("today")).withColumn("offset", offsets)
     days = days.withColumn("date", F.date_add("today", F.col("offset")))
     services = active_services(t, days.select("date").distinct())
-    days = days.withColumn("from", F.greatest(F.lit(0), S.since_midnight(F.col("date"), F.col("when"))))
+    days = days.join(services, "date").withColumn("from", S.since_midnight(F.col("date"), F.col("when")))
     places = boarding_stops(t, requests)
-    rows = (
-        departures(t, places.select("stop_id").distinct(), route_id).join(places, "stop_id")
-        .join(days.join(services, "date"), ["request_id", "service_id"]).where(F.col("dep") >= F.col("from"))
-    )
-    # first per day, so that the last step sees few rows
-    daily = Window.partitionBy("request_id", "date").orderBy("dep", "trip_id", "stop_id")
-    rows = rows.withColumn("k", F.row_number().over(daily)).where(F.col("k") <= limit + 1)
+    rows = departures(t, places.select("stop_id").distinct(), route_id).join(places, "stop_id")
+    near = rows.join(days.where("offset <= 0"), ["request_id", "service_id"]).where(F.col("dep") >= F.col("from"))
+    near = first_departures(near, ["request_id", "date"], limit + 1)
+    whole = first_departures(rows, ["request_id", "service_id"], limit + 1).join(days.where("offset > 0"), ["request_id", "service_id"])
+    rows = near.unionByName(first_departures(whole, ["request_id", "date"], limit + 1))
     rows = rows.withColumn("at", S.absolute(F.col("date"), F.col("dep"))).where(F.col("at") >= F.col("when"))
     every = Window.partitionBy("request_id")
     rows = rows.withColumn("k", F.row_number().over(every.orderBy("at", "trip_id", "stop_id")))
@@ -81,5 +89,5 @@ def schedule_hint(found: list, route_given: bool) -> str | None:
     if not found[0]["base"]:
         return f"No service in the window asked for; showing the next available service day from {found[0]['scheduled_time']}."
     if found[0]["truncated"] and not route_given:
-        return "More departures exist; give a route to narrow the list."
+        return "Only the first departures are shown; naming a route shortens the list."
     return None

@@ -86,11 +86,8 @@ def q15_active_services(t: Timetable, spark, sf_dir):
 @query(f"""SELECT * FROM (SELECT t.service_id, st.stop_id, st.trip_id, st.dep, cast(row_number() OVER (PARTITION BY st.stop_id, t.service_id ORDER BY st.dep, st.trip_id, st.stop_sequence) AS int) AS k
     FROM {_DEPARTURES} WHERE st.dep >= 30000) AS ranked WHERE k <= 3""")
 def w4_first_departures_by_day(t: Timetable, spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = t.stop_times.where("dep >= 30000").join(t.trips, "trip_id").join(t.routes.select("route_id"), "route_id", "left_semi")
-    order = Window.partitionBy("stop_id", "service_id").orderBy("dep", "trip_id", "stop_sequence")
-    return rows.withColumn("k", F.row_number().over(order).cast("int")).where("k <= 3").select("service_id", "stop_id", "trip_id", "dep", "k")
+    rows = schedule.first_departures(schedule.departures(t).where("dep >= 30000"), ["stop_id", "service_id"], 3)
+    return rows.select("service_id", "stop_id", "trip_id", "dep", F.col("k").cast("int").alias("k"))
 
 
 _SUMMARY = """SELECT s.stop_id, s.stop_code, s.stop_name AS name, m.mode, s.location_type = 1 AS is_station, s.parent_station,
@@ -276,14 +273,108 @@ def a8_earliest_arrivals_every_stop(t: Timetable, spark, sf_dir):
     return routing.rides(t, _boarded(t, spark, "true")).groupBy(F.col("to_stop").alias("stop_id")).agg(F.min("arr").alias("at"))
 
 
-@query()
+def _ladder_sql(rounds: int = 3, midnight: int = WHEN - 28800, horizon: int = WHEN + 6 * 3600, service: int = 1) -> str:
+    """The rounds of the search written out, each from what the round before improved."""
+    parts = [f'marked1 AS MATERIALIZED (SELECT stop_id AS solve, stop_id, cast({WHEN} AS bigint) AS "at" FROM v_stops)', "best1 AS MATERIALIZED (SELECT * FROM marked1)"]
+    for n in range(1, rounds + 1):
+        parts += [
+            f"""board{n} AS MATERIALIZED (SELECT solve, trip_id, board_seq FROM (SELECT m.solve, st.trip_id, st.stop_sequence AS board_seq,
+            row_number() OVER (PARTITION BY m.solve, st.stop_id, t.route_id, t.direction_id, t.trip_headsign ORDER BY st.dep, st.trip_id, st.stop_sequence) AS n
+            FROM marked{n} AS m JOIN v_stop_times st ON st.stop_id = m.stop_id JOIN v_trips t ON st.trip_id = t.trip_id
+            WHERE t.service_id = {service} AND st.dep >= m."at" - {midnight}) AS x WHERE n = 1)""",
+            f"""ride{n} AS MATERIALIZED (SELECT r.solve, r.stop_id, r."at" FROM (SELECT b.solve, d.stop_id, min({midnight} + d.arr) AS "at" FROM board{n} AS b
+            JOIN v_stop_times d ON d.trip_id = b.trip_id AND d.stop_sequence > b.board_seq GROUP BY b.solve, d.stop_id) AS r
+            LEFT JOIN best{n} AS k ON k.solve = r.solve AND k.stop_id = r.stop_id WHERE r."at" <= {horizon} AND (k."at" IS NULL OR r."at" < k."at"))""",
+            f'seen{n} AS MATERIALIZED (SELECT solve, stop_id, min("at") AS "at" FROM (SELECT * FROM ride{n} UNION ALL SELECT * FROM best{n}) AS x GROUP BY solve, stop_id)',
+            f"""walk{n} AS MATERIALIZED (SELECT w.solve, w.stop_id, w."at" FROM (SELECT r.solve, f.to_stop_id AS stop_id, min(r."at" + f.min_walk_seconds) AS "at" FROM ride{n} AS r
+            JOIN v_transfers f ON f.from_stop_id = r.stop_id WHERE f.type <> 'pathway' GROUP BY r.solve, f.to_stop_id) AS w
+            LEFT JOIN seen{n} AS k ON k.solve = w.solve AND k.stop_id = w.stop_id WHERE w."at" <= {horizon} AND (k."at" IS NULL OR w."at" < k."at"))""",
+            f'marked{n + 1} AS MATERIALIZED (SELECT solve, stop_id, min("at") AS "at" FROM (SELECT * FROM ride{n} UNION ALL SELECT * FROM walk{n}) AS x GROUP BY solve, stop_id)',
+            f'best{n + 1} AS MATERIALIZED (SELECT solve, stop_id, min("at") AS "at" FROM (SELECT * FROM best{n} UNION ALL SELECT * FROM marked{n + 1}) AS x GROUP BY solve, stop_id)',
+        ]
+    return ", ".join(parts) + f' SELECT solve, stop_id, cast("at" AS bigint) AS "at" FROM best{rounds + 1}'
+
+
+@query("WITH_ROUNDS SELECT solve, stop_id, at FROM v_stops, v_trips, v_stop_times, v_transfers")
 def q11_ladder(t: Timetable, spark, sf_dir):
-    """Earliest arrivals from every stop at 08:00, two transfers; the stop is the solve."""
+    """Earliest arrivals from every stop at 08:00, two transfers; the stop is the solve.
+    Within the horizon only 2026-07-24 counts, on which service 1 runs."""
     seeds = t.stops.select(F.col("stop_id").alias("solve"), "stop_id", F.lit(WHEN).cast("long").alias("at"))
     labels = routing.ladder(t, seeds, max_transfers=2)
     return labels.groupBy("solve", "stop_id").agg(F.min("at").alias("at"))
 
 
+ORACLES["q11_ladder"] = ORACLES["q11_ladder"].split(" WITH_ROUNDS")[0].rstrip() + ", " + _ladder_sql()
+
+
+@query()
+def q11_plan_trip(t: Timetable, spark, sf_dir):
+    """Legs of the itineraries from stop 1 to stop 8 at 08:00, one request from end to end."""
+    import datetime as dt
+
+    found = routing.plan_trip(t, "1", "8", dt.datetime.fromtimestamp(WHEN, dt.timezone.utc), max_transfers=2, max_itineraries=2)
+    rows = [
+        (n, k, leg["type"], leg["from_stop"], leg["to_stop"], leg.get("trip_id"), x["depart"], x["arrive"], routing.valid_times(x), not routing.adjacent_walks(x), round(routing.furthest_walk(t, x), 3))
+        for n, x in enumerate(found.get("itineraries", [])) for k, leg in enumerate(x["legs"])
+    ]
+    return spark.createDataFrame(rows, "itinerary int, leg int, type string, from_stop long, to_stop long, trip_id long, depart long, arrive long, times_valid boolean, walks_merged boolean, furthest_walk double")
+
+
+@query("SELECT cast(count(*) AS bigint) AS n FROM v_trips")
+def a4_count_trips(t: Timetable, spark, sf_dir):
+    return catalog.count_trips(t)
+
+
+@query("SELECT DISTINCT t.trip_id FROM events e JOIN v_trips t ON t.trip_id = e.event_id")
+def j23_trips_existing(t: Timetable, spark, sf_dir):
+    return catalog.trips_existing(t, _read(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("trip_id")))
+
+
+@query(f"""SELECT DISTINCT b.stop_id, b.route_id, b.trip_id, b.dep, r.route_short_name FROM ({_BOARD_ALL.replace("WHERE t.service_id", "JOIN v_routes q ON q.route_id = t.route_id WHERE q.route_type = 1 AND t.service_id")}) AS b
+    JOIN v_routes r ON r.route_id = b.route_id""")
+def j3_boardings_by_mode(t: Timetable, spark, sf_dir):
+    """Boardings on subways alone (J3), with the routes' short names (J19)."""
+    marked = t.stops.select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
+    rows = routing.boardings(t, marked, spark.createDataFrame([("d", 1)], "date string, service_id long"), ["subway"])
+    return rows.join(t.routes.select("route_id", "route_short_name"), "route_id").select("stop_id", "route_id", "trip_id", "dep", "route_short_name")
+
+
+@query(f"""SELECT st.stop_id, st.trip_id, st.dep, r.route_short_name FROM {_DEPARTURES} WHERE r.route_id = 3""")
+def p7_departures_of_route(t: Timetable, spark, sf_dir):
+    return schedule.departures(t, route_id=3).select("stop_id", "trip_id", "dep", "route_short_name")
+
+
+@query("""SELECT event_id, cast(CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 30) * 3600 + (event_id % 60) * 60 + event_id % 60 END AS int) AS seconds FROM events""")
+def f3_clock_seconds(t: Timetable, spark, sf_dir):
+    """Hours past 24; two parts, letters and nulls are null."""
+    events, n = _read(spark, sf_dir, "events"), F.col("event_id")
+    text = F.format_string("%d:%02d:%02d", n % 30, n % 60, n % 60)
+    broken = F.when(n % 15 == 0, F.lit(None)).when(n % 15 == 5, "12:30").otherwise("12:3x:00")
+    return events.select("event_id", S.clock_seconds(F.when(n % 5 == 0, broken).otherwise(text)).alias("seconds"))
+
+
+@query("""SELECT event_id, strftime(to_timestamp(s) AT TIME ZONE 'America/Toronto', '%Y-%m-%dT%H:%M:%S') || CASE WHEN o < 0 THEN '-' ELSE '+' END
+    || lpad(cast(abs(o) // 3600 AS varchar), 2, '0') || ':' || lpad(cast(abs(o) // 60 % 60 AS varchar), 2, '0') AS local
+    FROM (SELECT event_id, s, cast(epoch(to_timestamp(s) AT TIME ZONE 'America/Toronto') AS bigint) - s AS o
+    FROM (SELECT event_id, cast(1700000000 + event_id * 3607 AS bigint) AS s FROM events) AS a) AS b""")
+def f20_local_time(t: Timetable, spark, sf_dir):
+    """Instants over years, so with both offsets."""
+    return _read(spark, sf_dir, "events").select("event_id", S.iso_local(F.lit(1700000000) + F.col("event_id") * 3607).alias("local"))
+
+
+#: Pathways along every fifth stop and its two neighbours, both ways or one, through a node that is no stop.
+_PATHWAYS = """SELECT cast(stop_id AS varchar(20)) AS pathway_id, stop_id AS from_stop_id, cast(1000000 + stop_id AS bigint) AS to_stop_id, cast(1 AS int) AS pathway_mode, cast(1 AS int) AS is_bidirectional,
+    cast(10 + stop_id % 7 AS int) AS traversal_time, cast(NULL AS double) AS length FROM v_stops WHERE stop_id % 5 = 1
+    UNION ALL SELECT cast(-stop_id AS varchar(20)), cast(1000000 + stop_id AS bigint), stop_id + 1, cast(2 AS int), cast(CASE WHEN stop_id % 2 = 0 THEN 1 ELSE 0 END AS int), cast(20 + stop_id % 3 AS int), cast(NULL AS double) FROM v_stops WHERE stop_id % 5 = 1"""
+
+
+@query("""SELECT a.stop_id AS from_stop_id, b.stop_id AS to_stop_id, cast(10 + a.stop_id % 7 + 20 + a.stop_id % 3 AS int) AS min_walk_seconds, 'pathway' AS type FROM v_stops a JOIN v_stops b ON b.stop_id = a.stop_id + 1 WHERE a.stop_id % 5 = 1
+    UNION ALL SELECT b.stop_id, a.stop_id, cast(10 + a.stop_id % 7 + 20 + a.stop_id % 3 AS int), 'pathway' FROM v_stops a JOIN v_stops b ON b.stop_id = a.stop_id + 1 WHERE a.stop_id % 5 = 1 AND a.stop_id % 2 = 0""")
+def b4_pathway_transfers(t: Timetable, spark, sf_dir):
+    ways = spark.sql(_PATHWAYS.replace("v_stops", "{stops}"), stops=t.stops)
+    return transfers.pathway_transfers(t.stops, ways)
+
+
 _CATEGORY = """CASE WHEN lower(text) LIKE '%elevator%' THEN 'elevator' WHEN lower(text) LIKE '%escalator%' THEN 'escalator' WHEN lower(text) LIKE '%planned%' THEN 'planned'
     WHEN lower(text) LIKE '%no service%' THEN 'no_service' WHEN lower(text) LIKE '%detour%' OR lower(text) LIKE '%bypass%' OR lower(text) LIKE '%not stopping%' THEN 'detour'
     WHEN lower(text) LIKE '%delay%' THEN 'delay' WHEN effect IN (1) THEN 'no_service' WHEN effect IN (4, 6, 9) THEN 'detour' WHEN effect IN (2, 3) THEN 'delay'
@@ -316,20 +407,98 @@ def q7_predicted_arrivals(t: Timetable, spark, sf_dir):
     return realtime.predicted_arrivals(t, updates, asked, now=1704412800, limit=4).select("asked", "route", "headsign", "at")
 
 
-@query("""SELECT cast(event_id AS varchar(20)) AS vehicle_id, event_type AS route_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50""")
+_PLACE = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE cast(43.7 AS double) END"
+
+
+@query(f"""SELECT vehicle_id, route_id, lat, bearing, trip_id, occupancy_status, seconds, position, total > 50 AS truncated FROM (SELECT *, row_number() OVER (ORDER BY position DESC) AS n, count(*) OVER () AS total
+    FROM (SELECT cast(event_id AS varchar(20)) AS vehicle_id, event_type AS route_id, {_PLACE} AS lat, cast(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 360 END AS double) AS bearing,
+    CASE WHEN event_id % 3 = 0 THEN NULL ELSE cast(event_id AS varchar(20)) END AS trip_id, CASE event_id % 11 WHEN 0 THEN 'empty' WHEN 5 THEN 'full' ELSE NULL END AS occupancy_status,
+    strftime(to_timestamp(1700000000) AT TIME ZONE 'America/Toronto', '%H:%M:%S') AS seconds, -event_id AS position FROM events WHERE event_type = 'click' AND event_id % 9 <> 0 AND event_id % 10 <> 0) AS x) AS y WHERE n > total - 50""")
 def q9_vehicles_for_route(t: Timetable, spark, sf_dir):
+    """The feed lists the greatest id first; ids, places, trips and times may be missing."""
+    n = F.col("event_id")
     feed = _read(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("vehicle_id"), F.col("event_type").alias("route_id"), F.lit("").alias("trip_id"), F.lit(43.7).alias("lat"), F.lit(-79.4).alias("lon"),
-        F.lit(None).cast("double").alias("bearing"), F.lit(1).alias("occupancy"), F.lit(None).cast("long").alias("timestamp"), F.col("event_id").alias("position"),
+        F.when(n % 10 != 0, n.cast("string")).alias("vehicle_id"), F.col("event_type").alias("route_id"), F.when(n % 3 == 0, "").otherwise(n.cast("string")).alias("trip_id"),
+        F.when(n % 9 != 0, F.lit(43.7)).alias("lat"), F.lit(-79.4).alias("lon"), F.when(n % 4 != 0, n % 360).cast("double").alias("bearing"),
+        F.when((n % 11 == 0) | (n % 11 == 5), n % 11).otherwise(99).cast("int").alias("occupancy"), F.when(n % 2 == 0, F.lit(1700000000)).cast("long").alias("timestamp"), (-n).alias("position"),
+    )
+    out = realtime.vehicles_for_route(feed, "click", now=1700000000)
+    return out.select("vehicle_id", "route_id", "lat", "bearing", "trip_id", "occupancy_status", F.substring("timestamp", 12, 8).alias("seconds"), "position", "truncated")
+
+
+_ALERT_FEED = f"""SELECT id, position, {_CATEGORY} AS category, header, description, severity, cause, effect_name, url, route, stop, own FROM (SELECT cast(doc_id AS varchar(20)) AS id, doc_id AS position, cast(doc_id % 13 AS int) AS effect,
+    CASE cast(doc_id % 8 AS int) WHEN 0 THEN '{_WORDS[0]}' WHEN 1 THEN '{_WORDS[1]}' WHEN 2 THEN '{_WORDS[2]}' WHEN 3 THEN '{_WORDS[3]}' WHEN 4 THEN '{_WORDS[4]}' ELSE '' END AS header,
+    CASE WHEN doc_id % 4 = 3 THEN NULL ELSE text END AS description, CASE cast(doc_id % 5 AS int) WHEN 1 THEN 'unknown_severity' WHEN 2 THEN 'info' WHEN 3 THEN 'warning' WHEN 4 THEN 'severe' END AS severity,
+    CASE cast(doc_id % 3 AS int) WHEN 1 THEN 'unknown_cause' WHEN 2 THEN 'other_cause' END AS cause,
+    CASE cast(doc_id % 13 AS int) WHEN 1 THEN 'no_service' WHEN 2 THEN 'reduced_service' WHEN 3 THEN 'significant_delays' WHEN 4 THEN 'detour' WHEN 5 THEN 'additional_service' WHEN 6 THEN 'modified_service' WHEN 7 THEN 'other_effect'
+    WHEN 8 THEN 'unknown_effect' WHEN 9 THEN 'stop_moved' WHEN 10 THEN 'no_effect' WHEN 11 THEN 'accessibility_issue' END AS effect_name,
+    CASE WHEN doc_id % 2 = 0 THEN 'https://x/' || cast(doc_id AS varchar(20)) END AS url, CASE WHEN doc_id % 3 <> 0 THEN cast(doc_id % 30 AS varchar(20)) END AS route, CASE WHEN doc_id % 5 <> 0 THEN cast(doc_id % 130 AS varchar(20)) END AS stop,
+    CASE cast(doc_id % 6 AS int) WHEN 0 THEN 'streetcar' WHEN 1 THEN 'subway' WHEN 3 THEN 'bus' END AS own,
+    coalesce(CASE cast(doc_id % 8 AS int) WHEN 0 THEN '{_WORDS[0]}' WHEN 1 THEN '{_WORDS[1]}' WHEN 2 THEN '{_WORDS[2]}' WHEN 3 THEN '{_WORDS[3]}' WHEN 4 THEN '{_WORDS[4]}' END, '') || ' ' || coalesce(CASE WHEN doc_id % 4 = 3 THEN NULL ELSE text END, '') AS text FROM documents) AS x"""
+_ALERTS = f"""SELECT f.id, f.position, f.category, f.header, f.description, f.severity, f.cause, f.effect_name AS effect, f.url, coalesce(f.route, '') AS routes, coalesce(f.stop, '') AS stops,
+    array_to_string(list_sort(list_distinct([f.own, r.mode, m.mode])), ',') AS modes FROM ({_ALERT_FEED}) AS f
+    LEFT JOIN (SELECT cast(route_id AS varchar(20)) AS route, {_MODE} AS mode FROM v_routes) AS r ON r.route = f.route
+    LEFT JOIN v_modes m ON cast(m.stop_id AS varchar(20)) = f.stop"""
+
+
+def _alerts(t, spark, sf_dir):
+    n = F.col("doc_id")
+    head = F.get(F.array(*[F.lit(w) for w in _WORDS[:5]]), (n % 8).cast("int"))
+    told = lambda text: F.when(text.isNotNull(), F.array(F.struct(text.alias("text"), F.lit("en").alias("language"))))
+    informed = F.array(
+        F.struct(F.when(n % 3 != 0, (n % 30).cast("string")).otherwise("").alias("route_id"), F.lit(None).cast("string").alias("stop_id"), F.lit(None).cast("int").alias("route_type")),
+        F.struct(F.lit(None).cast("string").alias("route_id"), F.when(n % 5 != 0, (n % 130).cast("string")).alias("stop_id"), (n % 6).cast("int").alias("route_type")),
+    )
+    feed = _read(spark, sf_dir, "documents").select(
+        n.cast("string").alias("id"), told(head).alias("header"), told(F.when(n % 4 != 3, F.col("text"))).alias("description"), told(F.when(n % 2 == 0, F.concat(F.lit("https://x/"), n.cast("string")))).alias("url"),
+        (n % 3).cast("int").alias("cause"), (n % 13).cast("int").alias("effect"), (n % 5).cast("int").alias("severity"), informed.alias("informed"),
+        F.lit(None).cast("array<struct<start: long, end: long>>").alias("active"), n.alias("position"),
+    )
+    return realtime.alerts(t, feed)
+
+
+def _joined(found):
+    return found.select(
+        "id", "position", "category", "header", "description", "severity", "cause", "effect", "url",
+        *[F.array_join(c, ",").alias(c) for c in ("routes", "stops", "modes")], *[c for c in found.columns if c == "truncated"],
     )
-    return realtime.vehicles_for_route(feed, "click", now=0).select("vehicle_id", "route_id")
 
 
-@query("""SELECT count(*) AS n_updates, count(DISTINCT event_id) AS n_trips, count(t.trip_id) AS n_matched, cast(sum(CASE WHEN t.trip_id IS NULL AND e.user_id < 25 THEN 1 ELSE 0 END) AS bigint) AS n_recovered,
-    round(count(t.trip_id) * 1000 / cast(count(*) AS double)) / 10 AS matched_percent FROM events e LEFT JOIN v_trips t ON t.trip_id = e.event_id""")
+@query(f"SELECT * FROM ({_ALERTS}) AS a")
+def q8_alerts(t: Timetable, spark, sf_dir):
+    """Every alert of a feed made of the documents, all columns."""
+    return _joined(_alerts(t, spark, sf_dir))
+
+
+@query(f"""SELECT * EXCLUDE (total) FROM (SELECT *, total > 20 AS truncated FROM (SELECT *, count(*) OVER () AS total FROM ({_ALERTS}) AS a WHERE list_contains(string_split(modes, ','), 'bus') AND category = 'detour') AS b
+    ORDER BY position LIMIT 20) AS c""")
+def p11_matching_alerts(t: Timetable, spark, sf_dir):
+    """The first twenty detours that concern buses, in the feed's order."""
+    return _joined(realtime.matching_alerts(_alerts(t, spark, sf_dir), mode="bus", category="detour", limit=20))
+
+
+_UPDATES = """SELECT event_id AS position, CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'x' || cast(user_id AS varchar(20)) ELSE cast(event_id AS varchar(20)) END AS raw,
+    CASE WHEN event_id % 13 <> 0 AND event_id % 7 <> 0 THEN event_id END AS number, event_id % 5 <> 0 AS has_route FROM events"""
+
+
+@query(f"""WITH_UPDATES SELECT (SELECT cast(count(*) AS bigint) FROM v_trips) AS static_trip_count, *,
+    floor(matched_trip_ids * 1000 / cast(distinct_rt_trip_ids AS double) + 0.5) / 10 AS overlap_pct, unmatched_updates - unmatched_updates_recovered AS unmatched_updates_unrecoverable
+    FROM (SELECT cast(count(*) AS bigint) AS rt_trip_updates, cast(sum(CASE WHEN trip_id IS NULL THEN 1 ELSE 0 END) AS bigint) AS unmatched_updates,
+    cast(sum(CASE WHEN trip_id IS NULL AND has_route THEN 1 ELSE 0 END) AS bigint) AS unmatched_updates_recovered, cast(count(DISTINCT CASE WHEN raw <> '' THEN raw END) AS bigint) AS distinct_rt_trip_ids,
+    cast(count(DISTINCT number) AS bigint) AS numeric_trip_ids, cast(sum(CASE WHEN raw <> '' AND number IS NULL THEN 1 ELSE 0 END) AS bigint) AS non_numeric_trip_ids,
+    cast(count(DISTINCT trip_id) AS bigint) AS matched_trip_ids, cast(count(DISTINCT CASE WHEN raw <> '' THEN raw END) - count(DISTINCT trip_id) AS bigint) AS unmatched_trip_ids FROM v_updates) AS counts,
+    (SELECT array_to_string(list(raw ORDER BY position), ',') AS sample_unmatched_trip_ids FROM (SELECT raw, CASE WHEN number IS NULL THEN 1000000000000 ELSE 0 END + min(position) AS position FROM v_updates WHERE raw <> '' AND trip_id IS NULL GROUP BY raw, number IS NULL ORDER BY 2 LIMIT 10) AS a) AS s,
+    (SELECT array_to_string(list(raw ORDER BY position), ',') AS sample_non_numeric_trip_ids FROM (SELECT raw, position FROM v_updates WHERE raw <> '' AND number IS NULL ORDER BY position LIMIT 10) AS a) AS u""")
 def q17_join_report(t: Timetable, spark, sf_dir):
-    events = _read(spark, sf_dir, "events")
-    return realtime.join_report(t, events.select(F.col("event_id").cast("string").alias("trip_id"), F.col("user_id").cast("string").alias("route_id")))
+    """All thirteen numbers, over updates of which some have no id, no number or no route."""
+    n = F.col("event_id")
+    raw = F.when(n % 13 == 0, "").when(n % 7 == 0, F.concat(F.lit("x"), F.col("user_id").cast("string"))).otherwise(n.cast("string"))
+    updates = _read(spark, sf_dir, "events").select(raw.alias("trip_id"), F.when(n % 5 != 0, "900").otherwise(" ").alias("route_id"), n.alias("position"))
+    out = realtime.join_report(t, updates)
+    return out.withColumns({c: F.array_join(c, ",") for c in out.columns if c.startswith("sample")})
+
+
+ORACLES["q17_join_report"] = ORACLES["q17_join_report"].replace(") WITH_UPDATES SELECT", f"), v_updates AS (SELECT u.*, t.trip_id FROM ({_UPDATES}) AS u LEFT JOIN v_trips t ON t.trip_id = u.number) SELECT", 1)
 
 
 @query("SELECT * FROM (VALUES ('adult', 'presto', cast(3.35 AS double), 'CAD'), ('adult', 'cash', 3.35, 'CAD'), ('adult', 'day_pass', 13.5, 'CAD'), ('adult', 'monthly', 156.0, 'CAD')) AS t(category, fare_type, price, currency)")

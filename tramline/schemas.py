@@ -14,6 +14,12 @@ TABLES = {
     "transfers": "from_stop_id long, to_stop_id long, min_walk_seconds int, type string",
     "rt_stop_crosswalk": "rt_stop_id long, stop_id long",
 }
+#: Tables that the load works out once, so that a search or a stop's detail does not go
+#: through all stop times.
+DERIVED = {
+    "served": "stop_id long, route_id long, route_type int",
+    "canonical": "route_id long, direction_id int, trip_id long, stop_count long",
+}
 #: Keys that must be there and, where ``unique``, once.
 KEYS = {
     "stops": (("stop_id",), True), "routes": (("route_id",), True), "calendar": (("service_id",), True),
@@ -55,3 +61,8 @@ FARES = [
     ("adult", "monthly", 156.0, "CAD"), ("senior", "presto", 2.3, "CAD"), ("senior", "monthly", 128.15, "CAD"),
     ("youth", "presto", 2.3, "CAD"), ("youth", "monthly", 128.15, "CAD"), ("child", "presto", 0.0, "CAD"),
 ]
+#: What goes with every answer on fares.
+TRANSFER_WINDOW_MINUTES = 120
+TRANSFER_RULE = "One fare covers unlimited transfers across subway, streetcar, and bus for 2 hours from first tap (PRESTO or contactless)."
+FARES_PAGE = "https://www.ttc.ca/fares-and-passes"
+FARES_NOTE = "The table is kept by hand, as no machine-readable one is published, and fares change from time to time: see the official page."

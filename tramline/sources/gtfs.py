@@ -42,8 +42,11 @@ def extract(zip_path: str, member: str, folder: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header-keyed, all strings; empty lines and a byte order mark are dropped."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Header-keyed, all strings; empty lines and a byte order mark are dropped. Records
+    are lines, so that a large file is split, unless a quoted text goes over a line end:
+    a first pass counts lines with an odd number of quotes."""
+    odd = spark.read.text(path).where(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2)
+    return spark.read.option("header", True).option("multiLine", not odd.isEmpty()).option("escape", '"').csv(path)
 
 
 def typed(raw: DataFrame, table: str, names: dict) -> DataFrame:
@@ -77,8 +80,13 @@ def read_feed(spark: SparkSession, zip_path: str, tables: dict, folder: str) ->
 
 
 def ingest(spark: SparkSession, first_zip: str, second_zip: str, target: str, work: str | None = None) -> dict:
-    """Rebuild every table under ``target``; returns rows by table."""
-    work = work or tempfile.mkdtemp(prefix="tramline-feed-")
+    """Rebuild every table under ``target``; returns rows by table. ``work``: a folder that
+    driver and executors share, into which the feeds' files are put; may be left out in
+    local mode only, where a temporary one is taken."""
+    if work is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("work must name a folder that driver and executors share")
+        work = tempfile.mkdtemp(prefix="tramline-feed-")
     a = read_feed(spark, first_zip, FIRST_FEED, os.path.join(work, "a"))
     b = read_feed(spark, second_zip, SECOND_FEED | {"stops": ("stops.txt", {})}, os.path.join(work, "b"))
     stops, crosswalk = overlay(a["stops"], b["stops"])

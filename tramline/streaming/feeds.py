@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def latest_snapshot(stream: DataFrame, target: str, key: str, checkpoint: str, at: str = "timestamp"):
     """Keep the newest row per key of a stream under ``target``; every batch is
     written beside the last under its number, and ``read_latest`` takes the
-    greatest, so a batch that is repeated after a failure changes nothing."""
+    greatest, so a batch that is repeated after a failure changes nothing. A batch
+    needs the one before it alone; older ones are deleted."""
 
     def replace(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -19,6 +20,9 @@ def latest_snapshot(stream: DataFrame, target: str, key: str, checkpoint: str, a
         columns = [c for c in batch.columns if c not in (key, at)]
         newest = rows.groupBy(key).agg(F.max(F.struct(at, *columns)).alias("r")).select(key, f"r.{at}", *[f"r.{c}" for c in columns])
         newest.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/n={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/n={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import KEYS, TABLES
+from .schemas import DERIVED, KEYS, TABLES
 
 
 @dataclass
@@ -22,26 +23,53 @@ class Timetable:
     rt_stop_crosswalk: DataFrame
     levels: DataFrame | None = None
     pathways: DataFrame | None = None
+    #: (stop_id, route_id, route_type) a stop is served by, platforms' for their station;
+    #: and the longest trip of every direction. Stored by ``write``, else worked out.
+    served: DataFrame | None = None
+    canonical: DataFrame | None = None
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows) -> Timetable:
         """From lists of tuples, absent tables empty."""
-        return cls(**{f.name: spark.createDataFrame(rows.get(f.name, []), TABLES[f.name]) for f in fields(cls)})
+        return cls(**{name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in TABLES.items()})
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Timetable:
-        return cls(**{f.name: spark.read.schema(TABLES[f.name]).parquet(f"{folder}/{f.name}") for f in fields(cls)})
+        """The load that ``folder`` names as the current one."""
+        load = spark.read.schema("load string").parquet(f"{folder}/current").first()["load"]
+        return cls(**{name: spark.read.schema(schema).parquet(f"{folder}/{load}/{name}") for name, schema in (TABLES | DERIVED).items()})
 
     def write(self, folder: str) -> None:
-        """Full rebuild. Stop times are clustered by stop and departure, so that
-        row groups' bounds prune a stop's departures."""
+        """Full rebuild into a new load beside the one in use, which is named as the current
+        one when all its tables are there, so a load that fails changes nothing; the
+        load before it is deleted then. Stop times are clustered by stop and departure,
+        and served routes by stop, so that row groups' bounds prune a stop's rows."""
+        from .operators import catalog
+
+        spark = self.stops.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        place = hadoop.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        before = [x.getPath() for x in files.listStatus(place) if x.getPath().getName().startswith("load-")] if files.exists(place) else []
+        load = f"load-{uuid.uuid4().hex}"
         for f in fields(self):
             df = getattr(self, f.name)
             if df is None:
                 continue
             if f.name == "stop_times":
                 df = df.repartitionByRange("stop_id", "dep").sortWithinPartitions("stop_id", "dep")
-            df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
+            df.write.parquet(f"{folder}/{load}/{f.name}")
+        stored = Timetable(**{name: spark.read.schema(schema).parquet(f"{folder}/{load}/{name}") for name, schema in TABLES.items() if getattr(self, name) is not None})
+        if self.served is None:
+            catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{folder}/{load}/served")
+        if self.canonical is None:
+            catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{folder}/{load}/canonical")
+        for name in TABLES:
+            if getattr(self, name) is None:
+                spark.createDataFrame([], TABLES[name]).write.parquet(f"{folder}/{load}/{name}")
+        spark.createDataFrame([(load,)], "load string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+        for path in before:
+            files.delete(path, True)
 
 
 def check_keys(name: str, df: DataFrame) -> None:
