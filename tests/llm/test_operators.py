@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, chat, fingerprint, forest, jaccard, language, lines, packing, quality, token_files
+from tramline.llm import bpe, bpe_automaton, chat, fingerprint, forest, jaccard, language, lines, packing, quality, token_files
 from tramline.llm.queries import tokenizer_path
 from tramline.llm.shared import connected_components
 from tramline.llm.units import library_tokenizer, library_units
@@ -62,6 +62,31 @@ def test_bpe(docs, empty):
     assert bpe.digest_documents(empty, BYTE).count() == 0
 
 
+def test_byte_automaton(monkeypatch):
+    """Words go by transitions of the table, compiled once, and a table that starts again
+    gives the same tokens."""
+    r = random.Random(4)
+    words = [bytes(r.choice(b"abcdefghi \xc3\xa9 tnre") for _ in range(r.randint(1, 30))) for _ in range(400)] + [b"a" * 3000, b"ab" * 700]
+    tok = library_tokenizer(BYTE).model
+    letters = {b: c for c, b in bpe_automaton.byte_letters().items()}
+    want = [[x.id for x in tok.tokenize("".join(letters[b] for b in w))] for w in words]
+    machine = bpe_automaton.BpeAutomaton(BYTE)
+    assert machine.encode_words(words) == want
+    states, held, compiled = len(machine.states), machine.held, []
+    usual = machine._compile
+    monkeypatch.setattr(machine, "_compile", lambda keys: compiled.append(len(keys)) or usual(keys))
+    assert machine.encode_words(words) == want and not compiled and (len(machine.states), machine.held) == (states, held)
+    # by hand: one transition at a time from the first state
+    for w, ids in zip(words[:50], want):
+        state = np.zeros(1, dtype=np.int32)
+        for byte in w:
+            state = machine._step(state, np.array([byte]))
+        assert machine.last[state[0]] == ids[-1]
+    monkeypatch.setattr(bpe_automaton, "MOST_STATES", 60)
+    machine = bpe_automaton.BpeAutomaton(BYTE)
+    assert machine.encode_words(words) == want and len(machine.states) < states
+
+
 def test_units_equal_the_library():
     r = random.Random(1)
     letters = list("aab  \n.,'sétÀ019 　") + ["<|endoftext|>", "the", " tion", "\r\n", "́", "İ", "ſ"]

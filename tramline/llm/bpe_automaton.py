@@ -1,18 +1,23 @@
 """Byte-level BPE as a deterministic token automaton.
 
-Construction. The automaton starts as one state with an arc per byte. The merges
-are applied in rank order; the gadget of merge (u, v) -> w takes the arc v away
-from every state reached by reading u and adds the arc w beside it, into the
-state that v led to. After the last gadget a state is known by the arc that was
-read last, and a path spells a text's canonical encoding and no other. Written
-out, the arcs are states times vocabulary; instead the gadgets are kept in tables
-(halves, rank of every pair), and whether the arc b leaves state a is read off
-them by undoing gadgets latest first. Arcs that were asked for once are kept in a
-transition table.
-
-Encoding. For every prefix of a word exactly one arc ends there on the accepted
-path; it is found left to right with the vocabulary's byte trie and the
-transition table, for all words of a batch at once. Decoding emits arc labels.
+Merge gadgets. The token automaton starts as one state with an arc per byte. The merges
+are applied in rank order; the gadget of merge (u, v) -> w takes the arc v away from
+every state reached by reading u and adds the arc w beside it, into the state that v
+led to. After the last gadget a state is known by the arc that was read last, and a
+path spells a text's canonical encoding and no other. Written out, the arcs are states
+times vocabulary (about two thousand million for 50,000 merges); instead the gadgets
+are kept in tables (halves, rank of every pair), and whether the arc b leaves state a is
+read off them by undoing gadgets latest first.
+
+Byte automaton. Words are read by bytes, so the token automaton is determinised over
+them: a state is the last token of the canonical encoding of what was read, and the
+tokens that are being read, each as a node of the vocabulary's trie and the state that
+it leaves. Exactly one arc ends after every byte. States and transitions are compiled
+when they are first asked for, into a table by state and byte, and stay; when there are
+more than ``MOST_STATES`` the table starts again from the states in use.
+
+Encoding walks the table, all words of a batch at once, and reads the tokens backwards
+from the words' last states. Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -24,9 +29,8 @@ import regex
 
 #: The pre-split pattern of the byte-level vocabulary.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of more bytes are encoded one by one.
-LONG_WORD = 48
-ARC_SLOTS = 1 << 20
+#: Transitions found at a time, and states and slots of the table.
+BLOCK, MOST_STATES, SLOTS = 50_000, 100_000, 1 << 20
 NEVER = np.int64(1) << 40
 
 
@@ -46,7 +50,7 @@ class BpeAutomaton:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         letters = byte_letters()
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.size = size
+        self.size = size + 1  # the last number is no token: it marks the first state
         self.labels: list = [b""] * size
         for token, k in vocab.items():
             self.labels[k] = bytes(letters[c] for c in token)
@@ -55,8 +59,7 @@ class BpeAutomaton:
         self.label_len = np.array([len(x) for x in self.labels], dtype=np.int64)
         self._apply_gadgets(vocab, merges)
         self._build_trie(vocab)
-        self.arc_key = np.full(ARC_SLOTS, -1, dtype=np.int64)
-        self.arc_open = np.zeros(ARC_SLOTS, dtype=bool)
+        self._start([])
         self.pattern = regex.compile(PRE_SPLIT)
         self.decimals = [str(k).encode() for k in range(size)]
 
@@ -134,67 +137,113 @@ class BpeAutomaton:
         self.end[list(ends)] = list(ends.values())
         self.root = 0
 
-    def arcs_open(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Whether the arcs exist, by the transition table."""
-        keys = state.astype(np.int64) * self.size + token
-        slot = ((keys * np.int64(0x9E3779B97F4A7C1 | 1)) >> np.int64(21)) & np.int64(ARC_SLOTS - 1)
-        known = self.arc_key[slot] == keys
-        out = self.arc_open[slot]
-        if not known.all():
-            new, back = np.unique(keys[~known], return_inverse=True)
-            got = self._undo(new // self.size, new % self.size)
-            out = out.copy()
-            out[~known] = got[back]
-            s = slot[~known]
-            # each slot gets one key and that key's own answer
-            s, first = np.unique(s, return_index=True)
-            self.arc_key[s], self.arc_open[s] = keys[~known][first], got[back][first]
+    def _start(self, kept: list) -> None:
+        """An empty table with the first state and those of ``kept``: (last token, tokens
+        being read). A token being read is its trie node times size plus the state left."""
+        self.states: list = []
+        self.number: dict = {}
+        self.last = np.full(MOST_STATES + BLOCK + 1, -1, dtype=np.int32)
+        self.keys = np.full(SLOTS, -1, dtype=np.int64)
+        self.to = np.zeros(SLOTS, dtype=np.int32)
+        self.held = 0
+        for state in [(-1, ()), *kept]:
+            self._state(state)
+
+    def _state(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = n = len(self.states)
+            self.states.append(state)
+            self.last[n] = state[0]
+        return self.number[state]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.int64(0x9E3779B97F4A7C1 | 1) >> np.int64(25)) & np.int64(SLOTS - 1)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """States that transitions lead to, -1 where they are not compiled."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.to[slot[hit]]
+            on = ~hit & (there >= 0)
+            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _keep(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Put transitions that are not there yet into the table."""
+        self.held += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.to[slot[put]] = keys[put], to[put]
+            on = np.ones(len(keys), dtype=bool)
+            on[put] = False
+            keys, to, slot = keys[on], to[on], (slot[on] + 1) & (SLOTS - 1)
+
+    def _compile(self, keys: np.ndarray) -> None:
+        """Transitions of states by bytes (state * 256 + byte), each once."""
+        byte, state = keys & 255, [self.states[k] for k in (keys >> 8).tolist()]
+        # the tokens being read, and one that starts here, of all keys one after another
+        new = [self.root * self.size + (last if last >= 0 else self.size - 1) for last, _ in state]
+        every = np.array([x for (_, open_), y in zip(state, new) for x in (*open_, y)], dtype=np.int64)
+        of = np.repeat(np.arange(len(keys)), [len(open_) + 1 for _, open_ in state])
+        node, left = self.goto[self.row[every // self.size], byte[of]].astype(np.int64), every % self.size
+        alive = node >= 0
+        node, left, of = node[alive], left[alive], of[alive]
+        ends = np.flatnonzero(self.end[node] >= 0)
+        token, fits = self.end[node[ends]], left[ends] == self.size - 1
+        fits[~fits] = self._undo(left[ends[~fits]], token[~fits])
+        last = np.full(len(keys), -1, dtype=np.int64)
+        last[of[ends[fits]]] = token[fits]
+        on = self.row[node] > 0
+        further, count = (node[on] * self.size + left[on]).tolist(), np.bincount(of[on], minlength=len(keys))
+        stop = np.cumsum(count).tolist()
+        made = [self._state((t, tuple(further[b - n : b]))) for t, b, n in zip(last.tolist(), stop, count.tolist())]
+        self._keep(keys, np.array(made, dtype=np.int32))
+
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte; compiles what is missing."""
+        keys = state.astype(np.int64) << 8 | byte
+        out = self._find(keys)
+        missing = np.unique(keys[out < 0])
+        if len(missing):
+            self._compile(missing)
+            rest = out < 0
+            out[rest] = self._find(keys[rest])
         return out
 
     def encode_words(self, words: list) -> list:
         """Ids of pre-split words (bytes), each a list of int."""
         out: list = [None] * len(words)
-        short = []
-        for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = self._encode_long(w)
-            else:
-                short.append(k)
-        for at in range(0, len(short), 100_000):
-            self._encode_block(words, short[at : at + 100_000], out)
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        for at in range(0, len(order), BLOCK):
+            self._encode_block(words, order[at : at + BLOCK], out)
         return out
 
     def _encode_block(self, words: list, picked: list, out: list) -> None:
-        picked = sorted((k for k in picked), key=lambda k: -len(words[k]))
+        """``picked``: numbers of words, longest first."""
         length = np.array([len(words[k]) for k in picked], dtype=np.int64)
-        flat = np.frombuffer(b"".join(words[k] for k in picked) + b"\0", dtype=np.uint8)
-        start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else length
-        # last[start + word number + i]: the arc that ends after i bytes
-        base = start + np.arange(len(picked))
-        last = np.full(len(flat) + len(picked) + 1, -1, dtype=np.int32)
-        for i in range(int(length[0]) if len(length) else 0):
-            w = np.arange(np.searchsorted(-length, -i, side="left"))
-            state = last[base[w] + i]
-            node = np.zeros(len(w), dtype=np.int32)
-            j = i
-            while len(w):
-                node = self.goto[self.row[node], flat[start[w] + j]]
-                j += 1
-                alive = node >= 0
-                w, node, state = w[alive], node[alive], state[alive]
-                token = self.end[node]
-                hit = np.flatnonzero(token >= 0)
-                if len(hit):
-                    if i:
-                        hit = hit[self.arcs_open(state[hit], token[hit])]
-                    last[base[w[hit]] + j] = token[hit]
-                more = (length[w] > j) & (self.row[node] > 0)
-                w, node, state = w[more], node[more], state[more]
-        at, w = length.copy(), np.arange(len(picked))
-        w = w[at > 0]
+        flat = np.frombuffer(b"".join([words[k] for k in picked]), dtype=np.uint8)
+        start = np.cumsum(length) - length
+        last = np.empty(len(flat), dtype=np.int32)  # the arc that ends after every byte
+        state = np.zeros(len(picked), dtype=np.int32)
+        active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
+        for i, n in enumerate(active.tolist()):
+            if len(self.states) > MOST_STATES or self.held > SLOTS // 2:
+                used, state = np.unique(state[:n], return_inverse=True)
+                kept = [self.states[k] for k in used.tolist()]
+                self._start(kept)
+                state = np.array([self.number[x] for x in kept], dtype=np.int32)[state]
+            state = self._step(state[:n], flat[start[:n] + i])
+            last[start[:n] + i] = self.last[state]
+        at, w = length.copy(), np.flatnonzero(length)
         steps: list = [[] for _ in picked]
         while len(w):
-            token = last[base[w] + at[w]]
+            token = last[start[w] + at[w] - 1]
             for k, t in zip(w.tolist(), token.tolist()):
                 steps[k].append(t)
             at[w] -= self.label_len[token]
@@ -202,31 +251,6 @@ class BpeAutomaton:
         for k, ids in zip(picked, steps):
             out[k] = ids[::-1]
 
-    def _encode_long(self, word: bytes) -> list:
-        n, last, known = len(word), [-1] * (len(word) + 1), {}
-        goto, row, end = self.goto, self.row, self.end
-        for i in range(n):
-            node, j, state = 0, i, last[i]
-            while j < n:
-                node = int(goto[row[node], word[j]])
-                j += 1
-                if node < 0:
-                    break
-                token = int(end[node])
-                if token >= 0:
-                    if i:
-                        arc = (state, token)
-                        if arc not in known:
-                            known[arc] = bool(self._undo(np.array([state]), np.array([token]))[0])
-                        if not known[arc]:
-                            continue
-                    last[j] = token
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at -= len(self.labels[last[at]])
-        return ids[::-1]
-
     def split(self, text: str) -> list:
         return self.pattern.findall(text)
 
