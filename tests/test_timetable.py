@@ -156,8 +156,8 @@ def test_queries_of_every_stop(spark):
         base.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     stops = {x[0] for x in base.sql("SELECT s_suppkey FROM supplier").fetchall()}
     for name in ("j4_boardings", "j5_rides", "j7_footpaths", "a8_earliest_arrivals"):
-        rows = sorted(tuple(x) for x in QUERIES[f"{name}_every_stop"](spark, folder).collect())
-        assert rows == sorted(base.sql(ORACLES[f"{name}_every_stop"]).fetchall())
+        rows = sorted(tuple(x) for x in QUERIES[name](spark, folder).collect())
+        assert rows == sorted(base.sql(ORACLES[name]).fetchall())
         if name in ("j4_boardings", "j5_rides"):
             assert {x[0] for x in rows} == stops
     assert {x["solve"] for x in QUERIES["q11_ladder"](spark, folder).collect()} == stops

@@ -219,12 +219,13 @@ def b2_crosswalk(t: Timetable, spark, sf_dir):
 
 _BOARD = """SELECT * FROM (SELECT st.stop_id, t.route_id, t.direction_id, t.trip_headsign AS headsign, st.dep, st.trip_id, st.stop_sequence AS board_seq,
     row_number() OVER (PARTITION BY st.stop_id, t.route_id, t.direction_id, t.trip_headsign ORDER BY st.dep, st.trip_id, st.stop_sequence) AS n
-    FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id WHERE t.service_id = 1 AND st.stop_id % 3 = 0 AND st.dep >= 20000 + st.stop_id * 100) AS b WHERE n = 1"""
+    FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id WHERE t.service_id = 1 AND st.dep >= 20000 + st.stop_id * 100) AS b WHERE n = 1"""
 
 
-def _boarded(t, spark, stops: str = "stop_id % 3 = 0"):
-    marked = t.stops.where(stops).select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
-    return routing.boardings(t, marked, spark.createDataFrame([("d", 1)], "date string, service_id long"))
+def _boarded(t, spark, modes: list | None = None):
+    """Every stop, each from a time of its own on."""
+    marked = t.stops.select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
+    return routing.boardings(t, marked, spark.createDataFrame([("d", 1)], "date string, service_id long"), modes)
 
 
 @query(f"SELECT stop_id, route_id, direction_id, headsign, dep, trip_id, board_seq FROM ({_BOARD}) AS x")
@@ -248,31 +249,6 @@ def a8_earliest_arrivals(t: Timetable, spark, sf_dir):
     return routing.rides(t, _boarded(t, spark)).groupBy(F.col("to_stop").alias("stop_id")).agg(F.min("arr").alias("at"))
 
 
-#: The four queries above take one stop in three, as their SQL does; the four below take every stop.
-_BOARD_ALL = _BOARD.replace(" AND st.stop_id % 3 = 0", "")
-
-
-@query(f"SELECT stop_id, route_id, direction_id, headsign, dep, trip_id, board_seq FROM ({_BOARD_ALL}) AS x")
-def j4_boardings_every_stop(t: Timetable, spark, sf_dir):
-    return _boarded(t, spark, "true").select("stop_id", "route_id", "direction_id", "headsign", "dep", "trip_id", "board_seq")
-
-
-@query(f"SELECT b.stop_id, b.trip_id, d.stop_id AS to_stop, d.stop_sequence AS seq, d.arr FROM ({_BOARD_ALL}) AS b JOIN v_stop_times d ON d.trip_id = b.trip_id AND d.stop_sequence > b.board_seq")
-def j5_rides_every_stop(t: Timetable, spark, sf_dir):
-    return routing.rides(t, _boarded(t, spark, "true")).select("stop_id", "trip_id", "to_stop", "seq", "arr")
-
-
-@query(f"""SELECT w.to_stop_id AS stop_id, min(b.dep + w.min_walk_seconds) AS at FROM ({_BOARD_ALL}) AS b JOIN v_transfers w ON w.from_stop_id = b.stop_id WHERE w.type <> 'pathway' GROUP BY w.to_stop_id""")
-def j7_footpaths_every_stop(t: Timetable, spark, sf_dir):
-    labels = _boarded(t, spark, "true").select("stop_id", F.col("dep").alias("at"))
-    return routing.walks(t, labels).groupBy(F.col("to_stop_id").alias("stop_id")).agg(F.min(F.col("at") + F.col("min_walk_seconds")).cast("int").alias("at"))
-
-
-@query(f"""SELECT to_stop AS stop_id, min(arr) AS at FROM (SELECT b.stop_id, d.stop_id AS to_stop, d.arr FROM ({_BOARD_ALL}) AS b JOIN v_stop_times d ON d.trip_id = b.trip_id AND d.stop_sequence > b.board_seq) AS x GROUP BY to_stop""")
-def a8_earliest_arrivals_every_stop(t: Timetable, spark, sf_dir):
-    return routing.rides(t, _boarded(t, spark, "true")).groupBy(F.col("to_stop").alias("stop_id")).agg(F.min("arr").alias("at"))
-
-
 def _ladder_sql(rounds: int = 3, midnight: int = WHEN - 28800, horizon: int = WHEN + 6 * 3600, service: int = 1) -> str:
     """The rounds of the search written out, each from what the round before improved."""
     parts = [f'marked1 AS MATERIALIZED (SELECT stop_id AS solve, stop_id, cast({WHEN} AS bigint) AS "at" FROM v_stops)', "best1 AS MATERIALIZED (SELECT * FROM marked1)"]
@@ -330,12 +306,11 @@ def j23_trips_existing(t: Timetable, spark, sf_dir):
     return catalog.trips_existing(t, _read(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("trip_id")))
 
 
-@query(f"""SELECT DISTINCT b.stop_id, b.route_id, b.trip_id, b.dep, r.route_short_name FROM ({_BOARD_ALL.replace("WHERE t.service_id", "JOIN v_routes q ON q.route_id = t.route_id WHERE q.route_type = 1 AND t.service_id")}) AS b
+@query(f"""SELECT DISTINCT b.stop_id, b.route_id, b.trip_id, b.dep, r.route_short_name FROM ({_BOARD.replace("WHERE t.service_id", "JOIN v_routes q ON q.route_id = t.route_id WHERE q.route_type = 1 AND t.service_id")}) AS b
     JOIN v_routes r ON r.route_id = b.route_id""")
 def j3_boardings_by_mode(t: Timetable, spark, sf_dir):
     """Boardings on subways alone (J3), with the routes' short names (J19)."""
-    marked = t.stops.select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
-    rows = routing.boardings(t, marked, spark.createDataFrame([("d", 1)], "date string, service_id long"), ["subway"])
+    rows = _boarded(t, spark, ["subway"])
     return rows.join(t.routes.select("route_id", "route_short_name"), "route_id").select("stop_id", "route_id", "trip_id", "dep", "route_short_name")
 
 
