@@ -10,16 +10,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; one of our own
+    only where none is set and driver and executors are one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark, "_tramline_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tramline-")
@@ -54,7 +62,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of rows that a Python worker is handed at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -87,6 +95,41 @@ def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def possible_ids(ids: DataFrame, column: str, bits: int = 1 << 23):
+    """A function of a column of ids: whether each may be one of ``ids``. It holds a fixed
+    number of bits, so it passes more others when it fills up, and never fails one that
+    is there."""
+
+    def slots(values) -> np.ndarray:
+        return (mix(values.to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+    def mark(batches):
+        table = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            table[slots(batch["id"])] = True
+        yield pd.DataFrame({"one": [1], "blob": [zlib.compress(np.packbits(table).tobytes(), 1)]})
+
+    def either(group: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(bits // 8, dtype=np.uint8)
+        for blob in group["blob"]:
+            table |= np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
+        return pd.DataFrame({"blob": [zlib.compress(table.tobytes(), 1)]})
+
+    marks = ids.select(F.col(column).alias("id")).mapInPandas(mark, "one int, blob binary")
+    found = marks.groupBy("one").applyInPandas(either, "blob binary").collect()  # a megabyte at most
+    shared = ids.sparkSession.sparkContext.broadcast(found[0]["blob"] if found else zlib.compress(bytes(bits // 8)))
+    tables: list = []
+
+    @F.pandas_udf("boolean")
+    def maybe(values: pd.Series) -> pd.Series:
+        if not tables:
+            tables.append(np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8))
+        at = slots(values)
+        return pd.Series((tables[0][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return maybe
+
+
 def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links``; component = smallest node.
 

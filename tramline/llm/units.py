@@ -23,14 +23,17 @@ ODD_SPACE = (
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 #: Characters of text worked on at a time, but for a longer text by itself.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Estimated bytes of a cache, above which it starts again.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 
 _LOADED: dict = {}
 
 try:
-    _TRIM = ctypes.CDLL(None).malloc_trim
+    _LIBC = ctypes.CDLL(None)
+    _TRIM = _LIBC.malloc_trim
+    # arrays of a megabyte and more go back to the system when they are freed
+    _LIBC.mallopt(-3, 1 << 20)
 except (OSError, AttributeError):
     _TRIM = None
 
@@ -202,6 +205,13 @@ def library_units(path: str, keep_space: bool) -> UnitEncoder:
     return _LOADED[key]
 
 
+_BATCHES = [0]
+
+
 def as_texts(column) -> list:
-    """A pandas column of texts; null is empty."""
+    """A pandas column of texts; null is empty. Called batch by batch, so every few of
+    them what the ones before left is given back to the system."""
+    _BATCHES[0] += 1
+    if _BATCHES[0] % 4 == 0:
+        release_memory()
     return [x if isinstance(x, str) else "" for x in column]
