@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lines import expand, squeeze
-from .shared import NULL_ID, bounded_batches, connected_components, discard, id_in, id_out, materialize, tasks_for
+from .shared import NULL_ID, bounded_batches, connected_components, discard, id_in, id_out, materialize, possible_ids, tasks_for
 from .units import as_texts, only_cache, release_memory
 from .words import BASE, hash_words, mix, words_of
 
@@ -556,38 +556,18 @@ def keep_one_of_each(
     return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
-def _texts_of(rows: DataFrame, reps: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """(node, z): one compressed text for each row (node, doc, h) of ``reps``. A filter of
-    a fixed number of bits keeps most other documents' texts out of the shuffle; it only
-    passes more of them when it fills up."""
-
-    def slots(doc, h):
-        return (mix(doc.astype(np.int64).view(np.uint64) ^ h.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-    def mark(batches):
-        table = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            table[slots(batch["doc"].to_numpy(), batch["h"].to_numpy())] = True
-        yield pd.DataFrame({"one": [1], "blob": [zlib.compress(np.packbits(table).tobytes(), 1)]})
-
-    def either(group: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros(bits // 8, dtype=np.uint8)
-        for blob in group["blob"]:
-            table |= np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
-        return pd.DataFrame({"blob": [zlib.compress(table.tobytes(), 1)]})
-
+def _texts_of(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, z): one compressed text for each row (node, doc, h) of ``reps``. Most other
+    documents' texts are kept out of the shuffle by a filter on the hash."""
     reps = materialize(reps, "wanted", few_files=True)
-    marks = reps.select("doc", "h").mapInPandas(mark, "one int, blob binary")
-    found = marks.groupBy("one").applyInPandas(either, "blob binary").collect()  # one megabyte
-    shared = rows.sparkSession.sparkContext.broadcast(found[0]["blob"] if found else zlib.compress(bytes(bits // 8)))
+    maybe = possible_ids(reps, "h")
 
-    def pick(batches):
+    def pack(batches):
         only_cache(None)
-        table = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)).astype(bool)
         for batch in batches:
-            keep = table[slots(batch["doc"].to_numpy(), batch["h"].to_numpy())]
-            texts = as_texts(batch["text"][keep])
-            yield pd.DataFrame({"doc": batch["doc"][keep], "h": batch["h"][keep], "z": [squeeze(t.encode("utf-8", "surrogatepass")) for t in texts]})
+            yield pd.DataFrame({"node": batch["node"], "z": [squeeze(t.encode("utf-8", "surrogatepass")) for t in as_texts(batch["text"])]})
+        release_memory()
 
-    some = rows.mapInPandas(pick, "doc long, h long, z binary")
-    return some.join(reps, ["doc", "h"]).select("node", "z").dropDuplicates(["node"])
+    # the filter and the packing stand in different stages: a task runs one Python worker
+    some = rows.where(maybe("h")).join(reps.hint("merge"), ["doc", "h"]).select("node", "text")
+    return some.mapInPandas(pack, "node long, z binary").dropDuplicates(["node"])

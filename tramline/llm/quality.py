@@ -165,27 +165,16 @@ def fit(
     total = marked.count()
     if total > max_labelled:
         marked = marked.where(F.col("h") < int(max_labelled / total * (1 << 63)))
-    # bounded by max_labelled rows of (id, flag)
-    sample = {x["doc_id"]: (x["good"], x["h"] % 2) for x in marked.select("doc_id", "good", "h").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
-
-    def pick(batches):
-        flags = shared.value
-        for batch in batches:
-            found = batch["doc_id"].map(lambda x: flags.get(x)).to_numpy()
-            keep = np.array([x is not None for x in found], dtype=bool)
-            part = batch[keep]
-            yield part.assign(good=[bool(x[0]) for x in found[keep]], half=[int(x[1]) for x in found[keep]])
-
-    chosen = plain.where("doc_id is not null").mapInPandas(pick, "doc_id long, text string, good boolean, half int")
+    # bounded by about max_labelled rows of three numbers, so it may be broadcast; in a task
+    # of its own Python code, no other stands before the one that counts or scores
+    sample = materialize(marked.select("doc_id", "good", F.pmod("h", F.lit(2)).alias("half")), "labelled", few_files=True)
+    chosen = plain.join(F.broadcast(sample), "doc_id")
     raw = _counts(plain)
     ratio = _log_ratio(_counts(chosen.where("good and half = 0")), raw)
-    held = score(chosen.where("half = 1"), ratio).select("doc_id", "log_weight")
+    scores = scored_column(docs.sparkSession, ratio, F.col("doc_id"), F.col("text"))
     # bounded by max_labelled rows
-    seen = held.toPandas()
-    weight = seen["log_weight"].to_numpy(dtype=np.float64)
-    good = np.array([sample[x][0] for x in seen["doc_id"]], dtype=bool)
-    return ResamplingModel(ratio, _boundary(weight, good))
+    seen = chosen.where("half = 1").select("good", scores.alias("s")).select("good", "s.log_weight").toPandas()
+    return ResamplingModel(ratio, _boundary(seen["log_weight"].to_numpy(dtype=np.float64), seen["good"].to_numpy(dtype=bool)))
 
 
 def _boundary(weight: np.ndarray, good: np.ndarray) -> float:
