@@ -270,13 +270,13 @@ def test_lines(spark, empty):
 
 def _brute_words(texts, least):
     """Words of every document without those of all runs of ``least`` words or more that
-    an earlier place has, of runs that are in two documents or more."""
+    an earlier document has."""
     words = [t.split() for t in texts]
     places = collections.defaultdict(list)
     for d, x in enumerate(words):
         for a in range(len(x) - least + 1):
             places[tuple(x[a : a + least])].append((d, a))
-    gone = {(d, k) for found in places.values() if found[0][0] != found[-1][0] for d, a in found[1:] for k in range(a, a + least)}
+    gone = {(d, k) for found in places.values() for d, a in found if d != found[0][0] for k in range(a, a + least)}
     return [[y for k, y in enumerate(x) if (d, k) not in gone] for d, x in enumerate(words)]
 
 

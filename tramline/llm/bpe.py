@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_automaton import automaton
-from .shared import id_in, id_out
+from .shared import bounded_batches, id_in, id_out
 from .units import UnitEncoder, as_texts
 
 _ENCODERS: dict = {}
@@ -47,7 +47,7 @@ def encode_documents(
 ) -> DataFrame:
     """(doc_id, ids array<int>) of whole texts. Null text gives no ids; a null id
     stays null; repeated rows are kept; other columns are not read."""
-    rows = docs.select(id_in(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -62,7 +62,7 @@ def encode_documents(
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): arc labels joined, read as UTF-8."""
-    rows = encoded.select(id_in("doc_id").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = bounded_batches(encoded).select(id_in("doc_id").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
         machine = automaton(tokenizer_path)
@@ -77,7 +77,7 @@ def digest_documents(
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass
     without sending ids or texts on. Nulls as in ``encode_documents``."""
-    rows = docs.select(id_in(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, id_in, id_out, tasks_for
+from .shared import NULL_ID, bounded_batches, id_in, id_out, tasks_for
 from .units import as_texts
 
 BUCKETS = 128
@@ -118,7 +118,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of whole texts; null text is empty, a null id stays
     null, repeated rows are kept. Other columns are not read."""
-    rows = docs.select(id_in(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -138,10 +138,10 @@ def with_next_text(docs: DataFrame, function, schema: str, id_column: str = "doc
     another, and a task streams its blocks in order. Texts travel compressed.
     """
     spark = docs.sparkSession
-    rows = docs.select(id_in(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     tasks = tasks_for(spark)
     blocks = 4 * tasks
-    ids = docs.select(id_in(id_column).alias("id")).where(F.col("id") != NULL_ID)
+    ids = docs.select(id_in(f"`{id_column}`").alias("id")).where(F.col("id") != NULL_ID)
     cuts = ids.approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.25 / blocks)
     cuts = sorted({int(c) for c in cuts})
     bound = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_in, id_out, materialize, tasks_for
+from .shared import bounded_batches, id_in, id_out, materialize, tasks_for
 from .units import as_texts, library_units
 
 
@@ -139,7 +139,7 @@ def token_pieces(
     cut only where it is longer than ``max_tokens``. Null text is empty, so that a
     document has one token at least; a null id stays null; repeated rows are
     documents of their own. Other columns are not read."""
-    rows = docs.select(id_in(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def cut(batches):
         encoder = library_units(tokenizer_path, False)
@@ -163,7 +163,8 @@ def pack_pieces(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame
     gapless from 0 and all capacities hold. ``pieces`` needs a column length; its
     other columns are kept. Empty input gives empty output."""
     spark = pieces.sparkSession
-    salts = max(16, tasks_for(spark))
+    # with at most max_tokens lengths, the table of counts by length and salt is bounded
+    salts = min(1024, max(16, tasks_for(spark)))
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     # equal pieces may swap places, so the salt only has to spread one length evenly
     keyed = pieces.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int").alias("_salt"))

@@ -17,38 +17,62 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likenesses; see
+    ``fingerprint.edited_fingerprints``. Null text is empty, a null id stays null and comes
+    first in the order, repeated rows have a row each, an empty table none."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's sequence and offset; see ``packing.pack_documents``. With 2048 tokens a
+    sequence, as the contract has it, the limits on documents (2048) and attention cost
+    (2048 squared) hold by themselves, and act through the weights of the residual norm.
+    Null text has the end id alone, a null id stays null, repeated rows are packed each,
+    an empty table gives no rows."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with repeated passages cut out, and what was cut; see
+    ``lines.remove_repeated_passages``. Null text stays null, rows that share an id count
+    as one document, an empty table gives no rows."""
     cut = lines.remove_repeated_passages(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "removed_words", "removed")
 
 
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; see ``forest.near_duplicates``. Null, zero and
+    non-finite vectors are alone, rows that share an id have one result each, the same,
+    an empty table gives no rows."""
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight, noisy key and selection of every document; see ``quality.resample``. Null
+    text has weight 0, rows equal in id and text equal keys, an empty table no rows."""
     docs = table(spark, sf_dir, "documents")
     return quality.resample(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document; see ``jaccard.join_documents``. Texts
+    without words are alone, repeated rows have a row each, an empty table none."""
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes token files and reads every document back; see ``token_files``. Null text has
+    the end id alone, null ids come first, repeated rows are documents of their own, an
+    empty table gives no rows."""
     path = tokenizer_path("byte_bpe_50k.json")
     manifest, folder = token_files.write_token_files(table(spark, sf_dir, "documents"), path, end_id=2)
     return token_files.read_token_files(manifest, folder)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of conversation -1, read back from the formatted
+    strings; see ``chat.format_turn_rows``. Null roles and texts are empty, a null turn
+    comes first, repeated rows are turns each, a null id is a conversation."""
     forged = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame(
         [(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string"
@@ -58,10 +82,16 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to; see
+    ``bpe.digest_documents``. Null text is empty, repeated rows have a row each, an empty
+    table none."""
     return bpe.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them; see
+    ``language.predict``. A null id is not held out; null text and text without a letter
+    are ``und``; repeated rows have a row each, an empty table none."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = language.train(docs.where(~held_out))
@@ -82,5 +112,40 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-#: SQL for what it can express; the others' tests hold them against brute force.
-ORACLES: dict = {}
+def _closure(pairs: str, nodes: str) -> str:
+    """(node, least) over undirected ``pairs`` (a, b): the least node that is reachable."""
+    return f"""reach AS (SELECT a, b FROM {pairs} UNION SELECT r.a, p.b FROM reach AS r JOIN {pairs} AS p ON p.a = r.b),
+    least AS (SELECT n.id AS node, least(n.id, coalesce(min(r.b), n.id)) AS component_id FROM {nodes} AS n LEFT JOIN reach AS r ON r.a = n.id GROUP BY n.id)"""
+
+
+_OP4 = f"""WITH RECURSIVE good AS (SELECT vec_id, [cast(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+    unit AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM good),
+    pairs AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM unit AS x JOIN unit AS y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_dot_product(x.v, y.v) / (x.size * y.size) >= 0.9),
+    nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+    {_closure("pairs", "nodes")}
+    SELECT e.vec_id, cast(coalesce(c.n, 0) AS BIGINT) AS n_links, l.component_id, l.component_id = e.vec_id AS kept FROM embeddings AS e
+    JOIN least AS l ON l.node = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) AS c ON c.a = e.vec_id"""
+
+_OP6 = rf"""WITH RECURSIVE said AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+    shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS k FROM said WHERE len(w) > 0) AS x),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles AS x JOIN shingles AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+    pairs AS MATERIALIZED (SELECT h.a, h.b FROM shared AS h JOIN sizes AS x ON x.doc_id = h.a JOIN sizes AS y ON y.doc_id = h.b WHERE 100 * h.n >= 80 * (x.n + y.n - h.n)),
+    nodes AS (SELECT doc_id AS id FROM documents),
+    {_closure("pairs", "nodes")}
+    SELECT d.doc_id, cast(coalesce(z.n, 0) AS BIGINT) AS n_shingles, l.component_id FROM documents AS d JOIN least AS l ON l.node = d.doc_id LEFT JOIN sizes AS z ON z.doc_id = d.doc_id"""
+
+_OP8 = r"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0), (1)) AS t(k)),
+    told AS (SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS name FROM turns),
+    sized AS (SELECT *, length(text) + len(regexp_extract_all(text, '<[\\]*[|]')) AS body, length(name) + len(regexp_extract_all(name, '<[\\]*[|]')) AS head FROM told)
+    SELECT conv_id, cast(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+        cast(sum(length('<|im_start|>') + head + 1 + body + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""
+
+#: SQL for what it can express: every pair of vectors and of documents, which is exact and
+#: meant for small tables. The others' tests hold them against brute force.
+ORACLES: dict = {"op4_projection_forest": _OP4, "op6_jaccard_join": _OP6, "op8_chat_formatting": _OP8}
