@@ -9,7 +9,7 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_timetable import DAILY, _message, at, city, clock, network  # noqa: F401
+from tests.test_timetable import _message, at, city, network  # noqa: F401
 from tramline.api import Engine, QueryError
 from tramline.functions import scalars as S
 from tramline.operators import catalog, realtime, routing, schedule, transfers
