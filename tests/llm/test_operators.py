@@ -484,6 +484,16 @@ def test_language(spark, docs, empty):
     import itertools
 
     assert math.isclose(worth(labels.tolist()), max(worth(p) for p in itertools.product(range(3), repeat=6)))
+    # many texts at once, most of one language: as the steps alone label them
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 40, 300)
+    starts = np.cumsum(lengths) - lengths
+    words = rng.permutation(np.arange(lengths.sum()) % 900)
+    scores = rng.standard_normal((900, 4)) * 3
+    for lean in (0.0, 1.0, 4.0):
+        tilted = scores + lean * np.eye(4)[1]
+        assert (language.labels_of(words, starts, lengths, tilted, 9.0) == language.viterbi(words, starts, lengths, tilted, 9.0)).all()
+    assert len(language.labels_of(words[:0], starts[:0], lengths[:0], scores, 9.0)) == 0
 
 
 def test_quality(spark, docs, empty):

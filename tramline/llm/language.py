@@ -195,6 +195,43 @@ def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores:
     return labels
 
 
+def labels_of(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
+    """The Viterbi labels of all words of all texts.
+
+    A text is in one language throughout if no run of its words gains more by other
+    languages, each word in its best, than the switches around it cost, one for a run at
+    the text's start or end and two for any other: then no path with switches can be
+    better. Runs' gains are told at once for all words of all texts; the other texts go
+    through the steps."""
+    labels = np.zeros(len(words), dtype=np.int16)
+    some = np.flatnonzero(lengths)
+    if not len(some) or scores.shape[1] < 2:
+        return labels
+    size = lengths[some]
+    own = scores[words].astype(np.float64)
+    first = np.cumsum(size) - size  # words of texts without any take no place
+    text = np.repeat(np.arange(len(some)), size)
+    best = np.add.reduceat(own, first, axis=0).argmax(axis=1)
+    at = np.arange(len(words))
+    base = own[at, best[text]]
+    own[at, best[text]] = -np.inf
+    total = np.cumsum(own.max(axis=1) - base)
+    before = np.concatenate([[0.0], total[:-1]])
+    # a text's own least sum before: later texts are put below all earlier ones
+    apart = (total.max() - total.min() + 1.0 + abs(total[0])) * text
+    inner = np.maximum.reduceat(total - (np.minimum.accumulate(before - apart) + apart), first)
+    start, end = before[first], total[first + size - 1]
+    outer = np.maximum(np.maximum.reduceat(total, first) - start, end - np.minimum.reduceat(before, first))
+    one = (outer <= penalty * (1 - 1e-9)) & (inner <= 2 * penalty * (1 - 1e-9))
+    labels[:] = best[text]
+    mixed = np.flatnonzero(~one)
+    if len(mixed):
+        rows = np.concatenate([np.arange(first[k], first[k] + size[k]) for k in mixed])
+        count = size[mixed]
+        labels[rows] = viterbi(words[rows], np.cumsum(count) - count, count, scores, penalty)
+    return labels
+
+
 class _Labeller:
     """Word scores cached over batches."""
 
@@ -228,7 +265,7 @@ class _Labeller:
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         words = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
-        labels = viterbi(words, starts, lengths, self.scores, self.model.switch_penalty)
+        labels = labels_of(words, starts, lengths, self.scores, self.model.switch_penalty)
         return words, labels, starts, lengths
 
     def predict(self, texts: list, with_spans: bool) -> list:

@@ -23,9 +23,9 @@ ODD_SPACE = (
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 #: Characters of text worked on at a time, but for a longer text by itself.
-SLICE = 1 << 19
+SLICE = 1 << 20
 #: Estimated bytes of a cache, above which it starts again.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 
 _LOADED: dict = {}
 
