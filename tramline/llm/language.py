@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, evaluated_once
 from .units import UnitEncoder, as_texts, slices
 
 #: First code points of script ranges, in order.
@@ -309,7 +309,7 @@ def predicted_column(spark: SparkSession, model: LanguageModel | None, text, wit
             labellers[0] = _Labeller(fitted)
         return pd.DataFrame(labellers[0].predict(as_texts(texts), with_spans), columns=["lang_pred", "score", "spans"])
 
-    return run(text.cast("string"))
+    return evaluated_once(run)(text.cast("string"))
 
 
 def predict(

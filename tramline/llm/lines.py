@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, discard, id_in, materialize, possible_ids
+from .shared import bounded_batches, discard, evaluated_once, id_in, materialize, possible_ids
 from .units import as_texts, only_cache, release_memory, slices
 from .words import BASE, hash_words, mix, words_of
 
@@ -215,7 +215,7 @@ def remove_repeated_passages(
     # texts without a repeat are not sent to Python
     whole = renamed.withColumn("doc", id_in(own_id)).join(sent.hint("merge"), "doc", "left")
     touched = F.col("repeats").isNotNull() & F.col(own_text).isNotNull()
-    done = whole.withColumn("cut", cut(F.when(touched, F.col(own_text).cast("string")), F.col("repeats")))
+    done = whole.withColumn("cut", evaluated_once(cut)(F.when(touched, F.col(own_text).cast("string")), F.col("repeats")))
     text = F.when(touched, F.col("cut.text")).otherwise(F.col(own_text).cast("string"))
     return done.select(
         *[(text if f"c{k}" == own_text else F.col(f"c{k}")).alias(c) for k, c in enumerate(others)],

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, bounded_batches, materialize
+from .shared import NULL_ID, bounded_batches, evaluated_once, materialize
 from .units import UnitEncoder, as_texts
 
 BUCKETS = 1 << 16
@@ -117,7 +117,7 @@ def scored_column(spark: SparkSession, ratio: np.ndarray, doc_id, text, seed: in
             out.append((len(buckets), weight, weight + gumbel(seed, doc_id, text)))
         return pd.DataFrame(out, columns=["n_features", "log_weight", "gumbel_key"])
 
-    return run(F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)), text.cast("string"))
+    return evaluated_once(run)(F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)), text.cast("string"))
 
 
 def log_weight(total: float, n: int) -> float:

@@ -95,6 +95,13 @@ def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def evaluated_once(udf):
+    """The function as one the optimizer does not copy: a filter on its result is else put
+    below with a copy of its own, and a join's other side gets it too, so a task runs it
+    twice and in two workers."""
+    return udf.asNondeterministic()
+
+
 def possible_ids(ids: DataFrame, column: str, bits: int = 1 << 23):
     """A function of a column of ids: whether each may be one of ``ids``. It holds a fixed
     number of bits, so it passes more others when it fills up, and never fails one that
@@ -127,7 +134,7 @@ def possible_ids(ids: DataFrame, column: str, bits: int = 1 << 23):
         at = slots(values)
         return pd.Series((tables[0][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
 
-    return maybe
+    return evaluated_once(maybe)
 
 
 def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
