@@ -30,7 +30,7 @@ import regex
 #: The pre-split pattern of the byte-level vocabulary.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions found at a time, and states and slots of the table.
-BLOCK, MOST_STATES, SLOTS = 50_000, 100_000, 1 << 20
+BLOCK, MOST_STATES, SLOTS = 50_000, 400_000, 1 << 21
 NEVER = np.int64(1) << 40
 
 
@@ -219,18 +219,27 @@ class BpeAutomaton:
     def encode_words(self, words: list) -> list:
         """Ids of pre-split words (bytes), each a list of int."""
         out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-        for at in range(0, len(order), BLOCK):
-            self._encode_block(words, order[at : at + BLOCK], out)
+        for picked, tokens, ends in self._blocks(words):
+            tokens, first = tokens.tolist(), 0
+            for k, last in zip(picked, ends.tolist()):
+                out[k] = tokens[first:last]
+                first = last
         return out
 
-    def _encode_block(self, words: list, picked: list, out: list) -> None:
-        """``picked``: numbers of words, longest first."""
-        length = np.array([len(words[k]) for k in picked], dtype=np.int64)
-        flat = np.frombuffer(b"".join([words[k] for k in picked]), dtype=np.uint8)
+    def _blocks(self, words: list):
+        """(numbers of words, their tokens one after another, where each word's end)."""
+        order = sorted(range(len(words)), key=[-len(w) for w in words].__getitem__)
+        for at in range(0, len(order), BLOCK):
+            picked = order[at : at + BLOCK]
+            yield picked, *self._encode_block([words[k] for k in picked])
+
+    def _encode_block(self, words: list) -> tuple:
+        """Tokens of words, longest first, and where each word's end."""
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         start = np.cumsum(length) - length
         last = np.empty(len(flat), dtype=np.int32)  # the arc that ends after every byte
-        state = np.zeros(len(picked), dtype=np.int32)
+        state = np.zeros(len(words), dtype=np.int32)
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
         for i, n in enumerate(active.tolist()):
             if len(self.states) > MOST_STATES or self.held > SLOTS // 2:
@@ -240,31 +249,43 @@ class BpeAutomaton:
                 state = np.array([self.number[x] for x in kept], dtype=np.int32)[state]
             state = self._step(state[:n], flat[start[:n] + i])
             last[start[:n] + i] = self.last[state]
-        at, w = length.copy(), np.flatnonzero(length)
-        steps: list = [[] for _ in picked]
+        # backwards from the last state, one token of every word at a time
+        at, w, found, of = length.copy(), np.flatnonzero(length), [], []
         while len(w):
             token = last[start[w] + at[w] - 1]
-            for k, t in zip(w.tolist(), token.tolist()):
-                steps[k].append(t)
+            found.append(token)
+            of.append(w)
             at[w] -= self.label_len[token]
             w = w[at[w] > 0]
-        for k, ids in zip(picked, steps):
-            out[k] = ids[::-1]
+        if not found:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(words), dtype=np.int64)
+        token, of = np.concatenate(found[::-1]), np.concatenate(of[::-1])
+        return token[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(words)))
 
     def split(self, text: str) -> list:
         return self.pattern.findall(text)
 
     def encode_units(self, units: list) -> list:
         """(number of ids, decimals joined by commas, bytes of the arc labels)."""
-        cut = [[w.encode("utf-8", "surrogatepass") for w in self.split(u)] for u in units]
-        words = list({w for ws in cut for w in ws})
-        ids = dict(zip(words, self.encode_words(words)))
+        # letters with a space before them at most are one word
+        cut = [u if u.isascii() and (u.isalpha() or u[:1] == " " and u[1:].isalpha()) else self.split(u) for u in units]
+        texts = {w for ws in cut if ws.__class__ is list for w in ws}
+        texts.update([ws for ws in cut if ws.__class__ is str])
+        texts = list(texts)
+        done: dict = {}
+        for picked, tokens, ends in self._blocks([w.encode("utf-8", "surrogatepass") for w in texts]):
+            tokens, first = tokens.tolist(), 0
+            decimals, labels = [self.decimals[t] for t in tokens], [self.labels[t] for t in tokens]
+            for k, last in zip(picked, ends.tolist()):
+                done[texts[k]] = (last - first, b",".join(decimals[first:last]), b"".join(labels[first:last]))
+                first = last
         out = []
         for ws in cut:
-            got = [t for w in ws for t in ids[w]]
-            out.append(
-                (len(got), b",".join([self.decimals[t] for t in got]), b"".join([self.labels[t] for t in got]))
-            )
+            if ws.__class__ is str:
+                out.append(done[ws])
+            else:
+                got = [done[w] for w in ws]
+                out.append((sum([x[0] for x in got]), b",".join([x[1] for x in got]), b"".join([x[2] for x in got])))
         return out
 
     def encode(self, text: str) -> list:
