@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_automaton import automaton
 from .shared import bounded_batches, id_in, id_out
-from .units import CACHE_BYTES, UnitEncoder, as_texts
+from .units import UnitEncoder, as_texts
 
 _ENCODERS: dict = {}
 
@@ -22,7 +22,7 @@ def _encoder(path: str) -> UnitEncoder:
         def encode(units: list) -> list:
             return machine.encode_units(units)
 
-        _ENCODERS[path] = UnitEncoder(encode, True, machine.split, 3 * CACHE_BYTES)
+        _ENCODERS[path] = UnitEncoder(encode, True, machine.split, 3)
     return _ENCODERS[path]
 
 

@@ -134,6 +134,7 @@ def token_pieces(
     max_tokens: int = 2048,
     id_column: str = "doc_id",
     text_column: str = "text",
+    room: int = 6,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``,
     cut only where it is longer than ``max_tokens``. Null text is empty, so that a
@@ -142,7 +143,7 @@ def token_pieces(
     rows = bounded_batches(docs).select(id_in(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
     def cut(batches):
-        encoder = library_units(tokenizer_path, False)
+        encoder = library_units(tokenizer_path, False, room)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -204,6 +205,9 @@ def pack_pieces(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame
     return ranked.mapInPandas(place, ranked.schema).withColumns({c: id_out(c) for c in ids})
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: Capacity = Capacity()) -> DataFrame:
-    """Tokenise, cut and pack whole documents: one row per piece."""
-    return pack_pieces(token_pieces(docs, tokenizer_path, end_id, capacity.max_tokens), capacity)
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: Capacity = Capacity(), room: int = 6
+) -> DataFrame:
+    """Tokenise, cut and pack whole documents: one row per piece. ``room``: see
+    ``UnitEncoder``."""
+    return pack_pieces(token_pieces(docs, tokenizer_path, end_id, capacity.max_tokens, room=room), capacity)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,12 +72,12 @@ def release_memory() -> None:
         _TRIM(0)
 
 
-def slices(texts: list):
-    """(first, one past the last) of runs of texts of at most ``SLICE`` characters
+def slices(texts: list, most: int = SLICE):
+    """(first, one past the last) of runs of texts of at most ``most`` characters
     together, or one longer text."""
     first = size = 0
     for k, text in enumerate(texts):
-        if k > first and size + len(text) > SLICE:
+        if k > first and size + len(text) > most:
             yield first, k
             first, size = k, 0
         size += len(text)
@@ -90,11 +91,13 @@ class UnitEncoder:
     ``encode(list of str) -> list of values`` is called with distinct units.
     ``keep_space``: a unit after a space starts with that space (byte-level
     vocabularies); otherwise white space is dropped. ``whole``: cuts a text with
-    odd white space into units of its own.
+    odd white space into units of its own. ``room``: how much larger a cache, and slices,
+    a worker may hold; less costs time alone.
     """
 
-    def __init__(self, encode, keep_space: bool, whole):
+    def __init__(self, encode, keep_space: bool, whole, room: int = 1):
         self.encode, self.keep_space, self.whole = encode, keep_space, whole
+        self.cache_bytes, self.slice = room * CACHE_BYTES, min(room, 4) * SLICE
         self.cache: dict = {}
         self.held, self.cleared = 0, lambda: None
 
@@ -122,8 +125,8 @@ class UnitEncoder:
         starts again between two slices only, so that values which are places in a
         table hold for a slice."""
         only_cache(self)
-        for first, last in slices(texts):
-            if self.held > CACHE_BYTES:
+        for first, last in slices(texts, self.slice):
+            if self.held > self.cache_bytes:
                 self.clear()
             yield from self._slice(texts[first:last])
 
@@ -140,68 +143,66 @@ class UnitEncoder:
         del marked
         coded = lists.flatten().dictionary_encode()
         ends = lists.offsets.to_pylist()
-        values = self.values(coded.dictionary.to_pylist())
+        value = self.values(coded.dictionary.to_pylist()).__getitem__
         at = coded.indices.to_numpy().tolist()
         for k, text in enumerate(texts):
             if even[k]:
-                yield [values[i] for i in at[ends[k] : ends[k + 1]]]
+                yield list(map(value, at[ends[k] : ends[k + 1]]))
             else:
                 units = self.whole(text)
                 known = dict(zip(found := list(dict.fromkeys(units)), self.values(found)))
                 yield [known[u] for u in units]
 
 
-def _plain_words(tokenizer, keep_space: bool, known: dict):
-    """unit -> bytes of its ids, or None, for letters below U+0100 with at most one
-    comma or full stop behind: such a unit is one or two pre-tokens in either
-    vocabulary and no normalizer composes anything in it, so the library's model
-    encodes it without the steps before. ``known`` keeps words' ids."""
+#: Letters below U+0100 with at most one comma or full stop behind, and a space before.
+_PLAIN = re.compile("( ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)[,.]?").fullmatch
+
+
+def _plain_words(tokenizer, keep_space: bool):
+    """units -> bytes of their ids, None where a unit is not plain: a plain unit is one or
+    two pre-tokens in either vocabulary and no normalizer composes anything in it, so the
+    library's model encodes it without the steps before."""
     from .bpe_automaton import byte_letters
 
     table = {b: c for c, b in byte_letters().items()}
-    model = tokenizer.model
-
-    def word(text: str) -> bytes:
-        if text not in known:
-            if len(known) > CACHE_BYTES // 500:
-                known.clear()
-            letters = text.encode().decode("latin-1").translate(table)
-            known[text] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(letters)])
-        return known[text]
-
-    def encode(unit: str):
-        core = unit[1:] if unit[:1] == " " else unit
-        tail = core[-1:] if core[-1:] in (",", ".") else ""
-        core = core[: len(core) - len(tail)]
-        if not core.isalpha() or max(core) > "\xff":
-            return None
-        if not keep_space:
-            return word(core.lower()) + (word(tail) if tail else b"")
-        return word(" " + core if unit[:1] == " " else core) + (word(tail) if tail else b"")
+    apart = chr(0x2028)  # no letter of the alphabet
+    tokenize = tokenizer.model.tokenize
+    as_bytes = [k.to_bytes(4, "little") for k in range(tokenizer.get_vocab_size(True))]
+
+    def words(texts: list) -> list:
+        joined = "\x1f".join(texts) if keep_space else "\x1f".join(texts).lower()
+        letters = joined.encode().decode("latin-1").translate({**table, 0x1F: apart}).split(apart)
+        return [b"".join([as_bytes[t.id] for t in tokenize(x)]) for x in letters]
+
+    tails = dict(zip(",.", words([",", "."])))
+
+    def encode(units: list) -> list:
+        cores = [(u[:-1] if u[-1] in tails else u) if _PLAIN(u) else None for u in units]
+        known = list({c for c in cores if c is not None})
+        known = dict(zip(known, words(known)))
+        return [None if c is None else known[c] if len(c) == len(u) else known[c] + tails[u[-1]] for c, u in zip(cores, units)]
 
     return encode
 
 
-def library_units(path: str, keep_space: bool) -> UnitEncoder:
+def library_units(path: str, keep_space: bool, room: int = 6) -> UnitEncoder:
     """Values are the library's ids as little-endian unsigned 32-bit bytes."""
-    key = ("units", path, keep_space)
+    key = ("units", path, keep_space, room)
     if key not in _LOADED:
         import numpy as np
 
         tokenizer = library_tokenizer(path)
-        known: dict = {}
-        plain = _plain_words(tokenizer, keep_space, known)
+        plain = _plain_words(tokenizer, keep_space)
 
         def encode(units: list) -> list:
-            out = [plain(u) for u in units]
+            out = plain(units)
             rest = [k for k, x in enumerate(out) if x is None]
             got = tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)
             for k, x in zip(rest, got):
                 out[k] = np.array(x.ids, dtype="<u4").tobytes()
             return out
 
-        _LOADED[key] = UnitEncoder(encode, keep_space, lambda text: [text])
-        _LOADED[key].cleared = known.clear
+        _LOADED[key] = UnitEncoder(encode, keep_space, lambda text: [text], room)
     return _LOADED[key]
 
 
