@@ -59,7 +59,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with their sequence and place. Null and empty texts
     have one token; repeated rows are packed each; an empty table gives none."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    # the executors of a long job hold more already, so words are kept in a smaller cache
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), room=1)
 
 
 STAGES = [
