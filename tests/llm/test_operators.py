@@ -338,6 +338,7 @@ def test_recall_of_lines(spark, size):
 
 
 def test_seeds_do_not_depend_on_what_stands_around():
+    assert all(len(x) == 0 for texts in ([], [b""], [b"", b" \n"], [b"one two"]) for x in lines.seeds(texts))
     r = random.Random(3)
     words = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(400)]
     alone = " ".join(words).encode()

@@ -81,7 +81,7 @@ def boundaries(texts: list) -> tuple:
     cut[-1:] = True
     last = np.flatnonzero(cut) + 1
     sums, inverse = _sums(words)
-    begin = np.concatenate([[0], last[:-1]])
+    begin = np.concatenate([[0], last])[:-1].astype(np.int64)  # none without words
     lines = mix((sums[last] - sums[begin]) * inverse[begin])
     chosen = last[_least(_rolled(lines, of[begin]), of[begin], CHUNK_WINDOW)]
     return words, of, last, np.unique(np.concatenate([first, chosen]))
