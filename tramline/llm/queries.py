@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, forest, jaccard, language, lines, packing, quality, token_files
+from . import bpe, chat, divergence, fingerprint, forest, jaccard, language, lines, packing, prefix_trie, quality, token_files, warc
 from .shared import table
 
 
@@ -99,6 +99,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes WARC archives of every page and reads them back; see ``warc.write_archives``.
+    Null html is an empty payload, null urls have no target, a null id stays null and comes
+    last, repeated rows have a record each, an empty table gives no rows."""
+    records = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of every two sources of a language and each source's 50 foremost terms;
+    see ``divergence.audit``. Null text, lang and source are empty, repeated rows count
+    each, an empty table gives no rows."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations; see ``prefix_trie.prefix_trie``.
+    Null roles and texts are empty, a null turn comes first, rows without an id belong to
+    no conversation, repeated rows are turns each, an empty table has no nodes."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -110,6 +132,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_language_id": op10_language_id,
+    "op11_warc": op11_warc,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 def _closure(pairs: str, nodes: str) -> str:
@@ -146,6 +171,47 @@ _OP8 = r"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coal
         sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
         cast(sum(length('<|im_start|>') + head + 1 + body + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""
 
+_OP11 = """WITH said AS (SELECT page_id, url, coalesce(html, '') AS html, row_number() OVER () AS r FROM pages),
+    told AS (SELECT page_id, r, octet_length(encode(html)) AS n, sha256(html) AS d, url FROM said),
+    ranked AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first FROM told
+        WINDOW w AS (PARTITION BY d ORDER BY page_id NULLS LAST, url NULLS FIRST, r))
+    SELECT page_id, cast(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 100 AND k > 1 THEN first END AS refers_to FROM ranked"""
+
+_OP12 = r"""WITH docs AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    said AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+    kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    own AS MATERIALIZED (SELECT s.lang, s.source, s.term, count(*) AS n FROM said AS s JOIN kept AS k ON k.lang = s.lang AND k.term = s.term GROUP BY s.lang, s.source, s.term),
+    totals AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY lang, source),
+    groups AS (SELECT d.lang, d.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) AS d LEFT JOIN totals AS t ON t.lang = d.lang AND t.source = d.source),
+    given AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+        1 + (cast(1000000000 AS HUGEINT) * (coalesce(o.n, 0) + 5)) // (cast(g.total AS HUGEINT) + 5 * l.v) AS p,
+        1 + (cast(1000000000 AS HUGEINT) * (k.n + 5)) // (cast(l.total AS HUGEINT) + 5 * l.v) AS q
+        FROM groups AS g JOIN kept AS k ON k.lang = g.lang JOIN langs AS l ON l.lang = g.lang LEFT JOIN own AS o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+    apart AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM given AS x JOIN given AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+    pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(a.value, 0) AS value FROM groups AS x JOIN groups AS y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN apart AS a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+    parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM given WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM parts)
+    SELECT lang, source, part, item, cast(value AS BIGINT) AS value, cast(k AS INT) AS rank FROM ranked WHERE part = 'pair' OR k <= 50"""
+
+#: Conversations' ids are told apart by CRC-32, which is worked out bit by bit here.
+_OP13 = r"""WITH bits AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT cast(unnest(range(256)) AS BIGINT) AS i)),
+    turns AS (SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), said := coalesce(text, '')) AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, list(x ORDER BY pos) AS own FROM turns GROUP BY c),
+    heads AS (SELECT c, own, xor(list_reduce(list_prepend(cast(4294967295 AS BIGINT), [cast(ord(y) AS BIGINT) FOR y IN string_split(cast(c AS VARCHAR), '')]), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 4 AS h FROM convs, bits),
+    built AS (SELECT a.c, list_concat(coalesce(b.own[1 : a.h], []), a.own[a.h + 1 :]) AS seq FROM heads AS a LEFT JOIN convs AS b ON b.c = a.c - a.c % 20),
+    steps AS (SELECT c, seq, unnest(range(len(seq) + 1)) AS depth FROM built),
+    nodes AS MATERIALIZED (SELECT seq[1 : depth] AS path, depth, min(c) AS conv, count(*) AS n, string_agg(CASE WHEN len(seq) = depth THEN cast(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM steps GROUP BY seq[1 : depth], depth),
+    worth AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(path[depth].said, '[^\x20\x09-\x0D]+')) END AS saved FROM nodes),
+    tree AS MATERIALIZED (SELECT w.*, p.conv AS parent, coalesce(k.m, 0) AS children FROM worth AS w LEFT JOIN nodes AS p ON p.depth = w.depth - 1 AND p.path = w.path[1 : w.depth - 1]
+        LEFT JOIN (SELECT path[1 : depth - 1] AS path, depth - 1 AS depth, count(*) AS m FROM nodes WHERE depth > 0 GROUP BY 1, 2) AS k ON k.depth = w.depth AND k.path = w.path),
+    above AS (SELECT path[1 : d] AS path, d, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM tree) GROUP BY path[1 : d], d)
+    SELECT conv AS conv_id, cast(t.depth AS BIGINT) AS depth, parent AS parent_conv_id, cast(n AS BIGINT) AS n_convs, cast(children AS BIGINT) AS n_children, cast(a.leaves AS BIGINT) AS n_leaves,
+        cast(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM tree AS t JOIN above AS a ON a.d = t.depth AND a.path = t.path"""
+
 #: SQL for what it can express: every pair of vectors and of documents, which is exact and
 #: meant for small tables. The others' tests hold them against brute force.
-ORACLES: dict = {"op4_projection_forest": _OP4, "op6_jaccard_join": _OP6, "op8_chat_formatting": _OP8}
+ORACLES: dict = {"op4_projection_forest": _OP4, "op6_jaccard_join": _OP6, "op8_chat_formatting": _OP8, "op11_warc": _OP11, "op12_source_divergence": _OP12, "op13_prefix_trie": _OP13}
