@@ -179,7 +179,7 @@ def _corrections(postings: DataFrame) -> DataFrame:
                     if rest is not None:
                         work(rest)
                         rest = None
-                    if tile is not None:
+                    if tile is not None and table.any():
                         yield result()
                     tile, table = key, np.zeros((TILE, TILE))
                 if rest is not None:
@@ -191,7 +191,8 @@ def _corrections(postings: DataFrame) -> DataFrame:
                 rest = part.iloc[whole:]  # its list may go on in the next batch
         if tile is not None:
             work(rest)
-            yield result()
+            if table.any():
+                yield result()
 
     found = dealt.mapInPandas(add, "lang string, a int, b int, value long")
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
