@@ -15,7 +15,8 @@ from tramline.functions import scalars as S
 from tramline.operators import catalog, realtime, routing, schedule, transfers
 from tramline.sources import gtfs
 from tramline.sources import realtime as rt
-from tramline.timetable import Timetable
+from tramline.schemas import TABLES
+from tramline.timetable import Conflict, Timetable
 
 NOW = at("2026-07-24T06:00:00-04:00")
 
@@ -137,8 +138,65 @@ def test_load_is_replaced_whole(city, spark, tmp_path):  # noqa: F811
     with pytest.raises(Exception):
         broken.write(folder)
     assert Timetable.read(spark, folder).stops.count() == city.stops.count()
-    city.write(folder)
-    assert Timetable.read(spark, folder).trips.count() == 3 and not (tmp_path / "t" / first.stops.inputFiles()[0].split("/")[-3]).exists()
+    assert not any(x.name.startswith("load-") and x.name not in first.stops.inputFiles()[0] for x in (tmp_path / "t").iterdir())
+
+
+def test_versions(city, spark, tmp_path):  # noqa: F811
+    """Readers keep the load they opened; replaced ones go after the time of grace; of two
+    writers that begin from the same version one wins."""
+    folder = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        Timetable.read(spark, folder)
+    assert city.write(folder) == 0
+    early = Timetable.read(spark, folder)
+    fewer = Timetable.read(spark, folder)
+    fewer.trips, fewer.served, fewer.canonical, fewer.boards, fewer.runs = fewer.trips.where("trip_id <> 5"), None, None, None, None
+    assert fewer.write(folder) == 1
+    assert early.trips.count() == 3 and early.runs.count() == early.stop_times.count()
+    assert Timetable.read(spark, folder).trips.count() == 2 and Timetable.read(spark, folder, 0).trips.count() == 3
+
+    class Slow(Timetable):
+        """Another writer is done while this one writes."""
+
+        def _write_load(self, place):
+            if not place.endswith("done"):
+                city.write(folder)
+            return super()._write_load(place)
+
+    loads = lambda: {x.name for x in (tmp_path / "t").iterdir() if x.name.startswith("load-")}
+    slow = Slow(**{k: getattr(city, k) for k in TABLES})
+    with pytest.raises(Conflict):
+        slow.write(folder)
+    assert Timetable.read(spark, folder).trips.count() == 3 and len(loads()) == 3
+    assert city.write(folder, grace=0) == 3 and len(loads()) == 1
+    with pytest.raises(FileNotFoundError):
+        Timetable.read(spark, folder, 0)
+
+
+def test_stored_stop_times_join_in_place(city, spark, tmp_path):  # noqa: F811
+    """Rides and trips' departures exchange no stop times; a boarding reads one row a pattern."""
+    city.write(str(tmp_path / "t"))
+    stored = Timetable.read(spark, str(tmp_path / "t"))
+    boarded = spark.createDataFrame([(2, 1), (1, 0)], "trip_id long, board_seq int").hint("merge")
+    plan = routing.rides(stored, boarded)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SortMergeJoin") :]
+    scan = below[: below.index("tramline_runs")]
+    assert scan.count("Exchange hashpartitioning") == 1, plan  # the boarded side's
+    assert sorted(map(tuple, routing.rides(stored, boarded).select("trip_id", "to_stop", "arr").collect())) == sorted(map(tuple, routing.rides(city, boarded).select("trip_id", "to_stop", "arr").collect()))
+    packed = stored.boards.groupBy("stop_id").count().collect()
+    patterns = city.stop_times.join(city.trips, "trip_id").select("stop_id", "route_id", "direction_id", "trip_headsign").distinct().groupBy("stop_id").count().collect()
+    assert sorted(map(tuple, packed)) == sorted(map(tuple, patterns))
+
+
+def test_first_departure_by_halving(spark):
+    """The same as a search through all departures, at every time."""
+    times = [5, 5, 9, 12, 30]
+    rows = [([(d, k, 0) for k, d in enumerate(times[:n])], at) for n in range(1, 6) for at in range(0, 35)]
+    df = spark.createDataFrame(rows, "d array<struct<dep: int, trip_id: long, seq: int>>, at int")
+    df = df.withColumn("m", F.create_map(F.lit(1), F.col("d"))).withColumn("s", F.array(F.lit(1), F.lit(2)))
+    for x in df.select("d", "at", schedule.departures_before(F.col("d"), F.col("at")).alias("n"), schedule.first_departure(F.col("m"), F.col("s"), F.col("at")).alias("b")).collect():
+        assert x["n"] == sum(y["dep"] < x["at"] for y in x["d"])
+        assert x["b"] == next((y for y in x["d"] if y["dep"] >= x["at"]), None)
 
 
 def test_itinerary_validators(network):  # noqa: F811

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -35,6 +35,39 @@ def departures(t, stop_ids: DataFrame | None = None, route_id: int | None = None
     return rows.join(trips, "trip_id").join(t.routes.select("route_id", "route_short_name"), "route_id")
 
 
+def packed_departures(t) -> DataFrame:
+    """One row for each stop and pattern (route, direction, headsign): a map from service to
+    its departures in order of time, trip and sequence. Read where it is stored."""
+    if t.boards is not None:
+        return t.boards
+    rows = t.stop_times.where("dep is not null").select("trip_id", "stop_id", F.col("stop_sequence").alias("seq"), "dep")
+    trips = t.trips.select("trip_id", "route_id", "service_id", "trip_headsign", "direction_id")
+    rows = rows.join(trips, "trip_id").join(t.routes.select("route_id", "route_type"), "route_id", "left")
+    pattern = ["stop_id", "route_id", "direction_id", "trip_headsign", "route_type"]
+    # an array is one service day of one pattern at one stop
+    daily = rows.where("service_id is not null").groupBy(*pattern, "service_id").agg(F.sort_array(F.collect_list(F.struct("dep", "trip_id", "seq"))).alias("departures"))
+    return daily.groupBy(*pattern).agg(F.map_from_entries(F.collect_list(F.struct("service_id", "departures"))).alias("departures"))
+
+
+def first_departure(departures: Column, services: Column, time: Column) -> Column:
+    """The first packed departure (dep, trip_id, seq) of the services at or after ``time``."""
+    return F.array_min(F.transform(services, lambda x: F.get(departures[x], departures_before(departures[x], time))))
+
+
+def departures_before(departures: Column, time: Column) -> Column:
+    """How many of the packed departures leave before ``time``, by binary search."""
+    at = departures["dep"]
+    whole = F.struct(F.lit(0).alias("lo"), F.size(departures).alias("hi"))
+
+    def halve(span, _):
+        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        early, open_ = F.get(at, mid) < time, span["lo"] < span["hi"]
+        return F.struct(F.when(open_ & early, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(open_ & ~early, mid).otherwise(span["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(departures) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, whole, halve, lambda span: span["lo"])
+
+
 def boarding_stops(t, requests: DataFrame) -> DataFrame:
     """(request_id, stop_id, platform): a station's platforms, else the stop itself."""
     asked = requests.select("request_id", F.col("stop_id").alias("asked"))

@@ -1,15 +1,31 @@
-"""The static side: a bundle of DataFrames, and where it is stored."""
+"""The static side: a bundle of DataFrames, and where it is stored.
+
+A folder holds loads, each a set of tables that nothing changes any more, and numbered
+versions, each a small file that names a load. A version is put in place by a rename that
+fails if the number is taken, so readers find either all of a load or none of it, and of
+two writers one wins. A reader's DataFrames are bound to its load's files; a load goes
+only when it was replaced longer ago than a time of grace.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import DERIVED, KEYS, TABLES
 
+#: Seconds that a replaced load stays for those who read it.
+GRACE = 24 * 3600
+
+
+class Conflict(RuntimeError):
+    """Another writer put its load in place meanwhile."""
+
 
 @dataclass
 class Timetable:
@@ -23,10 +39,14 @@ class Timetable:
     rt_stop_crosswalk: DataFrame
     levels: DataFrame | None = None
     pathways: DataFrame | None = None
-    #: (stop_id, route_id, route_type) a stop is served by, platforms' for their station;
-    #: and the longest trip of every direction. Stored by ``write``, else worked out.
+    #: What ``write`` stores besides, so that reading it back goes through stop times no
+    #: more: the routes a stop is served by, platforms' for their station; the longest
+    #: trip of every direction; each stop's departures, packed; and stop times again,
+    #: bucketed by trip. None: worked out where it is needed.
     served: DataFrame | None = None
     canonical: DataFrame | None = None
+    boards: DataFrame | None = None
+    runs: DataFrame | None = None
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **rows) -> Timetable:
@@ -34,42 +54,127 @@ class Timetable:
         return cls(**{name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in TABLES.items()})
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> Timetable:
-        """The load that ``folder`` names as the current one."""
-        load = spark.read.schema("load string").parquet(f"{folder}/current").first()["load"]
-        return cls(**{name: spark.read.schema(schema).parquet(f"{folder}/{load}/{name}") for name, schema in (TABLES | DERIVED).items()})
-
-    def write(self, folder: str) -> None:
-        """Full rebuild into a new load beside the one in use, which is named as the current
-        one when all its tables are there, so a load that fails changes nothing; the
-        load before it is deleted then. Stop times are clustered by stop and departure,
-        and served routes by stop, so that row groups' bounds prune a stop's rows."""
-        from .operators import catalog
+    def read(cls, spark: SparkSession, folder: str, version: int | None = None) -> Timetable:
+        """The load of a version, of the newest if none is given."""
+        files = _Files(spark, folder)
+        numbers = files.versions()
+        if not numbers or version is not None and version not in numbers:
+            raise FileNotFoundError(f"{folder} has no {'version' if version is None else f'version {version}'}")
+        entry = files.entry(numbers[-1] if version is None else version)
+        place = f"{folder}/{entry['load']}"
+        tables = {name: spark.read.schema(schema).parquet(f"{place}/{name}") for name, schema in (TABLES | DERIVED).items()}
+        return cls(**tables, runs=_bucketed(spark, place, entry["buckets"]))
 
+    def write(self, folder: str, grace: float = GRACE) -> int:
+        """Write a new load and return the number of the version that names it. A load that
+        fails, or that another writer forestalled (``Conflict``), is removed and changes
+        nothing. Stop times are clustered by stop and departure, packed departures and
+        served routes by stop, so that row groups' bounds prune a stop's rows."""
         spark = self.stops.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        place = hadoop.Path(folder)
-        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        before = [x.getPath() for x in files.listStatus(place) if x.getPath().getName().startswith("load-")] if files.exists(place) else []
-        load = f"load-{uuid.uuid4().hex}"
-        for f in fields(self):
-            df = getattr(self, f.name)
-            if df is None:
-                continue
-            if f.name == "stop_times":
+        files = _Files(spark, folder)
+        number, load = max(files.versions(), default=-1) + 1, f"load-{uuid.uuid4().hex}"
+        try:
+            buckets = self._write_load(f"{folder}/{load}")
+            if not files.put(number, {"load": load, "buckets": buckets}):
+                raise Conflict(f"version {number} of {folder} is there already")
+        except BaseException:
+            files.delete(load)
+            raise
+        files.clean(number, grace)
+        return number
+
+    def _write_load(self, place: str) -> int:
+        from .operators import catalog, schedule
+
+        spark = self.stops.sparkSession
+        for name, schema in TABLES.items():
+            df = getattr(self, name)
+            df = spark.createDataFrame([], schema) if df is None else df
+            if name == "stop_times":
                 df = df.repartitionByRange("stop_id", "dep").sortWithinPartitions("stop_id", "dep")
-            df.write.parquet(f"{folder}/{load}/{f.name}")
-        stored = Timetable(**{name: spark.read.schema(schema).parquet(f"{folder}/{load}/{name}") for name, schema in TABLES.items() if getattr(self, name) is not None})
-        if self.served is None:
-            catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{folder}/{load}/served")
-        if self.canonical is None:
-            catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{folder}/{load}/canonical")
-        for name in TABLES:
-            if getattr(self, name) is None:
-                spark.createDataFrame([], TABLES[name]).write.parquet(f"{folder}/{load}/{name}")
-        spark.createDataFrame([(load,)], "load string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
-        for path in before:
-            files.delete(path, True)
+            df.write.parquet(f"{place}/{name}")
+        stored = Timetable(**{name: spark.read.schema(schema).parquet(f"{place}/{name}") for name, schema in TABLES.items()})
+        catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{place}/served")
+        catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{place}/canonical")
+        boards = schedule.packed_departures(stored).select("stop_id", "route_id", "direction_id", "trip_headsign", "route_type", "departures")
+        boards.repartitionByRange("stop_id").sortWithinPartitions("stop_id", "route_id").write.parquet(f"{place}/boards")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = _table_name(place)
+        writer = stored.stop_times.repartition(buckets, "trip_id").write.bucketBy(buckets, "trip_id").sortBy("trip_id", "stop_sequence")
+        writer.format("parquet").option("path", f"{place}/runs").saveAsTable(table)
+        return buckets
+
+
+def _table_name(place: str) -> str:
+    return f"tramline_runs_{place.rsplit('-', 1)[1]}"
+
+
+def _bucketed(spark: SparkSession, place: str, buckets: int) -> DataFrame:
+    """Stop times by trip. The session's catalog knows of the buckets, whose rows join
+    and group by trip without an exchange; the files are the load's own."""
+    name = _table_name(place)
+    if not spark.catalog.tableExists(name):
+        try:
+            spark.sql(f"CREATE TABLE {name} ({TABLES['stop_times']}) USING parquet CLUSTERED BY (trip_id) SORTED BY (trip_id, stop_sequence) INTO {int(buckets)} BUCKETS LOCATION '{place}/runs'")
+        except AnalysisException as e:  # another thread of this session was first
+            if "ALREADY_EXISTS" not in str(e):
+                raise
+    return spark.table(name)
+
+
+class _Files:
+    """A folder's versions, through the file system that Spark has for it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.hadoop, self.folder = spark, spark._jvm.org.apache.hadoop.fs, folder
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.system = self.hadoop.Path(folder).getFileSystem(self.conf)
+
+    def _path(self, *parts: str):
+        return self.hadoop.Path("/".join((self.folder, *parts)))
+
+    def _listed(self, path) -> list:
+        return list(self.system.listStatus(path)) if self.system.exists(path) else []
+
+    def versions(self) -> list:
+        names = [x.getPath().getName() for x in self._listed(self._path("versions"))]
+        return sorted(int(x) for x in names if x.isdigit())
+
+    def entry(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(str(self._path("versions", f"{number:08d}")), wholetext=True).first()[0])
+
+    def put(self, number: int, entry: dict) -> bool:
+        """Whether the version's file is now ours."""
+        draft, place = self._path("versions", f"draft-{uuid.uuid4().hex}"), self._path("versions", f"{number:08d}")
+        out = self.system.create(draft, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        options = self.spark._jvm.java.lang.reflect.Array.newInstance(self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        context = self.hadoop.FileContext.getFileContext(self.system.getUri(), self.conf)
+        try:
+            context.rename(self.system.makeQualified(draft), self.system.makeQualified(place), options)
+        except Exception as e:
+            self.system.delete(draft, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def delete(self, load: str) -> None:
+        self.system.delete(self._path(load), True)
+        self.spark.sql(f"DROP TABLE IF EXISTS {_table_name(load)}")
+
+    def clean(self, newest: int, grace: float) -> None:
+        """Removes versions replaced more than ``grace`` seconds ago, and their loads. When
+        a version was replaced is the time of the next one's file."""
+        numbers = [n for n in self.versions() if n <= newest]
+        times = {n: self.system.getFileStatus(self._path("versions", f"{n:08d}")).getModificationTime() / 1000 for n in numbers}
+        now = max(times.values(), default=0)
+        for number, following in zip(numbers, numbers[1:]):
+            if now - times[following] >= grace:
+                entry = self.entry(number)
+                self.system.delete(self._path("versions", f"{number:08d}"), False)
+                self.delete(entry["load"])
 
 
 def check_keys(name: str, df: DataFrame) -> None:
@@ -80,3 +185,4 @@ def check_keys(name: str, df: DataFrame) -> None:
         raise ValueError(f"{name}: null in {', '.join(columns)}")
     if unique and not df.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError(f"{name}: {', '.join(columns)} is not unique")
+
