@@ -146,17 +146,25 @@ def route_stops(t, cap: int = STOPS_PER_DIRECTION) -> DataFrame:
     )
 
 
-def terminus(t, short_name: str, last: bool = False) -> DataFrame:
-    """The station at a route's western or eastern end, by its platforms' longitude."""
-    rows = (
-        t.routes.where(F.col("route_short_name") == short_name).select("route_id").join(t.trips.select("trip_id", "route_id"), "route_id")
-        .join(t.stop_times.select("trip_id", "stop_id"), "trip_id").select("stop_id").distinct().join(t.stops, "stop_id")
-        .where("parent_station is not null")
-        .join(t.stops.select(F.col("stop_id").alias("station"), F.col("stop_name").alias("station_name")), F.col("parent_station") == F.col("station"))
-        .groupBy("station", "station_name").agg(F.min("stop_lon").alias("west"), F.max("stop_lon").alias("east"))
-    )
-    order = [F.desc("east"), "station"] if last else ["west", "station"]
-    return rows.orderBy(*order).limit(1).select(F.col("station").alias("id"), F.col("station_name").alias("name"))
+def terminus(t, short_name: str, by: str = "stop_lon", last: bool = False) -> DataFrame:
+    """The station at an end of a route: the one whose platform has the least (``last``: the
+    largest) ``stop_lon`` or ``stop_lat``. Platforms without a place are passed over."""
+    calls = t.routes.where(F.col("route_short_name") == short_name).select("route_id").join(t.trips.select("trip_id", "route_id"), "route_id").join(t.stop_times.select("trip_id", "stop_id"), "trip_id")
+    platforms = t.stops.where("parent_station is not null and stop_lat is not null and stop_lon is not null").join(calls.select("stop_id"), "stop_id", "left_semi")
+    stations = t.stops.select(F.col("stop_id").alias("parent_station"), F.col("stop_name").alias("name"))
+    ends = platforms.join(stations, "parent_station").groupBy(F.col("parent_station").alias("id"), "name").agg((F.max(by) if last else F.min(by)).alias("metric"))
+    return ends.orderBy(F.desc("metric") if last else "metric", "id").limit(1).select("id", "name")
+
+
+def first_weekday(t) -> DataFrame:
+    """(start_date, date, noon): the calendar's first day, the first Monday to Friday from
+    there on, and that day's noon in UTC, a time at which trips run. An empty calendar
+    gives no row."""
+    first = t.calendar.agg(F.min("start_date").alias("start_date")).where("start_date is not null")
+    begin = F.to_date(F.col("start_date").cast("string"), "yyyyMMdd")
+    days = F.when(S.weekday(begin) == 6, 2).when(S.weekday(begin) == 0, 1).otherwise(0)
+    dated = first.select("start_date", F.date_add(begin, days).alias("date"))
+    return dated.select("start_date", "date", (F.unix_date("date").cast("long") * 86400 + 43200).alias("noon"))
 
 
 def trips_existing(t, trip_ids: DataFrame) -> DataFrame:

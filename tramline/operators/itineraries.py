@@ -42,30 +42,44 @@ def _not_bettered(rows: DataFrame, keys: list, *ties: str) -> DataFrame:
     return rows.withColumn("_earlier", earlier).where("_earlier is null or at < _earlier").drop("_earlier")
 
 
-def _first_rides(t, boards: DataFrame, access: DataFrame, spans: DataFrame, days: DataFrame) -> DataFrame:
+def _day_boards(t, dates: DataFrame, modes: list | None) -> DataFrame:
+    """(stop_id, route_id, headsign, midnight, runs, last_dep): of each pattern at a stop, the
+    departures of all services that run on a date (midnight, services), in order; stored."""
+    none = F.array().cast("array<struct<dep: int, trip_id: long, seq: int>>")
+    runs = F.flatten(F.transform("services", lambda x: F.coalesce(F.col("departures")[x], none)))
+    rows = routing._boards(t, modes).crossJoin(F.broadcast(dates))  # a row a date
+    rows = rows.select("stop_id", "route_id", F.coalesce("trip_headsign", F.lit("")).alias("headsign"), "midnight", F.array_sort(runs).alias("runs")).where(F.size("runs") > 0)
+    return materialize(rows.withColumn("last_dep", F.element_at("runs", -1)["dep"]), "day-boards")
+
+
+def _first_rides(boards: DataFrame, access: DataFrame, spans: DataFrame, days: DataFrame) -> DataFrame:
     """Every departure at an access stop that one who starts within the span can take."""
     asked = access.join(spans.select("solve", "first", "last"), "solve").join(days, "solve")
-    rows = boards.join(asked, "stop_id").select("*", F.explode("services").alias("service")).withColumn("run", F.col("departures")[F.col("service")]).where("run is not null")
-    since, past = (schedule.departures_before(F.col("run"), F.col(x) + F.col("walk") - F.col("midnight")) for x in ("first", "past"))
-    rows = rows.withColumn("past", F.col("last") + 1).withColumn("lo", since).withColumn("hi", past).where("hi > lo")
-    rows = rows.select("*", F.explode(F.slice("run", F.col("lo") + 1, F.col("hi") - F.col("lo"))).alias("b"))
+    rows = boards.join(asked, ["stop_id", "midnight"]).withColumn("past", F.col("last") + 1)
+    lo, hi = (schedule.departures_before(F.col("runs"), F.col(x) + F.col("walk") - F.col("midnight")) for x in ("first", "past"))
+    rows = rows.select("*", F.explode(F.slice("runs", lo + 1, F.greatest(hi - lo, F.lit(0)))).alias("b"))
     return _boarded(rows, F.col("midnight") + F.col("b.dep") - F.col("walk"))
 
 
-def _next_rides(t, boards: DataFrame, labels: DataFrame, days: DataFrame) -> DataFrame:
-    """From every label the first departure of each pattern, each service day apart; of
-    those who board the same trip at a stop the one who started last."""
-    asked = labels.select("solve", "stop_id", "start", "at").join(days, "solve").where(F.col("midnight") <= F.col("start") + HORIZON)
-    rows = boards.join(asked, "stop_id").withColumn("b", schedule.first_departure(F.col("departures"), F.col("services"), F.col("at") - F.col("midnight"))).where("b is not null")
-    boarded = _boarded(rows, F.col("start")).where(F.col("board_at") <= F.col("start") + HORIZON)
-    same = ["solve", "midnight", "board_stop", "trip_id", "board_seq", "board_at", "route_id", "headsign"]
-    return boarded.groupBy(*same).agg(F.max("start").alias("start"))
+def _next_rides(boards: DataFrame, labels: DataFrame, days: DataFrame) -> DataFrame:
+    """From every label the first departure of each pattern, each service day apart. Of
+    those who board the same trip at a stop the one who started last counts, so a label
+    boards only what leaves before the next later start's label is there."""
+    order = Window.partitionBy("solve", "stop_id").orderBy(F.desc("start"))
+    asked = labels.select("solve", "stop_id", "start", "at", F.lag("at").over(order).alias("before"))
+    # each label meets all patterns of its stop: few labels are dealt to as many tasks as many
+    tasks = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(tasks, "solve", "stop_id", "start").join(days, "solve").where(F.col("midnight") <= F.col("start") + HORIZON)
+    rows = boards.join(asked, ["stop_id", "midnight"]).where(F.col("at") - F.col("midnight") <= F.col("last_dep"))
+    first = schedule.departures_before(F.col("runs"), F.col("at") - F.col("midnight"))
+    rows = rows.select("*", F.explode(F.slice("runs", first + 1, F.lit(1))).alias("b")).where(F.col("before").isNull() | (F.col("midnight") + F.col("b.dep") < F.col("before")))
+    return _boarded(rows, F.col("start")).where(F.col("board_at") <= F.col("start") + HORIZON)
 
 
 def _boarded(rows: DataFrame, start) -> DataFrame:
     return rows.select(
         "solve", "midnight", start.alias("start"), F.col("stop_id").alias("board_stop"), F.col("b.trip_id").alias("trip_id"), F.col("b.seq").alias("board_seq"),
-        (F.col("midnight") + F.col("b.dep")).alias("board_at"), "route_id", F.coalesce("trip_headsign", F.lit("")).alias("headsign"),
+        (F.col("midnight") + F.col("b.dep")).alias("board_at"), "route_id", "headsign",
     )
 
 
@@ -77,20 +91,20 @@ def range_labels(t, access: DataFrame, spans: DataFrame, max_transfers: int = MA
     spans = materialize(spans, "spans")
     last = F.col("last") + HORIZON
     days = routing.service_days(t, spans.select("solve", "first", F.coalesce(F.least(last, "until"), last).alias("last")))
-    # a row a solve and day; the services of a day are few
-    days = materialize(days.groupBy("solve", "midnight").agg(F.collect_set("service_id").alias("services")), "days")
-    boards = routing._boards(t, modes)
+    days = materialize(days, "days")
+    boards = _day_boards(t, days.groupBy("midnight").agg(F.collect_set("service_id").alias("services")), modes)
+    days = days.select("solve", "midnight").distinct()
     walked = access.groupBy("solve", "stop_id").agg(F.min("walk").alias("walk"))
     rounds: list = []
     for n in range(1, max_transfers + 2):
-        boarded = _next_rides(t, boards, rounds[-1], days) if rounds else _first_rides(t, boards, walked, spans, days)
+        boarded = _next_rides(boards, rounds[-1], days) if rounds else _first_rides(boards, walked, spans, days)
         rode = routing.rides(t, boarded).select(
             "solve", F.col("to_stop").alias("stop_id"), "start", (F.col("midnight") + F.col("arr")).alias("at"), F.lit(None).cast("int").alias("walk"),
             "trip_id", "board_stop", "board_seq", "seq", "board_at", F.col("to_stop").alias("ride_stop"), (F.col("midnight") + F.col("arr")).alias("ride_at"), "route_id", "headsign",
         )
         known = [x.select("solve", "stop_id", "start", "at") for x in rounds]
         reached = _profile(rounds, targets) if targets is not None and rounds else None
-        by_ride = _improved(rode, known, walked, spans, reached)
+        by_ride = materialize(_improved(rode, known, walked, spans, reached), "range-rides")
         on_foot = routing.walks(t, by_ride.drop("walk")).select(
             "solve", F.col("to_stop_id").alias("stop_id"), "start", (F.col("at") + F.col("min_walk_seconds")).alias("at"), F.col("min_walk_seconds").alias("walk"), *RIDE[1:]
         )

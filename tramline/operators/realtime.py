@@ -145,3 +145,8 @@ def fares(spark, category: str | None = None, fare_type: str | None = None) -> D
         if value is not None:
             out = out.where(F.col(column) == value)
     return out
+
+
+def fares_of(spark, asked: DataFrame) -> DataFrame:
+    """``asked`` (category, and other columns) with the fares of each row's category."""
+    return asked.join(F.broadcast(fares(spark)), "category")  # the table's nine rows

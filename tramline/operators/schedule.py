@@ -56,12 +56,11 @@ def first_departure(departures: Column, services: Column, time: Column) -> Colum
 
 def departures_before(departures: Column, time: Column) -> Column:
     """How many of the packed departures leave before ``time``, by binary search."""
-    at = departures["dep"]
     whole = F.struct(F.lit(0).alias("lo"), F.size(departures).alias("hi"))
 
     def halve(span, _):
         mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        early, open_ = F.get(at, mid) < time, span["lo"] < span["hi"]
+        early, open_ = F.get(departures, mid)["dep"] < time, span["lo"] < span["hi"]
         return F.struct(F.when(open_ & early, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(open_ & ~early, mid).otherwise(span["hi"]).alias("hi"))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(departures) + F.lit(1.0))).cast("int"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import catalog, realtime, routing, schedule, transfers
+from ..operators import catalog, itineraries, realtime, routing, schedule, transfers
+from ..schemas import FARES
 from ..sources.testviews import timetable, with_views
 from ..timetable import Timetable
 
@@ -76,11 +77,19 @@ def _days_sql() -> str:
 ORACLES["q6_next_departures"] = ORACLES["q6_next_departures"].replace(") WITH_DAYS SELECT", f"), {_days_sql()} SELECT")
 
 
-@query("SELECT cast(date AS varchar(10)) AS date, service_id FROM (SELECT d.date, c.k AS service_id FROM (VALUES ('2026-07-24', 5), ('2026-07-25', 6), ('2026-07-26', 0)) AS d(date, wd) "
-       "JOIN (VALUES (cast(0 AS bigint)), (1), (2), (3), (4), (5), (6)) AS c(k) ON (c.k = d.wd AND NOT (d.date = '2026-07-24' AND c.k = 5)) OR (d.date = '2026-07-24' AND c.k = 1)) AS x")
+@query("""WITH_DATES SELECT cast(date AS varchar(10)) AS date, service_id FROM (SELECT d.date, c.service_id FROM d JOIN v_calendar c ON d.day >= c.start_date AND d.day <= c.end_date
+    AND (CASE d.wd WHEN 0 THEN c.sunday WHEN 1 THEN c.monday WHEN 2 THEN c.tuesday WHEN 3 THEN c.wednesday WHEN 4 THEN c.thursday WHEN 5 THEN c.friday ELSE c.saturday END) = 1
+    UNION SELECT d.date, x.service_id FROM d JOIN v_calendar_dates x ON x.date = d.day WHERE x.exception_type = 1) AS runs
+    WHERE NOT EXISTS (SELECT 1 FROM d JOIN v_calendar_dates x ON x.date = d.day WHERE x.exception_type <> 1 AND d.date = runs.date AND x.service_id = runs.service_id)""")
 def q15_active_services(t: Timetable, spark, sf_dir):
-    days = spark.sql("SELECT explode(sequence(date'2026-07-24', date'2026-07-26')) AS date")
-    return schedule.active_services(t, days).select(F.col("date").cast("string").alias("date"), "service_id")
+    """On every day of the year on which there is an order, and around the exceptions."""
+    day = F.make_date(F.lit(2026), F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(28)))
+    return schedule.active_services(t, _read(spark, sf_dir, "orders").select(day.alias("date")).distinct()).select(F.col("date").cast("string").alias("date"), "service_id")
+
+
+_DATES = """d AS (SELECT date, cast(year(date) * 10000 + month(date) * 100 + day(date) AS int) AS day, dayofweek(date) AS wd
+    FROM (SELECT DISTINCT make_date(2026, month(o_orderdate), least(day(o_orderdate), 28)) AS date FROM orders) AS x)"""
+ORACLES["q15_active_services"] = ORACLES["q15_active_services"].replace(") WITH_DATES SELECT", f"), {_DATES} SELECT")
 
 
 @query(f"""SELECT * FROM (SELECT t.service_id, st.stop_id, st.trip_id, st.dep, cast(row_number() OVER (PARTITION BY st.stop_id, t.service_id ORDER BY st.dep, st.trip_id, st.stop_sequence) AS int) AS k
@@ -154,11 +163,10 @@ def q5_route_stops(t: Timetable, spark, sf_dir):
 
 
 @query("""SELECT s.stop_id FROM v_stops s WHERE EXISTS (SELECT 1 FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id JOIN v_routes r ON t.route_id = r.route_id
-    WHERE st.stop_id = s.stop_id AND r.route_type = 1 AND t.service_id = 0 AND st.stop_sequence = 7) OR EXISTS (SELECT 1 FROM v_stop_times st JOIN v_stops c ON c.stop_id = st.stop_id
-    JOIN v_trips t ON st.trip_id = t.trip_id JOIN v_routes r ON t.route_id = r.route_id WHERE c.parent_station = s.stop_id AND r.route_type = 1 AND t.service_id = 0 AND st.stop_sequence = 7)""")
+    WHERE st.stop_id = s.stop_id AND r.route_type = 1) OR EXISTS (SELECT 1 FROM v_stop_times st JOIN v_stops c ON c.stop_id = st.stop_id
+    JOIN v_trips t ON st.trip_id = t.trip_id JOIN v_routes r ON t.route_id = r.route_id WHERE c.parent_station = s.stop_id AND r.route_type = 1)""")
 def j8_stops_served_by_mode(t: Timetable, spark, sf_dir):
-    part = Timetable(t.stops, t.routes.where("route_type = 1"), t.calendar, t.calendar_dates, t.trips.where("service_id = 0"), t.stop_times.where("stop_sequence = 7"), t.transfers, t.rt_stop_crosswalk)
-    return t.stops.join(catalog.served_routes(part), "stop_id", "left_semi").select("stop_id")
+    return t.stops.join(catalog.served_routes(t).where(F.col("route_type") == S.type_of_mode(F.lit("subway"))), "stop_id", "left_semi").select("stop_id")
 
 
 @query("""SELECT st.stop_id, t.route_id, r.route_type FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id JOIN v_routes r ON t.route_id = r.route_id GROUP BY st.stop_id, t.route_id, r.route_type""")
@@ -172,12 +180,27 @@ def q16_static_trips(t: Timetable, spark, sf_dir):
     return catalog.trip_with_route(t, ids).select("trip_id", "route_id", F.col("trip_headsign").alias("headsign"), "route_long_name")
 
 
-@query("""SELECT p.parent_station AS id, q.stop_name AS name FROM v_routes r JOIN v_trips t ON r.route_id = t.route_id JOIN v_stop_times st ON st.trip_id = t.trip_id JOIN v_stops p ON p.stop_id = st.stop_id
-    JOIN v_stops q ON q.stop_id = p.parent_station WHERE r.route_short_name = '7' GROUP BY p.parent_station, q.stop_name ORDER BY min(p.stop_lon), p.parent_station LIMIT 1""")
+_END = """SELECT p.parent_station AS id, q.stop_name AS name FROM v_routes r JOIN v_trips t ON r.route_id = t.route_id JOIN v_stop_times st ON st.trip_id = t.trip_id JOIN v_stops p ON p.stop_id = st.stop_id
+    JOIN v_stops q ON q.stop_id = p.parent_station WHERE r.route_short_name = '7' AND p.stop_lat IS NOT NULL AND p.stop_lon IS NOT NULL GROUP BY p.parent_station, q.stop_name ORDER BY METRIC, p.parent_station LIMIT 1"""
+
+
+@query(_END.replace("METRIC", "min(p.stop_lon)"))
 def q18_terminus(t: Timetable, spark, sf_dir):
+    """The western end."""
     return catalog.terminus(t, "7")
 
 
+@query(_END.replace("METRIC", "max(p.stop_lat) DESC"))
+def q18_terminus_north(t: Timetable, spark, sf_dir):
+    return catalog.terminus(t, "7", "stop_lat", last=True)
+
+
+@query("""SELECT start_date, cast(day AS date) AS date, cast(epoch(day) AS bigint) + 43200 AS noon FROM (SELECT start_date, first + to_days(CASE dayofweek(first) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END) AS day
+    FROM (SELECT min(start_date) AS start_date, strptime(cast(min(start_date) AS varchar), '%Y%m%d') AS first FROM v_calendar) AS a) AS b""")
+def a5_first_weekday(t: Timetable, spark, sf_dir):
+    return catalog.first_weekday(t)
+
+
 @query("SELECT from_stop_id, to_stop_id, min_walk_seconds, type FROM v_station")
 def b3_station_transfers(t: Timetable, spark, sf_dir):
     return transfers.station_transfers(t.stops)
@@ -219,12 +242,12 @@ def b2_crosswalk(t: Timetable, spark, sf_dir):
 
 _BOARD = """SELECT * FROM (SELECT st.stop_id, t.route_id, t.direction_id, t.trip_headsign AS headsign, st.dep, st.trip_id, st.stop_sequence AS board_seq,
     row_number() OVER (PARTITION BY st.stop_id, t.route_id, t.direction_id, t.trip_headsign ORDER BY st.dep, st.trip_id, st.stop_sequence) AS n
-    FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id WHERE t.service_id = 1 AND st.dep >= 20000 + st.stop_id * 100) AS b WHERE n = 1"""
+    FROM v_stop_times st JOIN v_trips t ON st.trip_id = t.trip_id WHERE t.service_id = 1 AND st.dep >= 20000 + (st.stop_id * 100) % 40000) AS b WHERE n = 1"""
 
 
 def _boarded(t, spark, modes: list | None = None):
     """Every stop, each from a time of its own on."""
-    marked = t.stops.select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + F.col("stop_id") * 100).alias("min_dep"))
+    marked = t.stops.select(F.lit(0).cast("long").alias("solve"), F.lit("d").alias("date"), "stop_id", (20000 + (F.col("stop_id") * 100) % 40000).alias("min_dep"))
     return routing.boardings(t, marked, spark.createDataFrame([("d", 1)], "date string, service_id long"), modes)
 
 
@@ -283,17 +306,107 @@ def q11_ladder(t: Timetable, spark, sf_dir):
 ORACLES["q11_ladder"] = ORACLES["q11_ladder"].split(" WITH_ROUNDS")[0].rstrip() + ", " + _ladder_sql()
 
 
-@query()
+#: The first and the last stop of every region: the origins of the trip plans.
+_ORIGINS = """v_origins AS (SELECT DISTINCT stop AS origin FROM (SELECT n.n_regionkey, min(s.s_suppkey) AS lo, max(s.s_suppkey) AS hi FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey GROUP BY n.n_regionkey) AS x,
+    LATERAL (VALUES (x.lo), (x.hi)) AS y(stop))"""
+
+
+def _plan_sql(late: bool, wanted: int, transfers: int = 2, when: int = WHEN, horizon: int = 6 * 3600) -> str:
+    """The same itineraries in plain SQL: rounds of rides and walks whose labels none
+    betters, with the legs so far as text, over a span as long as any request can need;
+    then one pick after another by recursion."""
+    first, last, until = (when - horizon - 1200, when, when) if late else (when, when + 2 * horizon, 1 << 40)
+    days = [x for x in _days_sql().split("VALUES ")[1].split(") AS t(")[0].replace("), (", ")|(").split("|")][:4]
+    parts = [_ORIGINS, f"days AS (SELECT * FROM (VALUES {', '.join(days)}) AS t(service_id, midnight))",
+             "calls AS MATERIALIZED (SELECT st.stop_id, st.trip_id, st.stop_sequence AS seq, st.dep, t.route_id, t.direction_id, t.trip_headsign, t.service_id FROM v_stop_times st JOIN v_trips t ON t.trip_id = st.trip_id)",
+             "ways AS MATERIALIZED (SELECT * FROM v_transfers WHERE type <> 'pathway')", "downs AS MATERIALIZED (SELECT * FROM v_stop_times)"]
+    known = []
+
+    def kept(rows: str, name: str, new: str = "true", ties: str = "1") -> str:
+        return f"""{name} AS MATERIALIZED (SELECT * EXCLUDE (earlier) FROM (SELECT *, min(till) OVER (PARTITION BY solve, stop_id ORDER BY start DESC, till, {ties} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+            FROM {rows}) AS x WHERE (earlier IS NULL OR till < earlier) AND {new})"""
+
+    def old(*names: str) -> str:
+        return "".join(f" UNION ALL BY NAME SELECT solve, stop_id, start, till, 0 AS new FROM {x}" for x in names)
+
+    for n in range(1, transfers + 2):
+        if n == 1:
+            parts.append(f"""board1 AS MATERIALIZED (SELECT o.origin AS solve, c.stop_id AS board_stop, d.midnight + c.dep AS start, c.trip_id, c.seq AS board_seq, d.midnight, d.midnight + c.dep AS board_at, c.route_id, '' AS path,
+                '' AS kind, d.midnight + c.dep AS first_board FROM v_origins AS o JOIN calls AS c ON c.stop_id = o.origin JOIN days AS d ON d.service_id = c.service_id WHERE d.midnight + c.dep BETWEEN {first} AND {last})""")
+        else:
+            parts += [
+                f"""take{n} AS MATERIALIZED (SELECT solve, midnight, stop_id AS board_stop, trip_id, seq AS board_seq, dep, route_id, max(start) AS start FROM (SELECT l.solve, l.stop_id, l.start, d.midnight, c.trip_id, c.seq, c.dep, c.route_id,
+                row_number() OVER (PARTITION BY l.solve, l.stop_id, l.start, d.midnight, c.route_id, c.direction_id, c.trip_headsign ORDER BY c.dep, c.trip_id, c.seq) AS k
+                FROM label{n - 1} AS l JOIN calls AS c ON c.stop_id = l.stop_id JOIN days AS d ON d.service_id = c.service_id WHERE d.midnight + c.dep >= l.till AND d.midnight + c.dep <= l.start + {horizon}) AS x WHERE k = 1
+                GROUP BY solve, midnight, stop_id, trip_id, seq, dep, route_id)""",
+                f"""board{n} AS MATERIALIZED (SELECT b.solve, b.board_stop, b.start, b.trip_id, b.board_seq, b.midnight, b.midnight + b.dep AS board_at, b.route_id, l.path, l.kind, l.first_board
+                FROM take{n} AS b JOIN label{n - 1} AS l ON l.solve = b.solve AND l.stop_id = b.board_stop AND l.start = b.start)""",
+            ]
+        parts += [
+            f"""rode{n} AS MATERIALIZED (SELECT solve, stop_id, start, b.* FROM (SELECT b.solve, d.stop_id, b.start, min(struct_pack(till := b.midnight + d.arr, trip_id := b.trip_id, board_stop := b.board_stop, board_seq := b.board_seq, seq := d.stop_sequence,
+            board_at := b.board_at, path := b.path || '|' || b.trip_id || ':' || b.board_stop || '@' || b.board_at || '>' || d.stop_id || '@' || (b.midnight + d.arr), kind := b.kind || '>' || b.route_id, first_board := b.first_board)) AS b
+            FROM board{n} AS b JOIN downs AS d ON d.trip_id = b.trip_id AND d.stop_sequence > b.board_seq
+            WHERE b.midnight + d.arr <= b.start + {horizon} AND b.midnight + d.arr <= {until} AND d.stop_id <> b.solve GROUP BY b.solve, d.stop_id, b.start) AS x)""",
+            kept(f"(SELECT *, 1 AS new FROM rode{n}{old(*known)})", f"ride{n}", "new = 1", "new"),
+            f"""foot{n} AS MATERIALIZED (SELECT solve, stop_id, start, b.* FROM (SELECT r.solve, w.to_stop_id AS stop_id, r.start, min(struct_pack(till := r.till + w.min_walk_seconds, walk := w.min_walk_seconds, trip_id := r.trip_id, board_stop := r.board_stop,
+            board_seq := r.board_seq, seq := r.seq, board_at := r.board_at, path := r.path || '|walk:' || r.stop_id || '>' || w.to_stop_id || ':' || w.min_walk_seconds, kind := r.kind, first_board := r.first_board)) AS b
+            FROM ride{n} AS r JOIN ways AS w ON w.from_stop_id = r.stop_id WHERE r.till + w.min_walk_seconds <= r.start + {horizon} AND r.till + w.min_walk_seconds <= {until} AND w.to_stop_id <> r.solve GROUP BY r.solve, w.to_stop_id, r.start) AS x)""",
+            kept(f"(SELECT *, 1 AS new FROM foot{n}{old(*known, f'ride{n}')})", f"walk{n}", "new = 1", "new"),
+            kept(f"(SELECT solve, stop_id, start, till, path, kind, first_board, 0 AS w FROM ride{n} UNION ALL SELECT solve, stop_id, start, till, path, kind, first_board, 1 FROM walk{n})", f"label{n}", ties="w"),
+        ]
+        known.append(f"label{n}")
+    every = " UNION ALL ".join(f"SELECT *, {n} AS round FROM label{n}" for n in range(1, transfers + 2))
+    parts += [
+        f"(SELECT solve, stop_id, start, b.* FROM (SELECT solve, stop_id, start, min(struct_pack(till := till, round := round, path := path, kind := kind, first_board := first_board)) AS b FROM ({every}) AS e GROUP BY solve, stop_id, start) AS x)",
+    ]
+    parts[-1] = kept(parts[-1], "found")
+    begin = f"""(SELECT solve, stop_id, {when} - (till - start) - 1200 AS since, start AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY solve, stop_id ORDER BY start) AS k FROM found WHERE start >= {when - horizon}) AS x WHERE k = 1)""" if late else f"(SELECT DISTINCT solve, stop_id, cast({when} AS BIGINT) AS since, cast(NULL AS BIGINT) AS anchor FROM found)"
+    tries, stop = (4 * wanted + 8, "false") if late else (2 * wanted + 2, f"(CASE WHEN list_contains(p.kinds, f.kind) THEN p.repeats + 1 ELSE 0 END) >= 2 OR len(list_distinct(list_append(p.kinds, f.kind))) >= {wanted}")
+    parts += [
+        f"""pick AS (SELECT solve, stop_id, since - 1 AS board, 0 AS tries, 0 AS repeats, cast([] AS VARCHAR[]) AS kinds, cast([] AS BIGINT[]) AS picks, false AS done, anchor FROM {begin} AS s
+        UNION ALL SELECT p.solve, p.stop_id, f.first_board, p.tries + 1, CASE WHEN list_contains(p.kinds, f.kind) THEN p.repeats + 1 ELSE 0 END, list_append(p.kinds, f.kind), list_append(p.picks, f.start),
+        p.tries + 1 >= {tries} OR {stop}, p.anchor FROM pick AS p JOIN found AS f ON f.solve = p.solve AND f.stop_id = p.stop_id AND f.start > p.board
+        WHERE NOT p.done AND f.till <= p.board + 1 + {horizon} AND NOT EXISTS (SELECT 1 FROM found AS g WHERE g.solve = f.solve AND g.stop_id = f.stop_id AND g.start > p.board AND g.start < f.start))""",
+        "final AS (SELECT *, row_number() OVER (PARTITION BY solve, stop_id ORDER BY tries DESC) AS k FROM pick)",
+        "chosen AS (SELECT f.* FROM final AS p JOIN found AS f ON f.solve = p.solve AND f.stop_id = p.stop_id AND (list_contains(p.picks, f.start) OR len(p.picks) = 0 AND f.start = p.anchor) WHERE p.k = 1)",
+        f"one AS (SELECT *, row_number() OVER (PARTITION BY solve, stop_id, kind ORDER BY {'start DESC' if late else 'start'}) AS n FROM chosen)",
+        f"told AS (SELECT *, row_number() OVER (PARTITION BY solve, stop_id ORDER BY {'start DESC' if late else 'till'}, till - start, start) AS k FROM one WHERE n = 1)",
+    ]
+    return ", ".join(parts) + f""" SELECT solve AS origin, stop_id AS stop, cast(k AS INT) AS k, cast(start AS BIGINT) AS depart, cast(till AS BIGINT) AS arrive, cast(len(string_split(kind, '>')) - 2 AS INT) AS transfers, path[2:] AS legs
+        FROM told WHERE k <= {wanted}"""
+
+
+def _plans(t: Timetable, spark, sf_dir, late: bool, wanted: int):
+    """From each origin to every other stop, one search an origin."""
+    regions = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey")
+    ends = regions.agg(F.min("s_suppkey").alias("lo"), F.max("s_suppkey").alias("hi"))
+    origins = ends.select(F.explode(F.array(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("solve")).distinct()
+    pairs = origins.join(t.stops.select("stop_id"), F.col("solve") != F.col("stop_id"))  # ten origins at most
+    asked = pairs.select(F.xxhash64("solve", "stop_id").alias("request"), "solve", "stop_id", F.lit(WHEN).cast("long").alias("when"), F.lit(late).alias("arrive_by"), F.lit(wanted).alias("wanted"))
+    found = itineraries.plan_trips(t, asked, origins.select("solve", F.col("solve").alias("stop_id"), F.lit(0).alias("walk")), asked.select("request", "stop_id", F.lit(0).alias("walk")), max_transfers=2)
+
+    def text(leg):
+        ride = F.concat_ws("", leg["trip_id"].cast("string"), F.lit(":"), leg["from_stop"], F.lit("@"), leg["depart"], F.lit(">"), leg["to_stop"], F.lit("@"), leg["arrive"])
+        return F.when(leg["type"] == "transit", ride).otherwise(F.concat_ws("", F.lit("walk:"), leg["from_stop"], F.lit(">"), leg["to_stop"], F.lit(":"), leg["duration_seconds"]))
+
+    named = found.join(asked.select("request", F.col("solve").alias("origin"), F.col("stop_id").alias("stop")), "request")
+    return named.select("origin", "stop", F.col("k").cast("int").alias("k"), "depart", "arrive", "transfers", F.array_join(F.transform("legs", text), "|").alias("legs"))
+
+
+@query("WITH_PLAN SELECT FROM v_stops, v_trips, v_stop_times, v_transfers")
 def q11_plan_trip(t: Timetable, spark, sf_dir):
-    """Legs of the itineraries from stop 1 to stop 8 at 08:00, one request from end to end."""
-    import datetime as dt
+    """Two itineraries after 08:00 from ten origins to every stop."""
+    return _plans(t, spark, sf_dir, False, 2)
+
 
-    found = routing.plan_trip(t, "1", "8", dt.datetime.fromtimestamp(WHEN, dt.timezone.utc), max_transfers=2, max_itineraries=2)
-    rows = [
-        (n, k, leg["type"], leg["from_stop"], leg["to_stop"], leg.get("trip_id"), x["depart"], x["arrive"], routing.valid_times(x), not routing.adjacent_walks(x), round(routing.furthest_walk(t, x), 3))
-        for n, x in enumerate(found.get("itineraries", [])) for k, leg in enumerate(x["legs"])
-    ]
-    return spark.createDataFrame(rows, "itinerary int, leg int, type string, from_stop long, to_stop long, trip_id long, depart long, arrive long, times_valid boolean, walks_merged boolean, furthest_walk double")
+@query("WITH_PLAN SELECT FROM v_stops, v_trips, v_stop_times, v_transfers")
+def q11_arrive_by(t: Timetable, spark, sf_dir):
+    """The two last ways to be at every stop by 08:00 from ten origins."""
+    return _plans(t, spark, sf_dir, True, 2)
+
+
+for _name, _late in (("q11_plan_trip", False), ("q11_arrive_by", True)):
+    ORACLES[_name] = (ORACLES[_name].split(" WITH_PLAN")[0].rstrip() + ", " + _plan_sql(_late, 2)).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("SELECT cast(count(*) AS bigint) AS n FROM v_trips")
@@ -476,9 +589,17 @@ def q17_join_report(t: Timetable, spark, sf_dir):
 ORACLES["q17_join_report"] = ORACLES["q17_join_report"].replace(") WITH_UPDATES SELECT", f"), v_updates AS (SELECT u.*, t.trip_id FROM ({_UPDATES}) AS u LEFT JOIN v_trips t ON t.trip_id = u.number) SELECT", 1)
 
 
-@query("SELECT * FROM (VALUES ('adult', 'presto', cast(3.35 AS double), 'CAD'), ('adult', 'cash', 3.35, 'CAD'), ('adult', 'day_pass', 13.5, 'CAD'), ('adult', 'monthly', 156.0, 'CAD')) AS t(category, fare_type, price, currency)")
+#: The fare category of a customer's market segment.
+_CATEGORIES = {"AUTOMOBILE": "adult", "BUILDING": "adult", "FURNITURE": "senior", "HOUSEHOLD": "youth", "MACHINERY": "child"}
+
+
+@query(f"""SELECT c.c_custkey, f.category, f.fare_type, f.price, f.currency FROM customer c JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _CATEGORIES.items())}) AS s(segment, category) ON s.segment = c.c_mktsegment
+    JOIN (VALUES {", ".join(f"('{a}', '{b}', cast({p} AS double), '{c}')" for a, b, p, c in FARES)}) AS f(category, fare_type, price, currency) ON f.category = s.category""")
 def q10_fares(t: Timetable, spark, sf_dir):
-    return realtime.fares(spark, "adult")
+    """The fares open to every customer, by the category of their segment."""
+    category = F.create_map(*[F.lit(x) for pair in _CATEGORIES.items() for x in pair])[F.col("c_mktsegment")]
+    asked = _read(spark, sf_dir, "customer").select("c_custkey", category.alias("category"))
+    return realtime.fares_of(spark, asked).select("c_custkey", "category", "fare_type", "price", "currency")
 
 
 @query("SELECT s.stop_id, m.mode FROM v_stops s JOIN v_modes m ON s.stop_id = m.stop_id")

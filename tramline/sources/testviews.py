@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
+from ..checkpoints import shared_folder
 from ..schemas import TABLES
 from ..timetable import Timetable
 
@@ -26,7 +29,7 @@ VIEWS = {
     "v_calendar": """SELECT cast(k AS bigint) AS service_id, cast(CASE WHEN k = 1 THEN 1 ELSE 0 END AS int) AS monday, cast(CASE WHEN k = 2 THEN 1 ELSE 0 END AS int) AS tuesday,
         cast(CASE WHEN k = 3 THEN 1 ELSE 0 END AS int) AS wednesday, cast(CASE WHEN k = 4 THEN 1 ELSE 0 END AS int) AS thursday, cast(CASE WHEN k = 5 THEN 1 ELSE 0 END AS int) AS friday,
         cast(CASE WHEN k = 6 THEN 1 ELSE 0 END AS int) AS saturday, cast(CASE WHEN k = 0 THEN 1 ELSE 0 END AS int) AS sunday,
-        cast(20260101 AS int) AS start_date, cast(20261231 AS int) AS end_date FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) AS t(k)""",
+        cast(20260101 + k AS int) AS start_date, cast(20261231 AS int) AS end_date FROM (SELECT DISTINCT o_orderkey % 7 AS k FROM orders) AS t""",
     "v_calendar_dates": """SELECT cast(s AS bigint) AS service_id, cast(d AS int) AS date, cast(e AS int) AS exception_type
         FROM (VALUES (1, 20260724, 1), (5, 20260724, 2), (2, 20260725, 1), (2, 20260725, 2)) AS t(s, d, e)""",
     "v_street": """SELECT a.stop_id AS from_stop_id, b.stop_id AS to_stop_id, cast(round(2 * 6371000 * asin(sqrt(
@@ -62,11 +65,34 @@ def with_views(sql: str) -> str:
 
 
 def timetable(spark: SparkSession, sf_dir: str, street_radius: float = 2500) -> Timetable:
-    """The timetable of a folder of driver tables. Transfers are built by the
-    operators themselves, with a radius for the tables' few stops."""
-    from ..operators.transfers import merge_transfers, station_transfers, street_transfers
-
+    """The timetable of a folder of driver tables, stored as a load like any other the
+    first time a session asks for it, and read from there. Another load is written when
+    the tables' files are others."""
     tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _SOURCES}
+    stamp = _stamp(spark, [x for df in tables.values() for x in df.inputFiles()])
+    if not hasattr(spark, "_tramline_loads"):
+        spark._tramline_loads = {}
+    kept = spark._tramline_loads.get((sf_dir, street_radius))
+    if kept is None or kept[0] != stamp:
+        folder = f"{shared_folder(spark)}/tramline/timetable-{uuid.uuid4().hex}"
+        _from_views(spark, tables, street_radius).write(folder)
+        kept = spark._tramline_loads[sf_dir, street_radius] = (stamp, folder)
+    return Timetable.read(spark, kept[1])
+
+
+def _stamp(spark: SparkSession, files: list) -> tuple:
+    """The files with their lengths and times."""
+    out = []
+    for file in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def _from_views(spark: SparkSession, tables: dict, street_radius: float) -> Timetable:
+    """Transfers are built by the operators themselves, with a radius for the tables' few stops."""
+    from ..operators.transfers import merge_transfers, station_transfers, street_transfers
 
     def view(name: str):
         sql = VIEWS[name]

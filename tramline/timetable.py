@@ -87,18 +87,19 @@ class Timetable:
         from .operators import catalog, schedule
 
         spark = self.stops.sparkSession
+        # as many files as the session has tasks for a shuffle, however small they are
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for name, schema in TABLES.items():
             df = getattr(self, name)
             df = spark.createDataFrame([], schema) if df is None else df
             if name == "stop_times":
-                df = df.repartitionByRange("stop_id", "dep").sortWithinPartitions("stop_id", "dep")
+                df = df.repartitionByRange(buckets, "stop_id", "dep").sortWithinPartitions("stop_id", "dep")
             df.write.parquet(f"{place}/{name}")
         stored = Timetable(**{name: spark.read.schema(schema).parquet(f"{place}/{name}") for name, schema in TABLES.items()})
         catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{place}/served")
         catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{place}/canonical")
         boards = schedule.packed_departures(stored).select("stop_id", "route_id", "direction_id", "trip_headsign", "route_type", "departures")
-        boards.repartitionByRange("stop_id").sortWithinPartitions("stop_id", "route_id").write.parquet(f"{place}/boards")
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        boards.repartitionByRange(buckets, "stop_id").sortWithinPartitions("stop_id", "route_id").write.parquet(f"{place}/boards")
         table = _table_name(place)
         writer = stored.stop_times.repartition(buckets, "trip_id").write.bucketBy(buckets, "trip_id").sortBy("trip_id", "stop_sequence")
         writer.format("parquet").option("path", f"{place}/runs").saveAsTable(table)
