@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.llm import divergence, prefix_trie, queries, warc
+from tramline.llm import divergence, lines, prefix_trie, queries, shared, warc
 from tramline.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -283,3 +283,28 @@ def test_slices_keep_terms_whole(monkeypatch):
     for text in ("", "abc", "aaaaaaaaaaaa b", "one two, three_four\n", "é" * 12 + " x", "a b c d e f g h", "abcd éfgh ijkl"):
         assert [w for x in divergence._slices(text) for w in divergence.terms_of(x)] == divergence.terms_of(text)
         assert "".join(divergence._slices(text)) == text
+
+
+def test_possible_ids_of_many_tasks(spark):
+    """None that is there is failed, few others pass, and no group of the aggregation has a
+    row of every task."""
+    ids = spark.range(0, 30_000, 3, numPartitions=500).withColumnRenamed("id", "k")
+    maybe = shared.possible_ids(ids, "k", bits=1 << 16)
+    got = {x["id"]: x["m"] for x in spark.range(30_000).select("id", maybe("id").alias("m")).collect()}
+    assert all(got[k] for k in range(0, 30_000, 3)) and sum(got[k] for k in range(30_000) if k % 3) < 0.25 * 20_000
+    none = shared.possible_ids(ids.limit(0), "k")
+    assert spark.range(5).where(none("id")).count() == 0
+
+
+def test_one_copy_of_a_text_for_many_stretches(spark, monkeypatch):
+    """A document that 10,000 others repeat other parts of is sent to Python a few times;
+    what is cut is the same however the stretches are grouped."""
+    asked = spark.range(10_000).select(F.lit(7).cast("long").alias("rep_doc"), (F.col("id") * 3).alias("low"), (F.col("id") * 3 + 60).alias("high"))
+    rows = lines._grouped(asked, 50).collect()
+    assert len(rows) <= 160 * 10_000 // lines.CUT_WORDS + 1 and sum(len(x["cuts"]) for x in rows) == 10_000
+    words = [f"w{k * k % 911}x{k}" for k in range(700)]
+    texts = [(0, " ".join(words))] + [(k, "a b " * k + "\n".join(words[k * 9 : k * 9 + 55 + k]) + f" end{k}") for k in range(1, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, lines.remove_repeated_passages(docs).select("doc_id", "text", "removed_words").collect()))
+    monkeypatch.setattr(lines, "CUT_WORDS", 100)
+    assert sorted(map(tuple, lines.remove_repeated_passages(docs).select("doc_id", "text", "removed_words").collect())) == want and sum(x[2] for x in want) > 1000

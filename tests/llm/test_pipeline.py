@@ -32,6 +32,17 @@ def documents(spark):
     return materialize(spark.createDataFrame(rows, docs.schema).withColumn("c0", F.lit("other")).repartition(5), "documents")
 
 
+def test_columns_named_like_the_stages_own(spark, documents):
+    """Other columns stay as they are, whatever their names."""
+    names = ["removed_words", "removed", "found", "_foundfoundfound", "c0", "c1", "h", "n"]
+    docs = documents.drop("c0").select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in list(STAGES.items())[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns
+        rows = got.where("doc_id is not null").select("doc_id", *names).collect()
+        assert rows and all(x[n] == f"{n}{x['doc_id']}" for x in rows for n in names), name
+
+
 def _rows(df):
     return collections.Counter(tuple(x) for x in df.collect())
 

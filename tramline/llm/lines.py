@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, discard, evaluated_once, id_in, materialize, possible_ids
@@ -35,6 +35,8 @@ from .words import BASE, hash_words, mix, words_of
 LINE_WINDOW = 4
 CHUNK_WINDOW = 6
 SEED_WORDS = 16
+#: Words of one document's stretches that are cut from one copy of its text.
+CUT_WORDS = 50_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _POWERS: list = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -163,6 +165,17 @@ def _repeats(rows: DataFrame) -> DataFrame:
     return wanted
 
 
+def _grouped(stretches: DataFrame, min_words: int) -> DataFrame:
+    """(rep_doc, part, cuts): the stretches (rep_doc, low, high) asked of a document, together
+    as long as they hold about ``CUT_WORDS`` words, so that a text is sent to Python once
+    for all of them, however many there are, and no answer is longer than that and a
+    stretch more."""
+    size = F.col("high") - F.col("low") + 2 * min_words
+    so_far = F.sum(size).over(Window.partitionBy("rep_doc").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = stretches.withColumn("part", F.floor(so_far / CUT_WORDS))
+    return numbered.groupBy("rep_doc", "part").agg(F.sort_array(F.collect_list(F.struct(F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")))).alias("cuts"))
+
+
 def remove_repeated_passages(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = 50
 ) -> DataFrame:
@@ -185,20 +198,23 @@ def remove_repeated_passages(
     maybe = possible_ids(stretches, "rep_doc")
     texts = rows.where(F.col("text").isNotNull() & maybe("doc")).withColumnRenamed("doc", "rep_doc")
 
-    @F.pandas_udf("struct<start: int, words: binary>")
-    def stretch(texts: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        """The words ``low`` to ``high`` and ``min_words`` more on either side, with the
-        number of the first."""
+    @F.pandas_udf("array<struct<low: long, high: long, start: int, words: binary>>")
+    def stretch(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        """For every cut the words ``low`` to ``high`` and ``min_words`` more on either
+        side, with the number of the first."""
         out, last, words = [], None, None
-        for x, a, b in zip(texts, low.tolist(), high.tolist()):
+        for x, asked in zip(texts, cuts):
             if x != last:
                 last, words = x, _WORD.findall(x)
-            a = max(0, a - min_words)
-            out.append((a, squeeze(_raw(" ".join(words[a : b + min_words])))))
-        return pd.DataFrame(out, columns=["start", "words"])
-
-    kept = texts.join(stretches.hint("merge"), "rep_doc")
-    kept = kept.select("rep_doc", "low", "high", stretch("text", "low", "high").alias("kept"))
+            found = []
+            for c in asked:
+                a = max(0, c["low"] - min_words)
+                found.append({"low": c["low"], "high": c["high"], "start": a, "words": squeeze(_raw(" ".join(words[a : c["high"] + min_words])))})
+            out.append(found)
+        return pd.Series(out)
+
+    kept = texts.join(_grouped(stretches, min_words).hint("merge"), "rep_doc")
+    kept = kept.select("rep_doc", F.explode(stretch("text", "cuts")).alias("kept")).select("rep_doc", "kept.low", "kept.high", "kept")
     sent = (
         wanted.hint("merge").join(kept, ["rep_doc", "low", "high"])
         .select("doc", F.struct("places", "kept.start", "kept.words").alias("repeat"))

@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import mix
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it; one of our own
@@ -105,36 +103,29 @@ def evaluated_once(udf):
 def possible_ids(ids: DataFrame, column: str, bits: int = 1 << 23):
     """A function of a column of ids: whether each may be one of ``ids``. It holds a fixed
     number of bits, so it passes more others when it fills up, and never fails one that
-    is there."""
-
-    def slots(values) -> np.ndarray:
-        return (mix(values.to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-    def mark(batches):
-        table = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            table[slots(batch["id"])] = True
-        yield pd.DataFrame({"one": [1], "blob": [zlib.compress(np.packbits(table).tobytes(), 1)]})
-
-    def either(group: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros(bits // 8, dtype=np.uint8)
-        for blob in group["blob"]:
-            table |= np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
-        return pd.DataFrame({"blob": [zlib.compress(table.tobytes(), 1)]})
-
-    marks = ids.select(F.col(column).alias("id")).mapInPandas(mark, "one int, blob binary")
-    found = marks.groupBy("one").applyInPandas(either, "blob binary").collect()  # a megabyte at most
-    shared = ids.sparkSession.sparkContext.broadcast(found[0]["blob"] if found else zlib.compress(bytes(bits // 8)))
+    is there. The bits are set by an aggregation over words of 64, which tasks begin on
+    their own, and of which there are ``bits`` / 64 at most."""
+
+    def slot(value):
+        return F.pmod(F.xxhash64(value), F.lit(bits))
+
+    marks = ids.select(slot(F.col(column).cast("long")).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    words = marks.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(one).alias("set")).toPandas()
+    held = np.zeros(bits // 64, dtype="<u8")
+    held[words["word"].to_numpy(dtype=np.int64)] = words["set"].to_numpy(dtype=np.int64).view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(zlib.compress(held.tobytes(), 1))
     tables: list = []
 
     @F.pandas_udf("boolean")
-    def maybe(values: pd.Series) -> pd.Series:
+    def maybe(slots: pd.Series) -> pd.Series:
         if not tables:
             tables.append(np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8))
-        at = slots(values)
-        return pd.Series((tables[0][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+        at = slots.to_numpy()
+        return pd.Series((tables[0][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-    return evaluated_once(maybe)
+    maybe = evaluated_once(maybe)
+    return lambda value: maybe(slot((F.col(value) if isinstance(value, str) else value).cast("long")))
 
 
 def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
