@@ -27,9 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty."""
     model = language.train(docs)
     found = language.predicted_column(spark, model, F.col("text"), with_spans=False)
-    marked = bounded_batches(docs).select(*docs.columns, found.alias("_found" * 3))
-    verdict = F.col("_found" * 3)
-    return marked.where((verdict["lang_pred"] != "und") & (verdict["score"] >= LEAST_SCORE)).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    marked = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], found.alias("found"))
+    kept = marked.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SCORE))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +44,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut out of texts; a document of which nothing but
     white space is left goes, as all of it stands in documents that stay.
     ``n_chars`` follows the text."""
-    cut = lines.remove_repeated_passages(docs)
-    cut = cut.where((F.col("removed_words") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # the operator adds columns of its own
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    cut = lines.remove_repeated_passages(renamed, names["doc_id"], names["text"])
+    text = F.col(names["text"])
+    cut = cut.where((F.col("removed_words") == 0) | (F.length(F.regexp_replace(text, r"\s+", "")) > 0))
+    if "n_chars" in names:
+        cut = cut.withColumn(names["n_chars"], F.when(F.col("removed_words") > 0, F.length(text).cast("long")).otherwise(F.col(names["n_chars"])))
+    return cut.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
