@@ -270,10 +270,10 @@ def test_ingest(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from tramline.streaming.feeds import latest_snapshot, read_latest
+    from tramline.streaming.feeds import newest_rows, read_latest
 
     source = str(tmp_path / "in")
     spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 5)], "vehicle_id string, timestamp long, x int").write.parquet(source)
     stream = spark.readStream.schema("vehicle_id string, timestamp long, x int").parquet(source)
-    latest_snapshot(stream, str(tmp_path / "out"), "vehicle_id", str(tmp_path / "cp")).awaitTermination()
+    newest_rows(stream, str(tmp_path / "out"), "vehicle_id", str(tmp_path / "cp")).awaitTermination()
     assert {tuple(x) for x in read_latest(spark, str(tmp_path / "out")).select("vehicle_id", "x").collect()} == {("a", 20), ("b", 5)}

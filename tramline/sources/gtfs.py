@@ -10,10 +10,12 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialize
 from ..functions import scalars as S
 from ..operators.transfers import merge_transfers, overlay, pathway_transfers, station_transfers, street_transfers
 from ..schemas import TABLES
 from ..timetable import Timetable, check_keys
+from . import feedsource
 
 #: table -> (member, {column: column of the file}); stop_times last, as the largest.
 FIRST_FEED = {
@@ -70,25 +72,27 @@ def typed(raw: DataFrame, table: str, names: dict) -> DataFrame:
     return raw.select(*out)
 
 
-def read_feed(spark: SparkSession, zip_path: str, tables: dict, folder: str) -> dict:
+def read_member(spark: SparkSession, zip_path: str, member: str) -> DataFrame:
+    """A member of a zip file, inflated by the task that reads it; see ``feedsource.ZipSource``."""
+    feedsource.register(spark)
+    return spark.read.format(feedsource.ZIP).options(path=zip_path, member=member).load()
+
+
+def read_feed(spark: SparkSession, zip_path: str, tables: dict) -> dict:
+    """The typed tables of a feed, each inflated once and stored."""
     out = {}
     for table, (member, names) in tables.items():
-        df = typed(read_csv(spark, extract(zip_path, member, folder)), table, names)
+        df = materialize(typed(read_member(spark, zip_path, member), table, names), f"feed-{table}")
         check_keys(table, df)
         out[table] = df
     return out
 
 
-def ingest(spark: SparkSession, first_zip: str, second_zip: str, target: str, work: str | None = None) -> dict:
-    """Rebuild every table under ``target``; returns rows by table. ``work``: a folder that
-    driver and executors share, into which the feeds' files are put; may be left out in
-    local mode only, where a temporary one is taken."""
-    if work is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("work must name a folder that driver and executors share")
-        work = tempfile.mkdtemp(prefix="tramline-feed-")
-    a = read_feed(spark, first_zip, FIRST_FEED, os.path.join(work, "a"))
-    b = read_feed(spark, second_zip, SECOND_FEED | {"stops": ("stops.txt", {})}, os.path.join(work, "b"))
+def ingest(spark: SparkSession, first_zip: str, second_zip: str, target: str) -> dict:
+    """Rebuild every table under ``target``; returns rows by table. The zip files lie where
+    driver and executors see them, as a folder that both share."""
+    a = read_feed(spark, first_zip, FIRST_FEED)
+    b = read_feed(spark, second_zip, SECOND_FEED | {"stops": ("stops.txt", {})})
     stops, crosswalk = overlay(a["stops"], b["stops"])
     every = merge_transfers(station_transfers(stops), pathway_transfers(stops, b["pathways"]), street_transfers(stops))
     t = Timetable(stops, a["routes"], a["calendar"], a["calendar_dates"], a["trips"], a["stop_times"], every, crosswalk, b["levels"], b["pathways"])
