@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import json
+import re
 import threading
 import urllib.error
 
@@ -79,7 +80,7 @@ def test_fares_and_resources(city):  # noqa: F811
     got = engine.fares("adult", "cash")
     assert [x["price"] for x in got["fares"]] == [3.35] and got["transfer"]["window_minutes"] == 120 and got["notes"] and got["source_url"].startswith("https://")
     assert json.loads(engine.resource("fares")) == engine.fares()
-    assert [x["stop_id"] for x in json.loads(engine.resource("stops"))] == [x["stop_id"] for x in engine.all_stops()]
+    assert [x["stop_id"] for x in json.loads(engine.resource("stops"))] == sorted((str(x["stop_id"]) for x in catalog.stop_summaries(city).collect()), key=int)
     assert json.loads(engine.resource("routes")) == engine.routes()
     with pytest.raises(QueryError):
         engine.resource("trains")
@@ -303,3 +304,64 @@ def test_pathways_beside_other_transfers(spark):
     rows = [("a", 1, 50, 1, 1, 10, None), ("b", 50, 2, 1, 0, 5, None), ("c", 1, 2, 1, 1, 99, None)]
     ways = spark.createDataFrame(rows, "pathway_id string, from_stop_id long, to_stop_id long, pathway_mode int, is_bidirectional int, traversal_time int, length double")
     assert sorted(map(tuple, transfers.pathway_transfers(stops, ways).collect())) == [(1, 2, 15, "pathway"), (2, 1, 99, "pathway")]
+
+
+def _many_stops(spark):
+    """A grid of named stops, each served by one trip."""
+    names = ["Union Station", "union st", "100% Road", "a_b", "back\\slash", "Ää Straße", "", "xy", "KING ST WEST", "King_St"]
+    n = 4000
+    stops = spark.range(n).select(
+        F.col("id").alias("stop_id"), F.col("id").alias("stop_code"), F.concat(F.get(F.array(*[F.lit(x) for x in names]), F.col("id") % 10), F.when(F.col("id") % 10 > 7, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("id").cast("string")))).alias("stop_name"),
+        (43.0 + F.floor(F.col("id") / 64) * 0.01).alias("stop_lat"), (-80.0 + F.col("id") % 64 * 0.01).alias("stop_lon"), F.lit(None).cast("long").alias("parent_station"), F.lit(0).alias("location_type"),
+    )
+    t = Timetable.from_rows(spark, routes=[(1, "1", "One", 3, "")], trips=[(1, 1, 1, "x", 0, None)], calendar=[(1, 1, 1, 1, 1, 1, 1, 1, 20260101, 20261231)])
+    t.stops = stops
+    t.stop_times = stops.select(F.lit(1).cast("long").alias("trip_id"), "stop_id", F.col("stop_id").cast("int").alias("stop_sequence"), F.col("stop_id").cast("int").alias("arr"), F.col("stop_id").cast("int").alias("dep"))
+    return t
+
+
+def test_names_by_triples_and_places_by_cells(spark, tmp_path):
+    """The same as a scan, for random pieces of names with and without wildcards, and for
+    random boxes; a search near a place reads few of the stops."""
+    import random
+
+    plain = _many_stops(spark)
+    plain.write(str(tmp_path / "t"))
+    stored = Timetable.read(spark, str(tmp_path / "t"))
+    names = {x["stop_id"]: x["stop_name"] for x in plain.stops.collect()}
+    r, queries = random.Random(4), ["union", "UNION ST", "0%", "_b", "back\\", "Straße", "ä", "on%st", "K_ng", "", "%", "xyz", "g_St", "king st", "%%39_"]
+    for _ in range(6):
+        name = r.choice(list(names.values()))
+        at = r.randrange(max(1, len(name) - 4))
+        queries.append(name[at : at + 5].swapcase())
+    for query in queries:
+        for wildcards in (False, True):
+            low = query.lower()
+            pattern = ".*" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) if wildcards else re.escape(c) for c in low) + ".*"
+            want = {k for k, x in names.items() if re.fullmatch(pattern, x.lower(), re.S)}
+            assert {x["stop_id"] for x in catalog._named(stored, query, wildcards).select("stop_id").collect()} == want, (query, wildcards)
+    assert [x["name"] for x in catalog.search_by_name(stored, "king_st", wildcards=True, limit=2).collect()] == ["KING ST WEST", "KING ST WEST"]
+    for _ in range(6):
+        lat, lon, radius = r.uniform(42.9, 43.7), r.uniform(-80.1, -79.3), r.choice((500, 3000, 20_000))
+        got, want = ([tuple(x) for x in catalog.search_near(x, lat, lon, radius).select("stop_id", "metres").collect()] for x in (stored, plain))
+        assert got == want
+    ranges = catalog.cell_ranges((43.3, -79.7), (43.31, -79.69))
+    found = stored.places.where(" or ".join(f"cell between {a} and {b}" for a, b in ranges))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    scan = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+    while scan.children().size():
+        scan = scan.children().head()
+    assert 1 <= scan.metrics().apply("numOutputRows").value() <= 1000 < len(names)
+
+
+def test_resources_are_written_by_tasks(city, spark, tmp_path):  # noqa: F811
+    engine = Engine(city)
+    engine.write_resource("stops", str(tmp_path / "stops"))
+    lines = [json.loads(x["value"]) for x in spark.read.text(str(tmp_path / "stops")).collect()]
+    assert sorted(lines, key=lambda x: int(x["stop_id"])) == json.loads(engine.resource("stops")) and len(lines) == 4
+    first = json.loads(engine.resource("stops"))[0]
+    assert first == {"stop_id": "662", "stop_code": 662, "name": "Danforth Rd at Kennedy Rd", "mode": "bus", "is_station": False, "lat": 43.714379, "lon": -79.260939}
+    assert "color" not in json.loads(engine.resource("routes"))[1] and json.loads(engine.resource("fares"))["fares"]
+    with pytest.raises(QueryError):
+        engine.resource("none")

@@ -55,11 +55,11 @@ class Engine:
         except Exception as e:
             raise QueryError("upstream_unavailable", str(e)) from e
 
-    def search_stops(self, query: str | None = None, near=None, radius: float = 500, mode: str | None = None, limit: int = 20) -> dict:
+    def search_stops(self, query: str | None = None, near=None, radius: float = 500, mode: str | None = None, limit: int = 20, wildcards: bool = False) -> dict:
         """By name if given, else by place."""
         _limit(limit, 20)
         if query:
-            found = catalog.search_by_name(self.t, query, mode, limit)
+            found = catalog.search_by_name(self.t, query, mode, limit, wildcards)
         elif near:
             found = catalog.search_near(self.t, near[0], near[1], radius, mode, limit).drop("metres")
         else:
@@ -138,12 +138,23 @@ class Engine:
         rows = [x.asDict() for x in realtime.fares(self.spark, category, fare_type).collect()]
         return {"fares": rows, "transfer": {"window_minutes": TRANSFER_WINDOW_MINUTES, "rules": TRANSFER_RULE}, "notes": FARES_NOTE, "source_url": FARES_PAGE}
 
-    def resource(self, name: str) -> str:
-        """The whole catalog of stops or routes, or the fares, as JSON."""
-        known = {"stops": self.all_stops, "routes": self.routes, "fares": self.fares}
+    def _catalog(self, name: str):
+        known = {"stops": lambda: catalog.stop_summaries(self.t).orderBy("stop_id"), "routes": lambda: catalog.list_routes(self.t), "fares": lambda: realtime.fares(self.spark)}
         if name not in known:
             raise QueryError("not_found", f"no resource {name}")
-        return to_json(known[name]())
+        return catalog.as_json(known[name]())
+
+    def write_resource(self, name: str, folder: str) -> None:
+        """The whole catalog of stops or routes, or the fares, as files of a JSON object a
+        line, written where it is worked out."""
+        self._catalog(name).write.text(folder)
+
+    def resource(self, name: str) -> str:
+        """The same as one JSON text, which an answer must be: rows are made JSON where they
+        are and come a partition at a time."""
+        if name == "fares":
+            return to_json(self.fares())
+        return f"[{', '.join(x['value'] for x in self._catalog(name).toLocalIterator())}]"
 
     def plan_trip(self, origin, destination, when: dt.datetime, **options) -> dict:
         got = routing.plan_trip(self.t, origin, destination, when, **options)
@@ -151,8 +162,5 @@ class Engine:
             raise QueryError(got["error"], f"nothing found ({got.get('endpoint', 'trip')})")
         return got
 
-    def all_stops(self) -> list:
-        return [present(x.asDict()) for x in catalog.stop_summaries(self.t).collect()]
-
 
 __all__ = ["Engine", "QueryError", "present", "to_json", "S"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -58,15 +61,94 @@ def stop_summaries(t, stops: DataFrame | None = None) -> DataFrame:
     )
 
 
-def search_by_name(t, query: str, mode: str | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
+def _triples(text: Column) -> Column:
+    """The distinct runs of three letters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda k: F.substring(text, k, 3)))
+
+
+def name_grams(t) -> DataFrame:
+    """(gram, stop_id): the letter triples of every stop's name, in lower case."""
+    name = F.lower("stop_name")
+    long = t.stops.where(F.length(name) >= 3)
+    return long.select(F.explode(_triples(name)).alias("gram"), "stop_id")
+
+
+def _named(t, query: str, wildcards: bool) -> DataFrame:
+    """Stops whose name holds the query's letters. Where triples are stored, only names that
+    have all of the query's are compared; a query without three plain letters in a row, or
+    a timetable that is not stored, compares every name."""
+    low = query.lower()
+    plain = re.split("[%_]", low) if wildcards else [low]
+    wanted = sorted({run[k : k + 3] for run in plain for k in range(len(run) - 2) if run[k : k + 3].isascii()})
+    stops = t.stops
+    if t.grams is not None and wanted:
+        found = t.grams.where(F.col("gram").isin(wanted)).groupBy("stop_id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))
+        stops = stops.join(found, "stop_id", "left_semi")
+    name, letters = F.lower("stop_name"), F.lower(F.lit(query))
+    if not wildcards:
+        return stops.where(F.contains(name, letters))
+    # a backslash is a letter like any other
+    return stops.where(F.like(name, F.concat(F.lit("%"), F.replace(letters, F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
+
+
+def search_by_name(t, query: str, mode: str | None = None, limit: int = SEARCH_LIMIT, wildcards: bool = False) -> DataFrame:
     """Served stops whose name holds the query's letters, by name; ``truncated``
-    where there were more than ``limit``."""
-    found = stop_summaries(t, t.stops.where(F.contains(F.lower("stop_name"), F.lit(query.lower()))))
+    where there were more than ``limit``. With ``wildcards`` a ``%`` in the query stands for
+    any letters and a ``_`` for any one."""
+    found = stop_summaries(t, _named(t, query, wildcards))
     if mode:
         found = found.where(F.col("mode") == mode)
     return _capped(found.orderBy("name", "stop_id").limit(SEARCH_CAP), limit, "name", "stop_id")
 
 
+#: A cell is a place's latitude and longitude in 2 ** 16 steps each, their bits in turn.
+_BITS = 16
+
+
+def _steps(value: float, low: float, width: float) -> int:
+    return min((1 << _BITS) - 1, max(0, int((value - low) / width * (1 << _BITS))))
+
+
+def cell(lat: Column, lon: Column) -> Column:
+    """The cell's number: places near each other have numbers with the same first bits."""
+    out = F.lit(0).cast("long")
+    for value, low, width, shift in ((lat, -90.0, 180.0, 1), (lon, -180.0, 360.0, 0)):
+        step = F.least(F.lit((1 << _BITS) - 1), F.greatest(F.lit(0), F.floor((value - low) / width * (1 << _BITS)))).cast("long")
+        for k in range(_BITS):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(step, k).bitwiseAND(F.lit(1)), 2 * k + shift))
+    return out
+
+
+def placed_stops(t) -> DataFrame:
+    """The stops that have a place, with their ``cell``."""
+    return t.stops.where("stop_lat is not null and stop_lon is not null").select(cell(F.col("stop_lat"), F.col("stop_lon")).alias("cell"), "*")
+
+
+def cell_ranges(low: tuple, high: tuple, most: int = 24) -> list:
+    """Ranges of cells that hold all places between two corners (lat, lon): quarters of
+    quarters, the largest that reach beyond the box split first, ``most`` of them about."""
+    y0, y1 = _steps(low[0], -90.0, 180.0), _steps(high[0], -90.0, 180.0)
+    x0, x1 = _steps(low[1], -180.0, 360.0), _steps(high[1], -180.0, 360.0)
+    whole, split = [], [(_BITS, 0, 0, 0)]  # bits of a side, corner y and x, first cell
+    while split and len(split) + len(whole) < most:
+        bits, y, x, first = split.pop(0)
+        half = bits - 1
+        for q in range(4):
+            cy, cx, at = y + ((q >> 1) << half), x + ((q & 1) << half), first + (q << 2 * half)
+            if cy > y1 or cx > x1 or cy + (1 << half) <= y0 or cx + (1 << half) <= x0:
+                continue
+            inside = cy >= y0 and cx >= x0 and cy + (1 << half) - 1 <= y1 and cx + (1 << half) - 1 <= x1
+            (whole if inside or not half else split).append((half, cy, cx, at))
+    ranges = sorted((at, at + (1 << 2 * bits) - 1) for bits, _, _, at in whole + split)
+    out: list = []
+    for a, b in ranges:
+        if out and out[-1][1] + 1 == a:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def _capped(found: DataFrame, limit: int, *order) -> DataFrame:
     # the window is over SEARCH_CAP rows at most
     ranked = found.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
@@ -81,7 +163,12 @@ def search_near(t, lat: float, lon: float, radius: float = 500, mode: str | None
 
     high = radius / 111_000 * 1.01
     wide = high / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + high))))
-    box = t.stops.where(F.col("stop_lat").between(lat - high, lat + high) & F.col("stop_lon").between(lon - wide, lon + wide))
+    if t.places is None:
+        box = t.stops.where(F.col("stop_lat").between(lat - high, lat + high) & F.col("stop_lon").between(lon - wide, lon + wide))
+    else:
+        # stored in order of their cells, of which the box covers a few ranges
+        reach = [F.col("cell").between(a, b) for a, b in cell_ranges((lat - high, lon - wide), (lat + high, lon + wide))]
+        box = t.places.where(reduce(lambda x, y: x | y, reach)).drop("cell")
     metres = S.metres_between(F.lit(lat), F.lit(lon), F.col("stop_lat"), F.col("stop_lon"))
     near = box.withColumn("metres", metres).where(F.col("metres") <= radius)
     served = served_routes(t).join(near.select("stop_id"), "stop_id", "left_semi").select("stop_id").distinct()
@@ -107,6 +194,15 @@ def stop_detail(t, stop_id: int) -> DataFrame:
     return stop_summaries(t, t.stops.where(F.col("stop_id") == stop_id)).join(routes, "stop_id").crossJoin(platforms)
 
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): a JSON object a row, without what is null or empty text, ids as strings."""
+    out = []
+    for f in rows.schema.fields:
+        x = F.col(f.name).cast("string") if f.name.endswith("_id") or f.name == "parent_station" else F.col(f.name)
+        out.append((F.when(x != "", x) if f.dataType.simpleString() == "string" or f.name.endswith("_id") else x).alias(f.name))
+    return rows.select(F.to_json(F.struct(*out)).alias("value"))
+
+
 def route_directions(t) -> DataFrame:
     """(route_id, direction_id, headsign): the most common headsign of each
     direction. A null direction sorts first and then counts as 0."""

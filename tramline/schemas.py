@@ -19,6 +19,8 @@ TABLES = {
 DERIVED = {
     "served": "stop_id long, route_id long, route_type int",
     "canonical": "route_id long, direction_id int, trip_id long, stop_count long",
+    "grams": "gram string, stop_id long",
+    "places": "cell long, " + TABLES["stops"],
     "boards": "stop_id long, route_id long, direction_id int, trip_headsign string, route_type int, departures map<long, array<struct<dep: int, trip_id: long, seq: int>>>",
 }
 #: Keys that must be there and, where ``unique``, once.

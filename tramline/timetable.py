@@ -41,10 +41,13 @@ class Timetable:
     pathways: DataFrame | None = None
     #: What ``write`` stores besides, so that reading it back goes through stop times no
     #: more: the routes a stop is served by, platforms' for their station; the longest
-    #: trip of every direction; each stop's departures, packed; and stop times again,
-    #: bucketed by trip. None: worked out where it is needed.
+    #: trip of every direction; the letter triples of stops' names; stops in order of
+    #: their cells; each stop's departures, packed; and stop times again, bucketed by
+    #: trip. None: worked out where it is needed, or done without.
     served: DataFrame | None = None
     canonical: DataFrame | None = None
+    grams: DataFrame | None = None
+    places: DataFrame | None = None
     boards: DataFrame | None = None
     runs: DataFrame | None = None
 
@@ -98,6 +101,10 @@ class Timetable:
         stored = Timetable(**{name: spark.read.schema(schema).parquet(f"{place}/{name}") for name, schema in TABLES.items()})
         catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{place}/served")
         catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{place}/canonical")
+        catalog.name_grams(stored).repartitionByRange("gram", "stop_id").sortWithinPartitions("gram", "stop_id").write.parquet(f"{place}/grams")
+        # small pages, so that a search reads those that its ranges of cells touch
+        places = catalog.placed_stops(stored).repartitionByRange("cell", "stop_id").sortWithinPartitions("cell", "stop_id")
+        places.write.option("parquet.page.row.count.limit", 500).option("parquet.block.size", 1 << 20).parquet(f"{place}/places")
         boards = schedule.packed_departures(stored).select("stop_id", "route_id", "direction_id", "trip_headsign", "route_type", "departures")
         boards.repartitionByRange(buckets, "stop_id").sortWithinPartitions("stop_id", "route_id").write.parquet(f"{place}/boards")
         table = _table_name(place)
