@@ -380,6 +380,44 @@ def test_lines_with_an_earlier_excerpt(spark):
     assert _without_repeats(spark, sum(texts, [])) == sum(want, [])
 
 
+def _planted(seed, n, dims, pairs):
+    """Random vectors, of which the last ``pairs`` are near another: cosine 0.9 and more."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of, cosine = r.integers(0, n - pairs, pairs), r.uniform(0.905, 0.995, pairs)
+    side = r.standard_normal((pairs, dims))
+    side -= (side * x[of]).sum(axis=1, keepdims=True) * x[of]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[n - pairs :] = cosine[:, None] * x[of] + np.sqrt(1 - cosine**2)[:, None] * side
+    return x.astype(np.float32)
+
+
+def _recall(spark, x, **options):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    got = forest.near_duplicates(df, **options).toPandas().set_index("vec_id").sort_index()
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = np.concatenate([((u[k : k + 2000] @ u.T) >= 0.9).sum(axis=1) - 1 for k in range(0, len(u), 2000)])
+    assert (got["n_links"].to_numpy() <= links).all()  # none that is not there
+    assert (got["kept"] == (got["component_id"] == got.index)).all()
+    return got["n_links"].sum() / links.sum(), links.sum()
+
+
+def test_forest_finds_planted_links_with_its_own_parameters(spark):
+    """13,000 vectors, trees of four levels: depth 3 and more."""
+    assert math.ceil(math.log2(13_000 / 1500)) >= 3
+    recall, links = _recall(spark, _planted(1, 13_000, 64, 3000))
+    assert links >= 6000 and recall >= 0.95, recall
+
+
+def test_forest_splits_large_leaves_again(spark):
+    """Where the sample allows two levels only, the leaves go on on executors."""
+    x = _planted(2, 6000, 32, 1500)
+    recall, links = _recall(spark, x, leaf_size=100, sample_size=100, block=400)
+    assert links >= 3000 and recall >= 0.93, recall
+
+
 def test_forest(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((40, 16))

@@ -77,6 +77,119 @@ class Forest:
             yield t, rows, nodes
 
 
+#: Levels by which a leaf that is still too large is split again, and vectors a leaf of it.
+SPLIT_DEPTH, SPLIT_SAMPLE = 7, 20
+#: Bytes of vectors that the upper levels are fitted on, at most.
+SAMPLE_BYTES = 64 << 20
+#: A leaf's number: tree, node of the upper levels, node of the lower ones.
+_TREE, _NODE = 48, 16
+
+
+def _split_directions(seed: int, tree: int, dims: int) -> np.ndarray:
+    """Directions of a tree's lower levels, the same for all its leaves."""
+    return np.random.default_rng([seed, tree, dims, 1]).standard_normal((1 << SPLIT_DEPTH, dims)).astype(np.float32).astype(np.float64)
+
+
+def _split_again(placed: DataFrame, leaf_size: int, spill: float, seed: int) -> DataFrame:
+    """``placed`` with every leaf of more than twice ``leaf_size`` vectors split by up to
+    ``SPLIT_DEPTH`` levels more, into bands fitted on a sample of its own vectors by one
+    task a leaf. A leaf of the upper levels has two numbers for each lower node, so what
+    is broadcast is bounded by the sample that the upper levels were fitted on."""
+    spark = placed.sparkSession
+    per_leaf = placed.select(F.length("raw").alias("width"), F.explode("leaves").alias("leaf")).groupBy("width", "leaf").agg(F.count("*").alias("m"))
+    large = {(x["width"], x["leaf"]): (min(SPLIT_DEPTH, math.ceil(math.log2(x["m"] / leaf_size))), x["m"]) for x in per_leaf.where(F.col("m") > 2 * leaf_size).collect()}
+    if not large:
+        return placed
+    asked = spark.sparkContext.broadcast(large)
+
+    def draw(batches):
+        known = asked.value
+        for batch in batches:
+            out = []
+            for rep, raw, leaves in zip(batch["rep"].tolist(), batch["raw"], batch["leaves"]):
+                for leaf in leaves.tolist():
+                    depth, m = known.get((len(raw), leaf), (0, 1))
+                    if depth and xxhash.xxh3_64_intdigest(rep.to_bytes(8, "little", signed=True), seed=leaf & 0xFFFF_FFFF) < (SPLIT_SAMPLE << depth) / m * 2**64:
+                        out.append((len(raw), leaf, raw))
+            yield pd.DataFrame(out, columns=["width", "leaf", "raw"])
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        width, leaf = int(group["width"].iloc[0]), int(group["leaf"].iloc[0])
+        depth, x = asked.value[width, leaf][0], _matrix(group["raw"])
+        p = x @ _split_directions(seed, leaf >> _TREE, x.shape[1]).T
+        bands, level = np.zeros((2, 1 << depth)), {1: np.arange(len(x))}
+        for _ in range(depth):
+            below = {}
+            for node, rows in level.items():
+                at = p[rows, node]
+                if len(at):
+                    bands[:, node] = np.quantile(at, [0.5 - spill / 2, 0.5 + spill / 2])
+                below[2 * node], below[2 * node + 1] = rows[at <= bands[1, node]], rows[at >= bands[0, node]]
+            level = below
+        return pd.DataFrame({"width": [width], "leaf": [leaf], "bands": [bands.tobytes()]})
+
+    drawn = placed.mapInPandas(draw, "width int, leaf long, raw binary")
+    fitted = drawn.groupBy("width", "leaf").applyInPandas(fit, "width int, leaf long, bands binary").collect()
+    shared = spark.sparkContext.broadcast({(x["width"], x["leaf"]): np.frombuffer(x["bands"]).reshape(2, -1) for x in fitted})
+
+    def refine(batches):
+        known = shared.value
+        for batch in batches:
+            for width, part in batch.groupby(batch["raw"].map(len)):
+                for at in range(0, len(part), 2048):
+                    some = part.iloc[at : at + 2048]
+                    x = _matrix(some["raw"])
+                    row = np.repeat(np.arange(len(some)), some["leaves"].map(len))
+                    leaf = np.concatenate(some["leaves"].to_numpy())
+                    rows, names = [], []
+                    for tree in np.unique(leaf >> _TREE).tolist():
+                        mine = leaf >> _TREE == tree
+                        rows_, names_ = _lower(x, row[mine], leaf[mine], {k[1]: v for k, v in known.items() if k[0] == width and k[1] >> _TREE == tree}, tree, seed)
+                        rows.append(rows_)
+                        names.append(names_)
+                    yield _placed(some, np.concatenate(rows), np.concatenate(names))
+
+    out = materialize(placed.mapInPandas(refine, "rep long, n long, raw binary, leaves array<long>"), "vector-leaves")
+    discard(placed)
+    return out
+
+
+def _lower(x: np.ndarray, row: np.ndarray, leaf: np.ndarray, bands: dict, tree: int, seed: int) -> tuple:
+    """(rows, leaves) with those leaves that have bands taken down their lower levels."""
+    names = np.unique(leaf)
+    split = [k for k in names.tolist() if k in bands]
+    if not split:
+        return row, leaf
+    p = x @ _split_directions(seed, tree, x.shape[1]).T
+    low, high = (np.zeros((len(split), 1 << SPLIT_DEPTH)) for _ in range(2))
+    depth = np.zeros(len(split), dtype=np.int64)
+    for k, name in enumerate(split):
+        size = bands[name].shape[1]
+        low[k, :size], high[k, :size] = bands[name]
+        depth[k] = size.bit_length() - 1
+    inside = np.isin(leaf, split)
+    done_rows, done_names = [row[~inside]], [leaf[~inside]]
+    rows, which, node = row[inside], np.searchsorted(split, leaf[inside]), np.ones(inside.sum(), dtype=np.int64)
+    for level in range(SPLIT_DEPTH + 1):
+        ready = depth[which] == level
+        done_rows.append(rows[ready])
+        done_names.append(np.array(split)[which[ready]] | node[ready])
+        rows, which, node = rows[~ready], which[~ready], node[~ready]
+        if not len(rows):
+            break
+        at = p[rows, node]
+        left, right = at <= high[which, node], at >= low[which, node]
+        rows, which, node = np.concatenate([rows[left], rows[right]]), np.concatenate([which[left], which[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+    return np.concatenate(done_rows), np.concatenate(done_names)
+
+
+def _placed(some: pd.DataFrame, rows: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """A row a vector with its leaves, those of an earlier tree first."""
+    order = np.lexsort((names, rows))
+    cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    return pd.DataFrame({"rep": some["rep"].to_numpy(), "n": some["n"].to_numpy(), "raw": some["raw"].to_numpy(), "leaves": np.split(names[order], cuts[1:])})
+
+
 class _Earlier:
     """Which pairs of a group's vectors share a leaf that comes before the group's: bits
     over the leaves of one tree after another, as near vectors mostly share a leaf of
@@ -88,8 +201,8 @@ class _Earlier:
         before = every < leaf
         owner, every = owner[before], every[before]
         self.bits = []
-        for tree in np.unique(every >> 32).tolist():
-            mine = every >> 32 == tree
+        for tree in np.unique(every >> _TREE).tolist():
+            mine = every >> _TREE == tree
             names, code = np.unique(every[mine], return_inverse=True)
             # vectors of a group by leaves of a tree, each within a bound
             marks = np.zeros((len(leaves), -(-len(names) // 64) * 64), dtype=bool)
@@ -148,8 +261,9 @@ def near_duplicates(
     Rows that repeat an id are vectors of their own with that id: ``n_links`` and
     the component hold for the id. A null id takes part with a null component.
     Splits are fitted on at most ``sample_size`` classes (least hash of the
-    vector); the depth follows the number of classes, at most 20 sample vectors a
-    leaf. Other columns are not read; an empty table gives an empty result.
+    vector) and ``SAMPLE_BYTES`` of them; the depth follows the number of classes, at most
+    20 sample vectors a leaf. Leaves that are still more than twice ``leaf_size`` are split
+    again where they are, by up to ``SPLIT_DEPTH`` levels. Other columns are not read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(vectors)
@@ -184,6 +298,7 @@ def near_duplicates(
         linked = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
     else:
         total = sum(sizes.values())
+        sample_size = min(sample_size, max(1, SAMPLE_BYTES // max(sizes)))
         chosen = classes.select("raw", "h")
         if total > sample_size:
             chosen = chosen.where(F.shiftrightunsigned(F.xxhash64("h"), 1) < int(sample_size / total * (1 << 63)))
@@ -196,7 +311,7 @@ def near_duplicates(
             depth = min(wanted, max(0, int(math.log2(max(1, len(own)) / 20))))
             fitted = _matrix(own) if len(own) else np.zeros((0, width // 8))
             forests[width] = Forest(fitted, trees, depth, spill, seed)
-        linked = _compare(classes.select("rep", "n", "raw"), forests, threshold, block, members)
+        linked = _compare(classes.select("rep", "n", "raw"), forests, threshold, block, members, leaf_size, spill, seed)
     ids = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"))
     out = ids.join(linked, "vec_id", "left").select(
         "vec_id",
@@ -206,7 +321,7 @@ def near_duplicates(
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _compare(usable: DataFrame, forests: dict, threshold: float, block: int, members: DataFrame) -> DataFrame:
+def _compare(usable: DataFrame, forests: dict, threshold: float, block: int, members: DataFrame, leaf_size: int, spill: float, seed: int) -> DataFrame:
     spark = usable.sparkSession
     shared = spark.sparkContext.broadcast(forests)
 
@@ -221,19 +336,14 @@ def _compare(usable: DataFrame, forests: dict, threshold: float, block: int, mem
                     rows, names = [], []
                     for t, r, n in known[width].leaves(_matrix(some["raw"])):
                         rows.append(r)
-                        names.append(t << 32 | n)
-                    rows, names = np.concatenate(rows), np.concatenate(names)
-                    order = np.lexsort((names, rows))
-                    cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-                    yield pd.DataFrame(
-                        {"rep": some["rep"].to_numpy(), "n": some["n"].to_numpy(), "raw": some["raw"].to_numpy(), "leaves": np.split(names[order], cuts[1:])}
-                    )
+                        names.append(t << _TREE | n << _NODE)
+                    yield _placed(some, np.concatenate(rows), np.concatenate(names))
 
     placed = usable.select("rep", "n", "raw").mapInPandas(assign, "rep long, n long, raw binary, leaves array<long>")
-    placed = materialize(placed, "vector-leaves")
-    # a row per leaf: bounded by the sample, not by the vectors
+    placed = _split_again(materialize(placed, "vector-leaves"), leaf_size, spill, seed)
+    # the leaves that are dealt in blocks all the same: few, once large ones were split
     per_leaf = placed.select(F.length("raw").alias("width"), F.explode("leaves").alias("leaf")).groupBy("width", "leaf").agg(F.count("*").alias("m"))
-    blocks = {(x["width"], x["leaf"]): -(-x["m"] // block) for x in per_leaf.where(F.col("m") > 1).collect()}
+    blocks = {(x["width"], x["leaf"]): -(-x["m"] // block) for x in per_leaf.where(F.col("m") > block).collect()}
     cuts = spark.sparkContext.broadcast(blocks)
 
     def deal(batches):
@@ -244,7 +354,7 @@ def _compare(usable: DataFrame, forests: dict, threshold: float, block: int, mem
             for rep, n, raw, leaves in zip(batch["rep"].tolist(), batch["n"].tolist(), batch["raw"], batch["leaves"]):
                 packed = np.asarray(leaves, dtype="<i8").tobytes()
                 for leaf in leaves.tolist():
-                    k = parts.get((len(raw), leaf), 0)
+                    k = parts.get((len(raw), leaf), 1)
                     mine = xxhash.xxh3_64_intdigest(rep.to_bytes(8, "little", signed=True)) % k if k > 1 else 0
                     for other in range(k):
                         out.append((len(raw), leaf, min(mine, other), max(mine, other), mine, rep, n, raw, packed))
