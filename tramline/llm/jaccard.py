@@ -364,6 +364,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "za", "zb").mapInPandas(run, "a long, b long")
 
 
+#: Members of a list that are passed over together.
+LIST_BLOCK = 64
+
+
 def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: only the components that these put together are
     worked on, each by its name, its least node."""
@@ -400,18 +404,28 @@ def _open_pairs(members: DataFrame, components: DataFrame, bitmaps: DataFrame, p
         """Surviving pairs of whole groups (list, i, j), sorted by size within each."""
         group, node, size, at, comp, mine = (frame[c] for c in ("group", "node", "size", "at", "component", "mine"))
         bitmaps = frame["bitmap"]
-        # the members after each that its size reaches
+        # the members after each that its size reaches, in blocks of the list: a block is
+        # passed over when none of its members has enough behind its position
         last = np.searchsorted(group, group, side="right")
-        reach = np.minimum(last, _reach(group, size, percent))
-        row = np.arange(len(group))
-        count = np.maximum(reach - row - 1, 0)
+        row, rest = np.arange(len(group)), size - at
+        reach = np.maximum(np.minimum(last, _reach(group, size, percent)), row + 1)
+        starts = np.arange(0, len(row), LIST_BLOCK)
+        longest, smallest = np.maximum.reduceat(rest, starts), np.minimum.reduceat(size, starts)
+        first_block = (row + 1) // LIST_BLOCK
+        count = np.where(reach > row + 1, (reach - 1) // LIST_BLOCK - first_block + 1, 0)
         ends = np.cumsum(count)
         lo = 0
         while lo < len(row):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 500_000, side="right")))
-            left = np.repeat(row[lo:hi], count[lo:hi])
-            first = np.repeat(ends[lo:hi] - count[lo:hi], count[lo:hi])
-            right = left + 1 + np.arange(len(left)) + (ends[lo] - count[lo]) - first
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 500_000 // LIST_BLOCK, side="right")))
+            one = np.repeat(row[lo:hi], count[lo:hi])
+            which = np.repeat(first_block[lo:hi] - (ends[lo:hi] - count[lo:hi]), count[lo:hi]) + np.arange(len(one)) + (ends[lo] - count[lo])
+            need = least_overlap(size[one], smallest[which], percent)
+            open_ = (rest[one] >= need) & (longest[which] >= need)
+            one, which = one[open_], which[open_]
+            begin = np.maximum(which * LIST_BLOCK, one + 1)
+            width = np.minimum((which + 1) * LIST_BLOCK, reach[one]) - begin
+            left = np.repeat(one, width)
+            right = np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(len(left))
             need = least_overlap(size[left], size[right], percent)
             keep = (comp[left] != comp[right]) & (np.minimum(size[left] - at[left], size[right] - at[right]) >= need)
             keep &= one_block[left] | (mine[left] != mine[right])
