@@ -42,14 +42,13 @@ def _not_bettered(rows: DataFrame, keys: list, *ties: str) -> DataFrame:
     return rows.withColumn("_earlier", earlier).where("_earlier is null or at < _earlier").drop("_earlier")
 
 
-def _day_boards(t, dates: DataFrame, modes: list | None) -> DataFrame:
+def _day_boards(t, running: DataFrame, modes: list | None) -> DataFrame:
     """(stop_id, route_id, headsign, midnight, runs, last_dep): of each pattern at a stop, the
-    departures of all services that run on a date (midnight, services), in order; stored."""
-    none = F.array().cast("array<struct<dep: int, trip_id: long, seq: int>>")
-    runs = F.flatten(F.transform("services", lambda x: F.coalesce(F.col("departures")[x], none)))
-    rows = routing._boards(t, modes).crossJoin(F.broadcast(dates))  # a row a date
-    rows = rows.select("stop_id", "route_id", F.coalesce("trip_headsign", F.lit("")).alias("headsign"), "midnight", F.array_sort(runs).alias("runs")).where(F.size("runs") > 0)
-    return materialize(rows.withColumn("last_dep", F.element_at("runs", -1)["dep"]), "day-boards")
+    departures of all services that run on a day (midnight, service_id), in order; stored."""
+    pattern = ["stop_id", "route_id", "direction_id", "trip_headsign"]
+    rows = routing._boards(t, modes).select(*pattern, F.explode("departures").alias("service_id", "run")).join(running, "service_id")
+    daily = rows.groupBy(*pattern, "midnight").agg(F.array_sort(F.flatten(F.collect_list("run"))).alias("runs"))
+    return materialize(daily.select("stop_id", "route_id", F.coalesce("trip_headsign", F.lit("")).alias("headsign"), "midnight", "runs", F.element_at("runs", -1)["dep"].alias("last_dep")), "day-boards")
 
 
 def _first_rides(boards: DataFrame, access: DataFrame, spans: DataFrame, days: DataFrame) -> DataFrame:
@@ -92,7 +91,7 @@ def range_labels(t, access: DataFrame, spans: DataFrame, max_transfers: int = MA
     last = F.col("last") + HORIZON
     days = routing.service_days(t, spans.select("solve", "first", F.coalesce(F.least(last, "until"), last).alias("last")))
     days = materialize(days, "days")
-    boards = _day_boards(t, days.groupBy("midnight").agg(F.collect_set("service_id").alias("services")), modes)
+    boards = _day_boards(t, days.select("midnight", "service_id").distinct(), modes)
     days = days.select("solve", "midnight").distinct()
     walked = access.groupBy("solve", "stop_id").agg(F.min("walk").alias("walk"))
     rounds: list = []

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -92,27 +93,50 @@ class Timetable:
         spark = self.stops.sparkSession
         # as many files as the session has tasks for a shuffle, however small they are
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for name, schema in TABLES.items():
+
+        def base(name: str) -> None:
             df = getattr(self, name)
-            df = spark.createDataFrame([], schema) if df is None else df
+            df = spark.createDataFrame([], TABLES[name]) if df is None else df
             if name == "stop_times":
                 df = df.repartitionByRange(buckets, "stop_id", "dep").sortWithinPartitions("stop_id", "dep")
             df.write.parquet(f"{place}/{name}")
+
+        _at_once([lambda name=name: base(name) for name in TABLES])
         stored = Timetable(**{name: spark.read.schema(schema).parquet(f"{place}/{name}") for name, schema in TABLES.items()})
-        catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{place}/served")
-        catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{place}/canonical")
-        catalog.name_grams(stored).repartitionByRange("gram", "stop_id").sortWithinPartitions("gram", "stop_id").write.parquet(f"{place}/grams")
-        # small pages, so that a search reads those that its ranges of cells touch
-        places = catalog.placed_stops(stored).repartitionByRange("cell", "stop_id").sortWithinPartitions("cell", "stop_id")
-        places.write.option("parquet.page.row.count.limit", 500).option("parquet.block.size", 1 << 20).parquet(f"{place}/places")
-        boards = schedule.packed_departures(stored).select("stop_id", "route_id", "direction_id", "trip_headsign", "route_type", "departures")
-        boards.repartitionByRange(buckets, "stop_id").sortWithinPartitions("stop_id", "route_id").write.parquet(f"{place}/boards")
-        table = _table_name(place)
-        writer = stored.stop_times.repartition(buckets, "trip_id").write.bucketBy(buckets, "trip_id").sortBy("trip_id", "stop_sequence")
-        writer.format("parquet").option("path", f"{place}/runs").saveAsTable(table)
+
+        def served() -> None:
+            catalog.served_routes(stored).repartitionByRange("stop_id").sortWithinPartitions("stop_id").write.parquet(f"{place}/served")
+
+        def canonical() -> None:
+            catalog.canonical_trips(stored).coalesce(1).write.parquet(f"{place}/canonical")
+
+        def grams() -> None:
+            catalog.name_grams(stored).repartitionByRange("gram", "stop_id").sortWithinPartitions("gram", "stop_id").write.parquet(f"{place}/grams")
+
+        def places() -> None:
+            # small pages, so that a search reads those that its ranges of cells touch
+            rows = catalog.placed_stops(stored).repartitionByRange("cell", "stop_id").sortWithinPartitions("cell", "stop_id")
+            rows.write.option("parquet.page.row.count.limit", 500).option("parquet.block.size", 1 << 20).parquet(f"{place}/places")
+
+        def boards() -> None:
+            rows = schedule.packed_departures(stored).select("stop_id", "route_id", "direction_id", "trip_headsign", "route_type", "departures")
+            rows.repartitionByRange(buckets, "stop_id").sortWithinPartitions("stop_id", "route_id").write.parquet(f"{place}/boards")
+
+        def runs() -> None:
+            writer = stored.stop_times.repartition(buckets, "trip_id").write.bucketBy(buckets, "trip_id").sortBy("trip_id", "stop_sequence")
+            writer.format("parquet").option("path", f"{place}/runs").saveAsTable(_table_name(place))
+
+        _at_once([boards, served, canonical, runs, grams, places])
         return buckets
 
 
+def _at_once(jobs: list) -> None:
+    """Runs jobs that wait for the cluster side by side; the first failure is raised."""
+    with ThreadPoolExecutor(4) as pool:
+        for x in [pool.submit(job) for job in jobs]:
+            x.result()
+
+
 def _table_name(place: str) -> str:
     return f"tramline_runs_{place.rsplit('-', 1)[1]}"
 
