@@ -25,7 +25,7 @@ from . import routing, schedule
 
 HORIZON = HORIZON_HOURS * 3600
 #: Seconds of departures that are searched first; a request that needs later ones gets
-#: another search, over ``HORIZON`` more.
+#: another search, over as much more at least.
 SPAN = 2 * 3600
 #: Seconds by which the search for a latest departure begins earlier than the fastest
 #: way needs.
@@ -181,19 +181,31 @@ def merged_walks(legs):
 
 #: One answer after another, in order of their starts: the first that starts after the
 #: boarding of the one before is what a search from then on would find. It ends the
-#: picking if it comes too late, or if walking all the way is as fast; later starts than
-#: were searched may have a better one if both are past the last of them.
-_PICK = f"""aggregate(found, named_struct('board', since - 1, 'tries', 0, 'repeats', 0, 'kinds', cast(array() AS array<string>), 'picks', cast(array() AS array<bigint>), 'done', since IS NULL, 'open', false),
-    (a, x) -> CASE WHEN a.done OR x.start <= a.board THEN a
-    WHEN NOT arrive_by AND least(x.at, a.board + 1 + direct) > last AND a.board + 1 + {HORIZON} > last THEN named_struct('board', a.board, 'tries', a.tries, 'repeats', a.repeats, 'kinds', a.kinds, 'picks', a.picks, 'done', true, 'open', true)
-    WHEN x.at > a.board + 1 + {HORIZON} OR a.board + 1 + coalesce(direct, {HORIZON} * 9) <= x.at THEN named_struct('board', a.board, 'tries', a.tries, 'repeats', a.repeats, 'kinds', a.kinds, 'picks', a.picks, 'done', true, 'open', false)
-    ELSE named_struct('board', x.first_board, 'tries', a.tries + 1, 'repeats', IF(array_contains(a.kinds, x.kind), a.repeats + 1, 0), 'kinds', array_union(a.kinds, array(x.kind)), 'picks', array_append(a.picks, x.start),
-        'done', a.tries + 1 >= IF(arrive_by, 4 * wanted + 8, 2 * wanted + 2) OR NOT arrive_by AND (IF(array_contains(a.kinds, x.kind), a.repeats + 1, 0) >= 2 OR size(array_union(a.kinds, array(x.kind))) >= wanted), 'open', false) END,
-    a -> named_struct('picks', a.picks, 'open', a.open OR NOT a.done AND NOT arrive_by AND a.board + 1 + {HORIZON} > last AND coalesce(a.board + 1 + direct > last, true)))"""
+#: picking if it comes too late, or if walking all the way is as fast. Starts later than
+#: those searched may have a better one if it is there after the last of them; ``need`` is
+#: then the time up to which starts must be known to tell.
+_AGAIN = "IF(array_contains(a.kinds, x.kind), a.repeats + 1, 0)"
+_KINDS = "array_union(a.kinds, array(x.kind))"
+
+
+def _state(**new: str) -> str:
+    """The picking's state ``a`` with some of it changed."""
+    return "named_struct(" + ", ".join(f"'{k}', {new.get(k, f'a.{k}')}" for k in ("board", "tries", "repeats", "kinds", "picks", "done", "need")) + ")"
+
+
+_START = _state(board="since - 1", tries="0", repeats="0", kinds="cast(array() AS array<string>)", picks="cast(array() AS array<bigint>)", done="since IS NULL", need="cast(NULL AS bigint)")
+_PICK = f"""aggregate(found, {_START}, (a, x) -> CASE WHEN a.done OR x.start <= a.board THEN a
+    WHEN NOT arrive_by AND least(x.at, a.board + 1 + direct, a.board + 1 + {HORIZON}) > last THEN {_state(done="true", need=f"least(x.at, a.board + 1 + direct, a.board + 1 + {HORIZON})")}
+    WHEN x.at > a.board + 1 + {HORIZON} OR a.board + 1 + coalesce(direct, {HORIZON} * 9) <= x.at THEN {_state(done="true")}
+    ELSE {_state(
+        board="x.first_board", tries="a.tries + 1", repeats=_AGAIN, kinds=_KINDS, picks="array_append(a.picks, x.start)",
+        done=f"a.tries + 1 >= IF(arrive_by, 4 * wanted + 8, 2 * wanted + 2) OR NOT arrive_by AND ({_AGAIN} >= 2 OR size({_KINDS}) >= wanted)",
+    )} END,
+    a -> named_struct('picks', a.picks, 'need', IF(NOT a.done AND NOT arrive_by AND least(a.board + 1 + direct, a.board + 1 + {HORIZON}) > last, least(a.board + 1 + direct, a.board + 1 + {HORIZON}), a.need)))"""
 
 
 def _picked(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """Requests with their answers in order and those that are picked, (picks, open)."""
+    """Requests with the starts of those answers that are picked, and ``need``."""
     lists = found.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("start", "at", "first_board", S.route_signature(F.col("legs")).alias("kind")))).alias("found"))
     rows = requests.join(lists, "request", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start: long, at: long, first_board: long, kind: string>>")))
     earliest = F.col("when") - HORIZON
@@ -202,7 +214,7 @@ def _picked(requests: DataFrame, found: DataFrame) -> DataFrame:
     late = F.when(reachable, F.col("when") - (anchor["at"] - anchor["start"]) - SLACK)
     rows = rows.withColumn("since", F.when(F.col("arrive_by"), late).otherwise(F.col("when"))).withColumn("p", F.expr(_PICK))
     picks = F.when(F.col("arrive_by") & reachable & (F.size("p.picks") == 0), F.array(anchor["start"])).otherwise(F.col("p.picks"))
-    return rows.select(*requests.columns, picks.alias("picks"), F.col("p.open").alias("open"))
+    return rows.select(*requests.columns, picks.alias("picks"), F.col("p.need").alias("need"))
 
 
 def plan_trips(t, requests: DataFrame, access: DataFrame, egress: DataFrame, max_transfers: int = MAX_TRANSFERS, modes: list | None = None) -> DataFrame:
@@ -220,7 +232,9 @@ def plan_trips(t, requests: DataFrame, access: DataFrame, egress: DataFrame, max
     common = access.withColumnRenamed("walk", "_walk").join(requests.select("request", "solve"), "solve").join(egress, ["request", "stop_id"])
     direct = common.groupBy("request").agg(F.min(F.col("walk") + F.col("_walk")).alias("direct"))
     when, late = F.col("when"), F.col("arrive_by")
-    first, last = F.when(late, when - HORIZON - SLACK).otherwise(when), F.when(late, when).otherwise(when + SPAN)
+    # of many requests that share a search some need later starts
+    shared = F.count("*").over(Window.partitionBy("solve")) > 1
+    first, last = F.when(late, when - HORIZON - SLACK).otherwise(when), F.when(late, when).otherwise(when + F.when(shared, HORIZON).otherwise(SPAN))
     asked = requests.select("request", "solve", "when", "arrive_by", "wanted", first.alias("first"), last.alias("last"), F.when(late, when).alias("until"))
     asked = materialize(asked.join(direct, "request", "left"), "requests")
     found, settled = None, []
@@ -233,16 +247,19 @@ def plan_trips(t, requests: DataFrame, access: DataFrame, egress: DataFrame, max
             new = new if found is None else _not_bettered(found.join(asked, "request", "left_semi").unionByName(new), ["request"])
             found = materialize(new, "answers")
         if found is None:
-            picked = asked.select(*asked.columns, F.array().cast("array<long>").alias("picks"), (~F.col("arrive_by") & (F.col("last") < F.col("when") + HORIZON)).alias("open"))
+            need = F.when(~F.col("arrive_by") & (F.col("last") < F.col("when") + HORIZON), F.col("when") + HORIZON)
+            picked = asked.select(*asked.columns, F.array().cast("array<long>").alias("picks"), need.alias("need"))
         else:
             picked = _picked(asked, found)
         picked = materialize(picked, "picked")
         if found is not None:
-            chosen = found.join(picked.where("not open").select("request", "arrive_by", "wanted", "picks"), "request").where(F.array_contains("picks", F.col("start")))
+            chosen = found.join(picked.where("need is null").select("request", "arrive_by", "wanted", "picks"), "request").where(F.array_contains("picks", F.col("start")))
             settled.append(chosen.select("request", "arrive_by", "wanted", "start", "at", "legs"))
-        asked = picked.where("open").drop("picks", "open").withColumn("first", F.col("last") + 1).withColumn("last", F.col("last") + HORIZON)
-        if asked.isEmpty():
+        left = picked.where("need is not null")
+        if left.isEmpty():
             break
+        further = left.groupBy("solve").agg(F.greatest(F.max("need"), F.max("last") + SPAN).alias("further"))
+        asked = left.drop("picks", "need").join(further, "solve").withColumn("first", F.col("last") + 1).withColumn("last", F.col("further")).drop("further")
     if not settled:
         return _ranked(t, t.stops.sparkSession.createDataFrame([], f"request long, arrive_by boolean, wanted int, start long, at long, legs array<{LEG}>"))
     return _ranked(t, reduce(DataFrame.unionByName, settled))
