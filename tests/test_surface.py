@@ -365,3 +365,18 @@ def test_resources_are_written_by_tasks(city, spark, tmp_path):  # noqa: F811
     assert "color" not in json.loads(engine.resource("routes"))[1] and json.loads(engine.resource("fares"))["fares"]
     with pytest.raises(QueryError):
         engine.resource("none")
+
+
+def test_parts_of_the_views_on_demand(spark, tmp_path):
+    """A query on stops alone neither stores stop times nor pairs stops."""
+    from tramline.plans import queries
+    from tramline.sources.testviews import timetable
+
+    for name in ("nation", "supplier", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    made = lambda: {k for k in vars(timetable(spark, str(tmp_path))) if not k.startswith("_")}
+    assert queries.QUERIES["b2_crosswalk"](spark, str(tmp_path)).count() and made() == {"stops"}
+    queries.QUERIES["a8_earliest_arrivals"](spark, str(tmp_path)).collect()
+    assert "runs" in made() and not made() & {"transfers", "spots", "spot_ways"}
+    queries.QUERIES["j7_footpaths"](spark, str(tmp_path)).collect()
+    assert "spot_ways" in made() and "transfers" not in made()
