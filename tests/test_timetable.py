@@ -277,3 +277,38 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("vehicle_id string, timestamp long, x int").parquet(source)
     newest_rows(stream, str(tmp_path / "out"), "vehicle_id", str(tmp_path / "cp")).awaitTermination()
     assert {tuple(x) for x in read_latest(spark, str(tmp_path / "out")).select("vehicle_id", "x").collect()} == {("a", 20), ("b", 5)}
+
+
+def test_streets_by_place(spark):
+    """Stops that share a place, and more of one place than are paired at a time, against
+    every pair one by one; no pair comes twice."""
+    places = [(43.7, -79.4), (43.7005, -79.4), (43.701, -79.4), (43.7, -79.398)]
+    rows = [(k, k, "", *places[0 if k < 300 else k % 4], 1000 + k // 3 if k % 7 else None, 0) for k in range(330)]
+    stops = spark.createDataFrame([*rows, (900, 900, "", *places[0], None, 1), (901, 901, "", None, None, None, 0)], TABLES["stops"])
+    plain = stops.where("location_type = 0 and stop_lat is not null").select("stop_id", "stop_lat", "stop_lon")
+    other = plain.toDF("to", "lat", "lon")
+    metres = S.metres_between(F.col("stop_lat"), F.col("stop_lon"), F.col("lat"), F.col("lon"))
+    want = sorted(map(tuple, plain.crossJoin(other).where(F.col("stop_id") != F.col("to")).withColumn("m", metres).where("m <= 90").select("stop_id", "to", S.walk_seconds(F.col("m"))).collect()))
+    assert sorted((x[0], x[1], x[2]) for x in transfers.street_transfers(stops, 90).collect()) == want
+    merged = transfers.merge_transfers(transfers.station_transfers(stops), transfers.street_transfers(stops, 90))
+    assert sorted(map(tuple, transfers.merged_walks(stops, 90).collect())) == sorted(map(tuple, merged.collect()))
+
+
+def test_walks_by_place(spark):
+    """The best walk to every stop by places is the best of all pairs, with its origin."""
+    rows = [(k, k, "", 43.7 + 0.0005 * (k % 3), -79.4, 1000 + k // 4 if k % 5 else None, 0) for k in range(40)]
+    stops = spark.createDataFrame([*rows, (901, 901, "", None, None, 1000, 0)], TABLES["stops"])
+    plain = Timetable(*[None] * 6, transfers.merged_walks(stops, 90), None)
+    spots = transfers.stop_spots(stops)
+    by_place = Timetable(*[None] * 8, spots=spots, spot_ways=transfers.spot_ways(spots, 90))
+    labels = spark.range(40).where("id % 4 <> 1").selectExpr("id % 2 AS solve", "id AS stop_id", "explode(array(id % 5, id % 3 + 3)) AS at", "100 - at AS start")
+    for keys in ([], ["solve"]):
+        got, want = (sorted(map(tuple, routing.best_walks(t, labels, keys, ["at", "walk", "from_stop"]).collect())) for t in (by_place, plain))
+        assert got == want and got
+    # of starts those that none betters
+    keys, found = ["solve", "start"], []
+    for t in (by_place, plain):
+        every = routing.best_walks(t, labels.dropDuplicates(["solve", "stop_id", "start"]), keys, ["at", "walk", "from_stop"]).select(*keys, "stop_id", "b.*").collect()
+        better = lambda x, y: (x.solve, x.stop_id) == (y.solve, y.stop_id) and y.start > x.start and y.at <= x.at
+        found.append(sorted(tuple(x) for x in every if not any(better(x, y) for y in every)))
+    assert found[0] == found[1] and found[0]
