@@ -42,43 +42,28 @@ def _not_bettered(rows: DataFrame, keys: list, *ties: str) -> DataFrame:
     return rows.withColumn("_earlier", earlier).where("_earlier is null or at < _earlier").drop("_earlier")
 
 
-def _day_boards(t, running: DataFrame, modes: list | None) -> DataFrame:
-    """(stop_id, route_id, headsign, midnight, runs, last_dep): of each pattern at a stop, the
-    departures of all services that run on a day (midnight, service_id), in order; stored."""
-    pattern = ["stop_id", "route_id", "direction_id", "trip_headsign"]
-    rows = routing._boards(t, modes).select(*pattern, F.explode("departures").alias("service_id", "run")).join(running, "service_id")
-    daily = rows.groupBy(*pattern, "midnight").agg(F.array_sort(F.flatten(F.collect_list("run"))).alias("runs"))
-    return materialize(daily.select("stop_id", "route_id", F.coalesce("trip_headsign", F.lit("")).alias("headsign"), "midnight", "runs", F.element_at("runs", -1)["dep"].alias("last_dep")), "day-boards")
-
-
 def _first_rides(boards: DataFrame, access: DataFrame, spans: DataFrame, days: DataFrame) -> DataFrame:
     """Every departure at an access stop that one who starts within the span can take."""
     asked = access.join(spans.select("solve", "first", "last"), "solve").join(days, "solve")
-    rows = boards.join(asked, ["stop_id", "midnight"]).withColumn("past", F.col("last") + 1)
-    lo, hi = (schedule.departures_before(F.col("runs"), F.col(x) + F.col("walk") - F.col("midnight")) for x in ("first", "past"))
-    rows = rows.select("*", F.explode(F.slice("runs", lo + 1, F.greatest(hi - lo, F.lit(0)))).alias("b"))
-    return _boarded(rows, F.col("midnight") + F.col("b.dep") - F.col("walk"))
+    rows = boards.join(asked, "stop_id").withColumn("start", F.col("midnight") + F.col("dep") - F.col("walk"))
+    return _boarded(rows.where("start between first and last and array_contains(midnights, midnight)"))
 
 
 def _next_rides(boards: DataFrame, labels: DataFrame, days: DataFrame) -> DataFrame:
     """From every label the first departure of each pattern, each service day apart. Of
-    those who board the same trip at a stop the one who started last counts, so a label
-    boards only what leaves before the next later start's label is there."""
-    order = Window.partitionBy("solve", "stop_id").orderBy(F.desc("start"))
-    asked = labels.select("solve", "stop_id", "start", "at", F.lag("at").over(order).alias("before"))
-    # each label meets all patterns of its stop: few labels are dealt to as many tasks as many
-    tasks = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.repartition(tasks, "solve", "stop_id", "start").join(days, "solve").where(F.col("midnight") <= F.col("start") + HORIZON)
-    rows = boards.join(asked, ["stop_id", "midnight"]).where(F.col("at") - F.col("midnight") <= F.col("last_dep"))
-    first = schedule.departures_before(F.col("runs"), F.col("at") - F.col("midnight"))
-    rows = rows.select("*", F.explode(F.slice("runs", first + 1, F.lit(1))).alias("b")).where(F.col("before").isNull() | (F.col("midnight") + F.col("b.dep") < F.col("before")))
-    return _boarded(rows, F.col("start")).where(F.col("board_at") <= F.col("start") + HORIZON)
-
-
-def _boarded(rows: DataFrame, start) -> DataFrame:
+    those who board the same trip at a stop the one who started last counts, so each
+    departure meets a solve's labels at its stop once, and finds the last that is there."""
+    lists = labels.groupBy("solve", "stop_id").agg(F.collect_list(F.struct("at", "start")).alias("there")).join(days, "solve")
+    rows = boards.join(lists, "stop_id").where("array_contains(midnights, midnight)")
+    rows = rows.withColumn("there", F.expr("array_max(filter(there, x -> x.at <= midnight + dep))")).select("*", "there.at", "there.start")
+    first = F.col("before").isNull() | (F.col("midnight") + F.col("before") < F.col("at"))
+    return _boarded(rows.where(F.col("start").isNotNull() & first & (F.col("midnight") + F.col("dep") <= F.col("start") + HORIZON)))
+
+
+def _boarded(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "solve", "midnight", start.alias("start"), F.col("stop_id").alias("board_stop"), F.col("b.trip_id").alias("trip_id"), F.col("b.seq").alias("board_seq"),
-        (F.col("midnight") + F.col("b.dep")).alias("board_at"), "route_id", "headsign",
+        "solve", "midnight", "start", F.col("stop_id").alias("board_stop"), "trip_id", F.col("seq").alias("board_seq"),
+        (F.col("midnight") + F.col("dep")).alias("board_at"), "route_id", "headsign",
     )
 
 
@@ -91,8 +76,10 @@ def range_labels(t, access: DataFrame, spans: DataFrame, max_transfers: int = MA
     last = F.col("last") + HORIZON
     days = routing.service_days(t, spans.select("solve", "first", F.coalesce(F.least(last, "until"), last).alias("last")))
     days = materialize(days, "days")
-    boards = _day_boards(t, days.select("midnight", "service_id").distinct(), modes)
-    days = days.select("solve", "midnight").distinct()
+    near = spans.agg(F.min("first").alias("first"), F.max(F.coalesce(F.least(last, "until"), last)).alias("last"))
+    boards = schedule.day_departures(t, days.select("midnight", "service_id").distinct(), modes).crossJoin(F.broadcast(near))  # one row
+    boards = materialize(boards.where("midnight + dep between first and last").drop("first", "last"), "day-boards")
+    days = days.groupBy("solve").agg(F.collect_set("midnight").alias("midnights"))
     walked = access.groupBy("solve", "stop_id").agg(F.min("walk").alias("walk"))
     rounds: list = []
     for n in range(1, max_transfers + 2):
@@ -104,9 +91,7 @@ def range_labels(t, access: DataFrame, spans: DataFrame, max_transfers: int = MA
         known = [x.select("solve", "stop_id", "start", "at") for x in rounds]
         reached = _profile(rounds, targets) if targets is not None and rounds else None
         by_ride = materialize(_improved(rode, known, walked, spans, reached), "range-rides")
-        on_foot = routing.walks(t, by_ride.drop("walk")).select(
-            "solve", F.col("to_stop_id").alias("stop_id"), "start", (F.col("at") + F.col("min_walk_seconds")).alias("at"), F.col("min_walk_seconds").alias("walk"), *RIDE[1:]
-        )
+        on_foot = routing.best_walks(t, by_ride, ["solve", "start"], ["at", *RIDE]).select("solve", "stop_id", "start", "b.*")
         best = _improved(on_foot, [*known, by_ride.select("solve", "stop_id", "start", "at")], walked, spans, reached)
         both = _not_bettered(by_ride.unionByName(best), ["solve", "stop_id"], F.col("walk").asc_nulls_first())
         labels = materialize(both.withColumn("round", F.lit(n)), "range-labels")
