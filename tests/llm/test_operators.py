@@ -3,6 +3,7 @@ with nulls, empty and long texts, ties, repeated rows, extra columns."""
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -535,6 +536,53 @@ def test_language(spark, docs, empty):
     assert len(language.labels_of(words[:0], starts[:0], lengths[:0], scores, 9.0)) == 0
 
 
+def test_language_steps(monkeypatch):
+    # passages of two to four languages: labelled as the steps alone label them, which take
+    # no more of them than the words in doubt need
+    rng = np.random.default_rng(3)
+    scores = rng.standard_normal((400, 4)) + 4 * np.eye(4)[np.arange(400) % 4]
+    passages = [[(0, 2000), (1, 2000)], [(2, 3000)], [(3, 900), (0, 30), (3, 900)], [(1, 500), (2, 500), (3, 500), (1, 2)], [], [(0, 1)]]
+    texts = [np.concatenate([4 * rng.integers(0, 100, n) + k for k, n in x] or [np.zeros(0, dtype=np.int64)]) for x in passages]
+    lengths = np.array([len(x) for x in texts])
+    words, starts = np.concatenate(texts), np.cumsum(lengths) - lengths
+    want, longest = language.viterbi(words, starts, lengths, scores, 12.0), [0]
+    steps = language.viterbi
+
+    def counted(words, starts, lengths, *more):
+        longest.append(int(lengths.max()))
+        return steps(words, starts, lengths, *more)
+
+    monkeypatch.setattr(language, "viterbi", counted)
+    assert (language.labels_of(words, starts, lengths, scores, 12.0) == want).all() and len(set(want.tolist())) == 4
+    assert max(longest) < 256  # the longest text has 4000
+    # passages of little evidence, and switches that cost little or nothing
+    for spread, penalty in itertools.product((0.3, 2.0), (0.0, 0.5, 9.0, 40.0)):
+        lengths = rng.integers(0, 700, 20)
+        words, starts = rng.integers(0, 400, lengths.sum()), np.cumsum(lengths) - lengths
+        weak = rng.standard_normal((400, 5)) * spread
+        assert (language.labels_of(words, starts, lengths, weak, penalty) == steps(words, starts, lengths, weak, penalty)).all()
+
+
+def test_language_words():
+    # words by any white space, none of them empty, and their scores as for each alone
+    texts = [" etaoin  natoe\n", "", "\n", "wçyüzk etaoin", "a\tb\u2003c \u00a0d", "слово naïve İΣ ΣΑΣ 12 x^$y"]
+    model = language.LanguageModel(["aa", "bb", "cc"], np.random.default_rng(4).standard_normal((3, language.BUCKETS)).astype(np.float32), np.zeros((3, len(language.SCRIPTS)), dtype=bool))
+    model.scripts[:2, language.SCRIPTS.index("latin")] = True
+    model.scripts[2, language.SCRIPTS.index("cyrillic")] = True
+    labeller = language._Labeller(model)
+    words, _, _, lengths = labeller.label(texts)
+    apart = [w for t in texts for w in t.split()]
+    assert lengths.tolist() == [len(t.split()) for t in texts] and len(words) == len(apart)
+    for row, word in zip(words, apart):
+        scores, letters, known = model.words([word.lower()])
+        assert (labeller.scores[row] == scores[0].astype(np.float32)).all()
+        assert labeller.letters[row].tolist() == [sum(map(str.isalpha, word.lower())), int(letters[0] * known[0])]
+    many = [w.lower() for w in apart] * (2 * language.LOT // len(apart) + 1)
+    scores, letters, known = model.words(many)
+    assert (scores == np.tile(model.words(many[: len(apart)])[0], (len(many) // len(apart), 1))).all() and len(letters) == len(known) == len(many)
+    assert [x.shape for x in model.words([])] == [(0, 3), (0,), (0,)]
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(7)
     good = ["river", "stone", "cloud", "light", "green", "paper", "house", "train"]

@@ -11,6 +11,7 @@ letters of the text are labelled with.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,21 +37,35 @@ _STARTS = np.array([x for x, _ in SCRIPT_RANGES])
 _SCRIPT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
+#: Words scored at a time: few enough that the arrays stay in a processor's cache.
+LOT = 4096
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The script of every code point, -1 where it is no letter."""
+    points = range(0x110000)
+    letter = np.fromiter((chr(c).isalpha() for c in points), dtype=bool, count=len(points))
+    script = _SCRIPT[np.searchsorted(_STARTS, np.arange(len(points)), side="right") - 1]
+    return np.where(letter, script, -1).astype(np.int8)
 
 
 def _flat(words: list):
     """Code points of ^word$ for all words, the words' numbers, letter counts and
     the script of most letters (-1: no letter)."""
-    lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
-    points = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    points = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.repeat(np.arange(len(words)), lengths)
-    distinct, back = np.unique(points, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in distinct.tolist()])[back]
-    letters = np.bincount(owner[letter], minlength=len(words))
-    script = _SCRIPT[np.searchsorted(_STARTS, points[letter], side="right") - 1]
-    votes = np.bincount(owner[letter] * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS))
-    votes = votes.reshape(len(words), len(SCRIPTS))
-    return points, owner, letters, np.where(letters > 0, votes.argmax(axis=1), -1)
+    kind = _kinds()[points]
+    at = np.flatnonzero(kind >= 0)
+    mine, kind = owner[at], kind[at]
+    letters = np.bincount(mine, minlength=len(words))
+    seen = np.flatnonzero(np.bincount(kind, minlength=len(SCRIPTS)))
+    if len(seen) < 2:
+        return points, owner, letters, np.where(letters > 0, seen[0] if len(seen) else -1, -1)
+    votes = np.bincount(mine * len(seen) + np.searchsorted(seen, kind), minlength=len(words) * len(seen))
+    votes = votes.reshape(len(words), len(seen))
+    return points, owner, letters, np.where(letters > 0, seen[votes.argmax(axis=1)], -1)
 
 
 def _grams(points: np.ndarray, owner: np.ndarray):
@@ -61,7 +76,8 @@ def _grams(points: np.ndarray, owner: np.ndarray):
             continue
         h = np.full(size, n * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64)
         for i in range(n):
-            h = (h ^ points[i : i + size].astype(np.uint64)) * np.uint64(0x2545F4914F6CDD1D)
+            h ^= points[i : i + size]
+            h *= np.uint64(0x2545F4914F6CDD1D)
             h ^= h >> np.uint64(29)
         inside = owner[:size] == owner[n - 1 :]
         yield owner[:size][inside], (h[inside] >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
@@ -81,22 +97,29 @@ class LanguageModel:
         """Scores per word and language, letter counts, and whether some language is
         written in the word's script. The script narrows the languages that score at
         all; the others stand far below the worst of them."""
+        lots = [self._lot(words[i : i + LOT]) for i in range(0, len(words), LOT)] or [self._lot([])]
+        return tuple(np.concatenate(x) for x in zip(*lots))
+
+    def _lot(self, words: list):
         points, owner, letters, script = _flat(words)
-        allowed = np.where(script[:, None] >= 0, self.scripts.T[np.maximum(script, 0)], False)
-        known = allowed.any(axis=1)
-        out = np.full((len(words), len(self.languages)), np.inf)
+        allowed = np.where(script >= 0, self.scripts[:, np.maximum(script, 0)], False)
+        known = allowed.any(axis=0)
+        some = allowed.any(axis=1)
+        every = (allowed | ~known).all(axis=1)  # words of no known script are set to 0 below
+        out = np.full((len(self.languages), len(words)), np.inf)
         out[allowed] = 0.0
         for word, bucket in _grams(points, owner):
-            for k in range(len(self.languages)):
-                mine = allowed[word, k]
-                if mine.any():
-                    at, found = (word, bucket) if mine.all() else (word[mine], bucket[mine])
-                    out[:, k] += np.bincount(at, weights=self.score[k, found], minlength=len(words))
+            for k in np.flatnonzero(some):
+                at, found = word, bucket
+                if not every[k]:
+                    mine = allowed[k, word]
+                    at, found = word[mine], bucket[mine]
+                out[k] += np.bincount(at, weights=self.score[k].take(found), minlength=len(words))
         out /= len(GRAMS)
-        worst = np.where(known, out.min(axis=1), 0.0) - 20.0
-        out = np.where(allowed, out, worst[:, None])
-        out[~known | (letters == 0)] = 0.0
-        return out, letters, known
+        worst = np.where(known, out.min(axis=0), 0.0) - 20.0
+        out = np.where(allowed, out, worst)
+        out[:, ~known] = 0.0
+        return out.T, letters, known
 
 
 def train(
@@ -157,8 +180,9 @@ def train(
     return LanguageModel(languages, score.astype(np.float32), used)
 
 
-def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
+def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: float, left=None, right=None) -> np.ndarray:
     """Labels of all words of all texts. ``words``: rows of ``scores``, text by text.
+    ``left``, ``right``: the labels before and behind each text, below 0 where there is none.
 
     The texts advance together, longest first, so that a step is one array
     operation over the texts that still have a word.
@@ -169,6 +193,8 @@ def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores:
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     kinds = scores.shape[1]
     value = np.zeros((len(order), kinds))
+    if left is not None:
+        value -= _edges(left[order], kinds, penalty)
     switched = np.zeros((len(words), kinds), dtype=bool)
     source = np.zeros(len(words), dtype=np.int16)
     for t in range(longest):
@@ -184,6 +210,8 @@ def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores:
             v = np.where(move, top, v)
         value[:a] = v + scores[words[at]]
     labels = np.zeros(len(words), dtype=np.int16)
+    if right is not None:
+        value -= _edges(right[order], kinds, penalty)
     state = value.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         a = active[t]
@@ -195,43 +223,98 @@ def viterbi(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores:
     return labels
 
 
+def _edges(neighbour: np.ndarray, kinds: int, penalty: float) -> np.ndarray:
+    """What each label costs beside a neighbour, per text; nothing where that is none."""
+    return np.where((neighbour[:, None] >= 0) & (neighbour[:, None] != np.arange(kinds)), penalty, 0.0)
+
+
+#: Neighbours that are no label: a text's edge, and one that is not known yet.
+EDGE, UNKNOWN = -1, -2
+#: Words of a piece whose neighbours are not known.
+BLOCK = 128
+
+
+def _settled(own: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, penalty: float):
+    """(label per piece, whether each word has it on every best path) of pieces of texts
+    between neighbours. ``own``: scores by language and word, written over.
+
+    The label is the best one for a whole piece. A run of others on a best path gains no
+    less than the switches that the label in its place would save: one at each end, none
+    at a text's edge; beside another label, or one not known, it may need one more. A word
+    all of whose runs gain less, each word in its best other label, is settled.
+    """
+    first = np.cumsum(size) - size
+    last = first + size - 1
+    piece = np.repeat(np.arange(len(size)), size)
+    at, kinds = np.arange(len(piece)), len(own)
+    whole = np.add.reduceat(own, first, axis=1).T - _edges(left, kinds, penalty) - _edges(right, kinds, penalty)
+    label = whole.argmax(axis=1)
+    mine = label[piece]
+    base = own[mine, at]
+    own[mine, at] = -np.inf
+    total = np.cumsum(own.max(axis=0) - base)
+    before = np.concatenate([[0.0], total[:-1]])
+    start = before[first][piece]  # sums of a piece alone
+    total, before = total - start, before - start
+    # later pieces are put below all earlier ones
+    apart = (max(total.max(), 0.0) - min(total.min(), 0.0) + 1.0) * piece
+    low = np.minimum.accumulate(before - apart) + apart
+    high = np.maximum.accumulate((total - apart)[::-1])[::-1] + apart
+    saved = [np.where(x == EDGE, 0.0, np.where(x == label, penalty, -penalty)) for x in (left, right)]
+    # another label throughout is no better, unless by neighbours not known; a mixture switches
+    within = np.where((left == UNKNOWN) | (right == UNKNOWN), 0.0, penalty)
+    end, slack = total[last], 1e-6 * (1.0 + penalty) + 1e-15 * apart[-1]  # what rounding may take
+    sure = high - low <= 2 * penalty - slack
+    sure &= high <= (penalty + saved[0] - slack)[piece]
+    sure &= end[piece] - low <= (penalty + saved[1] - slack)[piece]
+    sure &= (end <= within + saved[0] + saved[1] - slack)[piece]
+    return label, sure
+
+
 def labels_of(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The Viterbi labels of all words of all texts.
+    """The Viterbi labels of all words of all texts, which stand text by text.
 
-    A text is in one language throughout if no run of its words gains more by other
-    languages, each word in its best, than the switches around it cost, one for a run at
-    the text's start or end and two for any other: then no path with switches can be
-    better. Runs' gains are told at once for all words of all texts; the other texts go
-    through the steps."""
+    Most words' labels follow from the words around them, see ``_settled``. They are found
+    at once for all words, first in blocks, then in the pieces left between the settled
+    ones. The rest goes through the steps, between its neighbours' labels: their number is
+    the longest such passage's, not the longest text's."""
     labels = np.zeros(len(words), dtype=np.int16)
-    some = np.flatnonzero(lengths)
-    if not len(some) or scores.shape[1] < 2:
+    if not len(words) or scores.shape[1] < 2:
         return labels
-    size = lengths[some]
-    own = scores[words].astype(np.float64)
-    first = np.cumsum(size) - size  # words of texts without any take no place
-    text = np.repeat(np.arange(len(some)), size)
-    best = np.add.reduceat(own, first, axis=0).argmax(axis=1)
-    at = np.arange(len(words))
-    base = own[at, best[text]]
-    own[at, best[text]] = -np.inf
-    total = np.cumsum(own.max(axis=1) - base)
-    before = np.concatenate([[0.0], total[:-1]])
-    # a text's own least sum before: later texts are put below all earlier ones
-    apart = (total.max() - total.min() + 1.0 + abs(total[0])) * text
-    inner = np.maximum.reduceat(total - (np.minimum.accumulate(before - apart) + apart), first)
-    start, end = before[first], total[first + size - 1]
-    outer = np.maximum(np.maximum.reduceat(total, first) - start, end - np.minimum.reduceat(before, first))
-    one = (outer <= penalty * (1 - 1e-9)) & (inner <= 2 * penalty * (1 - 1e-9))
-    labels[:] = best[text]
-    mixed = np.flatnonzero(~one)
-    if len(mixed):
-        rows = np.concatenate([np.arange(first[k], first[k] + size[k]) for k in mixed])
-        count = size[mixed]
-        labels[rows] = viterbi(words[rows], np.cumsum(count) - count, count, scores, penalty)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(words)) - starts[text]
+
+    def unsettled(rows, size, left, right):
+        label, sure = _settled(np.ascontiguousarray(scores[words[rows]].T, dtype=np.float64), size, left, right, penalty)
+        labels[rows[sure]] = np.repeat(label, size)[sure]
+        return rows[~sure]
+
+    first = np.flatnonzero(place % BLOCK == 0)
+    size = np.diff(first, append=len(words))
+    ends = first + size - 1
+    left = np.where(place[first] == 0, EDGE, UNKNOWN)
+    right = np.where(place[ends] == lengths[text[ends]] - 1, EDGE, UNKNOWN)
+    rows = unsettled(np.arange(len(words)), size, left, right)
+    if len(rows):
+        rows = unsettled(rows, *_pieces(rows, place, text, labels))
+    if len(rows):
+        size, left, right = _pieces(rows, place, text, labels)
+        labels[rows] = viterbi(words[rows], np.cumsum(size) - size, size, scores, penalty, left, right)
     return labels
 
 
+def _pieces(rows: np.ndarray, place: np.ndarray, text: np.ndarray, labels: np.ndarray):
+    """(size, labels before and behind) of runs of words of a text, whose neighbours have
+    their labels. ``rows``: the words' numbers, ascending."""
+    first = np.flatnonzero((np.diff(rows, prepend=-2) > 1) | (place[rows] == 0))
+    size = np.diff(first, append=len(rows))
+    head, behind = rows[first], rows[first + size - 1] + 1
+    left = np.where(place[head] == 0, EDGE, labels[head - 1])
+    inside = np.minimum(behind, len(text) - 1)
+    right = np.where((behind < len(text)) & (text[inside] == text[head]), labels[inside], EDGE)
+    return size, left, right
+
+
 class _Labeller:
     """Word scores cached over batches."""
 
@@ -261,9 +344,7 @@ class _Labeller:
 
     def label(self, texts: list):
         """(words' rows, labels) per text, for texts of one slice."""
-        lists = [np.array(x, dtype=np.int64) for x in self.units.texts(texts)]
-        lengths = np.array([len(x) for x in lists], dtype=np.int64)
-        words = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+        words, lengths = self.units.places(texts)
         starts = np.cumsum(lengths) - lengths
         labels = labels_of(words, starts, lengths, self.scores, self.model.switch_penalty)
         return words, labels, starts, lengths
